@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from fragloom.llm import chat as c
+from fragloom.llm import host_reputation as h
 from fragloom.llm import quality_rules as q
+from fragloom.llm.queries import HOSTILE, URL_RULES
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UP, _LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
@@ -66,5 +69,66 @@ FROM b
 """
 
 
+def _op4() -> str:
+    """The same counts, priors and tails, level by level."""
+    shrink = lambda k: f"(bad + {k} * mean) / (n + {k})"
+    low, high = h.STRENGTH
+    moment = (
+        "SELECT least(greatest(CASE WHEN coalesce(base, 0) <> 0 AND over / base > 0 THEN base / over - 1 ELSE {1} END, {0}), {1}) AS k FROM "
+        "(SELECT sum((bad - n * mean) ** 2 - n * mean * (1 - mean)) AS over, sum(n * (n - 1.0) * mean * (1 - mean)) AS base FROM {2})"
+    ).format
+    long = ", ".join(f"'{x}'" for x in h.LONG_SUFFIXES)
+    last = lambda k: f"array_to_string(list_slice(string_split(host, '.'), -{k}, -1), '.')"
+    rules = sorted(URL_RULES, key=lambda r: (-len(r), r))
+    parts = [(r, *r.partition("/")[::2]) for r in rules]
+    rule = "CASE " + " ".join(f"WHEN (host = '{of}' OR ends_with(host, '.{of}')) AND starts_with(path, '/{prefix}') THEN '{r}'" for r, of, prefix in parts) + " END"
+    said = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{URL_RULES[r]}'" for r in rules) + " END"
+    return f"""
+WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), {_UP}, {_LOW}) AS host,
+             regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+l AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+h0 AS (SELECT host, count(l.bad) AS n, coalesce(sum(l.bad), 0) AS bad FROM u LEFT JOIN l ON u.page_id = l.page_id GROUP BY host),
+h1 AS (SELECT *, regexp_matches(host, '^[0-9.:\\[\\]]+$') AS addr, CASE WHEN {last(2)} IN ({long}) THEN 2 ELSE 1 END AS w, len(string_split(host, '.')) AS parts FROM h0),
+h2 AS (SELECT host, n, bad, CASE WHEN addr THEN '' WHEN w = 2 THEN {last(2)} ELSE {last(1)} END AS suffix,
+              CASE WHEN addr OR parts <= w THEN host WHEN w = 2 THEN {last(3)} ELSE {last(2)} END AS domain FROM h1),
+d0 AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM h2 GROUP BY suffix, domain),
+s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d0 GROUP BY suffix),
+s1 AS (SELECT *, (SELECT (sum(bad) + 0.5) / (sum(n) + 1) FROM s0) AS mean FROM s0),
+ks AS ({moment(low, high, "s1")}),
+s2 AS (SELECT suffix, {shrink("k")} AS mean FROM s1, ks),
+d1 AS (SELECT d0.*, s2.mean FROM d0 JOIN s2 ON d0.suffix = s2.suffix),
+kd AS ({moment(low, high, "d1")}),
+d2 AS (SELECT suffix, domain, {shrink("k")} AS mean FROM d1, kd),
+h3 AS (SELECT h2.*, d2.mean FROM h2 JOIN d2 ON h2.suffix = d2.suffix AND h2.domain = d2.domain),
+kh AS ({moment(low, high, "h3")}),
+h4 AS (SELECT host, bad + k * mean AS a, n - bad + k * (1 - mean) AS b FROM h3, kh),
+h5 AS (SELECT *, a / (a + b) AS mu, 10 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS reach FROM h4),
+h6 AS (SELECT *, greatest(mu - reach, 0.0) AS lo, least(mu + reach, 1.0) AS hi FROM h5),
+g AS (SELECT host, a, b, mu, lo + (hi - lo) * (i + 0.5) / {h.GRID} AS x FROM h6, (SELECT unnest(range({h.GRID})) AS i)),
+w AS (SELECT host, x, exp((a - 1) * ln(x) + (b - 1) * ln(1 - x) - ((a - 1) * ln(mu) + (b - 1) * ln(1 - mu))) AS w FROM g),
+bad AS (SELECT host FROM w GROUP BY host HAVING sum(CASE WHEN x > {h.MAX_BAD} THEN w ELSE 0 END) / sum(w) >= {h.CONFIDENCE}),
+v AS (SELECT *, {rule} AS rule FROM u)
+SELECT page_id, host, path, rule, coalesce({said}, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM v
+"""
+
+
+def _op6() -> str:
+    other = sum(map(len, (c.ROLE, c.TEXT, c.END)))
+    marks = " ".join(f"WHEN '{r}' THEN {len(a) + len(b)}" for r, (a, b) in c.TURNS.items())
+    escaped = lambda x: f"length({x}) + length(regexp_replace({x}, '[^\\\\\\\\<\\[]', '', 'g'))"
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '{HOSTILE}' UNION ALL SELECT -7, 1, 'assistant', '{HOSTILE}'),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k,
+             {escaped("text")} + CASE role {marks} ELSE {other} + {escaped("role")} END AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = '{c.LOSS_ROLE}'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = '{c.LOSS_ROLE}'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM o GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _op1(), "op7_exact_dedup": OP7, "op10_line_dedup": OP10}
+    return {"op1_quality_rules": _op1(), "op4_url_filters": _op4(), "op6_chat_formatting": _op6(), "op7_exact_dedup": OP7, "op10_line_dedup": OP10}
