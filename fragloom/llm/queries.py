@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fragloom.llm import block_naming, chat, host_reputation, line_dedup, minhash, packing, pivotal_mix, quality_rules
+from fragloom.llm import block_naming, chat, fm_classifier, host_reputation, line_dedup, minhash, packing, pii, pivotal_mix, quality_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_read(spark, sf_dir, "documents"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_classifier.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 #: Fixed URL rules of the op4 query.
 URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
 #: A conversation of control strings that the op6 query adds.
