@@ -61,6 +61,20 @@ def with_row_id(docs: DataFrame, name: str = "_rid") -> DataFrame:
     return docs.withColumn(name, F.monotonically_increasing_id())
 
 
+def free_name(df: DataFrame, base: str = "_rid") -> str:
+    """A column name that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs, all columns, less the rows whose number (with_row_id of the same stored table) is in gone (_rid)."""
+    name = free_name(docs)
+    return match(with_row_id(docs, name), table(gone.select(F.col("_rid").alias(name)), "gone"), name, "left_anti").drop(name)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else. lower() does the same, faster, where all characters are ASCII."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fragloom.llm._shared import match, table, with_row_id
+from fragloom.llm._shared import table, with_row_id, without_rows
 
 BLOCK = 4096
 #: Rows of a naming bucket, about.
@@ -112,5 +112,4 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """docs, all columns, with one row of each group of equal texts."""
-    gone = table(exact_duplicates(docs, id_col, text_col, block).where(~F.col("kept")).select("_rid"), "dropped")
-    return match(with_row_id(docs), gone, "_rid", "left_anti").drop("_rid")
+    return without_rows(docs, exact_duplicates(docs, id_col, text_col, block).where(~F.col("kept")))

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fragloom.llm._shared import table, with_row_id, word_count
+from fragloom.llm._shared import free_name, table, with_row_id, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -162,6 +162,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def repeat_rows(docs: DataFrame, **options: object) -> DataFrame:
     """docs, all columns, each row as often as the mix takes it."""
-    copies = mix(docs, **options).select("_rid", F.col("copies").alias("_copies"))
-    rows = with_row_id(docs).join(copies, "_rid")
-    return rows.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    rid = free_name(docs, "_rid")
+    wide = with_row_id(docs, rid)
+    many = free_name(wide, "_copies")
+    copies = mix(docs, **options).select(F.col("_rid").alias(rid), F.col("copies").cast("int").alias(many))
+    rows = wide.join(copies.where(F.col(many) > 0), rid)
+    return rows.withColumn(many, F.explode(F.sequence(F.lit(1), F.col(many)))).drop(rid, many).select(*docs.columns)

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fragloom.llm._shared import table, with_row_id, without_rows
+
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = b"#*$%&|<>"
 #: Rules as (name, numerator, denominator), all larger for worse texts, and the cutoffs tried, loose to strict, in percent.
@@ -129,16 +131,11 @@ def verdict(cutoffs: dict[str, dict[str, int]]) -> Column:
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, row_col: str | None = None) -> DataFrame:
     """measures() plus kept."""
-    from fragloom.llm._shared import table
-
     measured = table(measures(docs, row_col=row_col), "measures")
     return measured.withColumn("kept", ~F.col("base_failed") & verdict(certified_cutoffs(measured, labels, alpha, delta)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs, all columns, without the rejected rows."""
-    from fragloom.llm._shared import match, table, with_row_id
-
-    numbered = with_row_id(docs)
-    gone = table(judge(numbered, labels, row_col="_rid").where(~F.col("kept")).select("_rid"), "rejected")
-    return match(numbered, gone, "_rid", "left_anti").drop("_rid")
+    judged = judge(with_row_id(docs.select("doc_id", "text", "lang")), labels, row_col="_rid")
+    return without_rows(docs, judged.where(~F.col("kept")))
