@@ -21,7 +21,7 @@ OUT = T.StructType([*(T.StructField(f.name, f.dataType) for f in schema.FRAGMENT
 
 
 def _rows(file: str, content: str | None, nikaya: str | None, fixes: list, inserted: list) -> list[dict]:
-    failed = lambda status, e: [{"cst_file": file, "status": status, "error": str(e)}]
+    failed = lambda status, e: [dict.fromkeys(OUT.names) | {"cst_file": file, "status": status, "error": str(e)}]
     if content is None or nikaya is None:
         return failed("error", "its collection is not named or not known")
     try:
