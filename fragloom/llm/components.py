@@ -16,7 +16,8 @@ def _least(edges: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for each node of links (u, v): root is the least node reachable. Rounds: logarithmic in the nodes."""
+    """(node, root) for each node of links (u, v) that is not its own root: root is the least node reachable. Rounds:
+    logarithmic in the nodes."""
     now, before = table(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links"), None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -8,10 +8,12 @@ some table with probability (1 - (1 - s ** WIDTH) ** GROUPS) ** 2: 0.9988 at 0.7
 Rows meet on their A value first, and only those that meet anyone are combined with B.
 
 Candidates are verified on full sets (intersection and union of all shingle hashes, whole numbers). No group is expanded
-into all its pairs: in each bucket every member is compared with the bucket's first, and only members that this leaves
-outside the first's component are compared with the bucket's members in other components, whatever their number. Before
-sets are fetched, a pair must agree in size (exact bound) and in a 256-bit sketch (one bit a hash range; 32 differing
-bits are expected at 0.75 or above, the limit lies SLACK standard deviations above).
+into all its pairs. First each member of a bucket is compared with one head, the member that meets most others anywhere,
+which tends to be the text that near copies were made from. Then only members that this leaves outside the head's component
+are compared with documents of other components that they meet, whatever their number, each pair once: at the first value
+of A that both have. Of these pairs only those go on that agree in size (an exact bound) and in a sketch (a 4-bit
+fingerprint of the least hash in each of BINS ranges; at the threshold or above, the number of differing ones has a
+known mean and variance, and SLACK standard deviations are allowed).
 
 Scale: texts are read twice and never shuffled unless more than BROADCAST_KEYS documents are candidates; what moves is
 the sketches, the buckets of two or more, and the sets of candidates. Every stage is a written table.
@@ -32,18 +34,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fragloom.llm._shared import match, table, with_row_id
+from fragloom.llm._shared import match, table, with_row_id, without_rows
 from fragloom.llm.components import components
 from fragloom.llm.shingles import SIZE, mix, shingle_sets
 
 GROUPS, WIDTH = 9, 2
 PERCENT = 75
-#: Standard deviations by which a pair at the threshold may differ in more sketch bits than expected.
-SLACK = 7.5
+BINS = 512
+#: Standard deviations by which a pair at the threshold may differ in more sketch bins than expected.
+SLACK = 5
 
 _U = np.uint64
-_SKETCH = "_rid long, doc_id long, n long, cls binary, z0 long, z1 long, z2 long, z3 long, a array<long>, b array<long>"
-_Z = ["z0", "z1", "z2", "z3"]
+_SKETCH = "_rid long, doc_id long, n long, cls binary, z array<long>, a array<long>, b array<long>"
 
 
 def _collections(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -60,17 +62,16 @@ def _collections(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _bits(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Signed (documents, 4): for each of 256 ranges of hashes, a bit of the least hash of the document there, else 0."""
+def _fingerprints(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Signed (documents, BINS / 16): of each of BINS ranges of hashes, 1 to 15 by the least hash of the document, 0 without."""
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    bin_ = (sets >> _U(56)).astype(np.int64)
-    place = doc * 256 + bin_
+    place = doc * BINS + (sets >> _U(64 - BINS.bit_length() + 1)).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
     with np.errstate(over="ignore"):
-        bit = mix(sets[first]) >> _U(63)
-    out = np.zeros((len(offsets) - 1) * 4, _U)
-    np.add.at(out, place[first] >> 6, bit << (place[first] & 63).astype(_U))
-    return out.view(np.int64).reshape(-1, 4)
+        mark = _U(1) + (mix(sets[first]) >> _U(32)) % _U(15)
+    out = np.zeros((len(offsets) - 1) * BINS // 16, _U)
+    np.add.at(out, place[first] >> 4, mark << (4 * (place[first] & 15)).astype(_U))
+    return out.view(np.int64).reshape(-1, BINS // 16)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,14 +80,14 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.diff(offsets)
             some = np.flatnonzero(counts)
             starts = np.append(offsets[:-1][some], offsets[-1])
-            z, keys = np.zeros((len(counts), 4), np.int64), np.zeros((len(counts), 2 * GROUPS), np.int64)
+            z, keys = np.zeros((len(counts), BINS // 16), np.int64), np.zeros((len(counts), 2 * GROUPS), np.int64)
             if len(some):
-                z[some], keys[some] = _bits(sets, starts), _collections(sets, starts)
+                z[some], keys[some] = _fingerprints(sets, starts), _collections(sets, starts)
             cls = [hashlib.blake2b(sets[p:q].tobytes(), digest_size=16).digest() if q > p else None for p, q in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            lists = [pa.ListArray.from_arrays(np.arange(0, len(counts) * GROUPS + 1, GROUPS, dtype=np.int32), np.ascontiguousarray(half).ravel()) for half in (keys[:, :GROUPS], keys[:, GROUPS:])]
+            lists = [pa.ListArray.from_arrays(np.arange(0, part.size + 1, part.shape[1], dtype=np.int32), np.ascontiguousarray(part).ravel()) for part in (z, keys[:, :GROUPS], keys[:, GROUPS:])]
             rows = batch.slice(first, len(counts))
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), rows.column(1), pa.array(counts, pa.int64()), pa.array(cls, pa.binary()), *(pa.array(z[:, k]) for k in range(4)), *lists], names=["_rid", "doc_id", "n", "cls", *_Z, "a", "b"]
+                [rows.column(0), rows.column(1), pa.array(counts, pa.int64()), pa.array(cls, pa.binary()), *lists], names=["_rid", "doc_id", "n", "cls", "z", "a", "b"]
             )
 
 
@@ -96,17 +97,21 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(offsets) - 1), pa.ListArray.from_arrays(offsets.astype(np.int32), sets.view(np.int64))], names=["_rid", "s"])
 
 
-def max_bits(percent: int) -> int:
-    """Of the 256 sketch bits, those in which a pair at percent or above differs at most."""
-    q = (1 - percent / 100) / 2
-    return math.ceil(256 * q + SLACK * math.sqrt(256 * q * (1 - q)))
-
-
 def _alike(x: str, y: str, percent: int) -> Column:
-    """Sizes and sketches that a pair at percent or above has."""
-    bits = sum((F.bit_count(F.col(f"{x}{z}").bitwiseXOR(F.col(f"{y}{z}"))) for z in _Z), F.lit(0))
-    sizes = (100 * F.least(f"{x}n", f"{y}n")) >= percent * F.greatest(f"{x}n", f"{y}n")
-    return sizes & (bits <= max_bits(percent))
+    """Sizes and sketches that a pair at percent or above has, apart from SLACK."""
+    small, large = F.least(f"{x}n", f"{y}n"), F.greatest(f"{x}n", f"{y}n")
+    union = (F.col(f"{x}n") + F.col(f"{y}n")) * (100 / (100 + percent))  # at most
+    q = 1 - percent / 100
+    used = BINS * (1 - F.exp(-union / BINS))
+    # The least hashes are a sample without replacement of the union; the last term covers the spread of `used`.
+    most = q * used + SLACK * F.sqrt(used * (q * (1 - q)) * F.greatest(union - used, F.lit(0.0)) / F.greatest(union - 1, F.lit(1.0))) + 3
+    differ = F.lit(0)
+    for k in range(BINS // 16):
+        d = F.get(f"{x}z", F.lit(k)).bitwiseXOR(F.get(f"{y}z", F.lit(k)))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
+        differ = differ + F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
+    return (100 * small >= percent * large) & (differ <= most)
 
 
 def _verified(numbered: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -120,25 +125,33 @@ def _verified(numbered: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 def links(numbered: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Verified links (u, v) between class representatives, enough to connect all that verified links connect."""
-    by_a = classes.select("_rid", "n", *_Z, "b", F.posexplode("a").alias("i", "ka"))
+    by_a = classes.select("_rid", "b", F.posexplode("a").alias("i", "ka"))
     met = table(by_a.groupBy("i", "ka").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("i", "ka"), "met")
-    rows = by_a.join(met, ["i", "ka"]).select("_rid", "n", *_Z, "i", "ka", F.posexplode("b").alias("j", "kb")).select(F.xxhash64("i", "j", "ka", "kb").alias("key"), "_rid", "n", *_Z)
-    rows = table(rows, "keys")
-    heads = table(rows.groupBy("key").agg(F.min(F.struct("_rid", "n", *_Z)).alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "heads")
-    buckets = table(rows.join(heads, "key").select("key", "_rid", "n", *_Z, F.col("h._rid").alias("head"), *(F.col(f"h.{x}").alias(f"h{x}") for x in ["n", *_Z])), "buckets")
-
-    first = table(buckets.where("_rid <> head").where(_alike("", "h", percent)).select(F.col("_rid").alias("u"), F.col("head").alias("v")).distinct(), "pairs")
+    rows = table(by_a.join(met, ["i", "ka"]).select("_rid", "i", "ka", F.posexplode("b").alias("j", "kb")).select(F.xxhash64("i", "j", "ka", "kb").alias("key"), "_rid"), "keys")
+    shared = table(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
+    buckets = table(rows.join(shared, "key"), "buckets")
+    degree = table(buckets.groupBy("_rid").agg(F.sum("c").alias("d")), "degree")
+    # Most meetings first, then the least number.
+    heads = buckets.select("key", "_rid").join(degree, "_rid").groupBy("key").agg(F.max(F.struct("d", (-F.col("_rid")).alias("r"))).alias("h"))
+    headed = table(buckets.select("key", "_rid").join(table(heads.select("key", (-F.col("h.r")).alias("head")), "heads"), "key"), "headed")
+
+    first = table(headed.where("_rid <> head").select(F.greatest("_rid", "head").alias("u"), F.least("_rid", "head").alias("v")).distinct(), "pairs")
     stars = table(_verified(numbered, first, percent), "stars")
 
     root = components(stars)
-    rooted = buckets.join(root.select(F.col("node").alias("_rid"), "root"), "_rid", "left").select("key", "_rid", "n", *_Z, "head", F.coalesce("root", "_rid").alias("root"))
-    heads = root.select(F.col("node").alias("head"), F.col("root").alias("hroot"))
-    rooted = table(rooted.join(heads, "head", "left").withColumn("hroot", F.coalesce("hroot", "head")), "rooted")
-    outside = rooted.where("root <> hroot").select("key", *(F.col(x).alias(f"l{x}") for x in ["_rid", "n", *_Z, "root"]))
-    others = rooted.where("_rid <> head").join(outside.select("key").distinct(), "key", "left_semi")
-    # A pair of two outsiders is met from both sides; the lower side tells it.
-    meet = (F.col("lroot") != F.col("root")) & ((F.col("root") == F.col("hroot")) | (F.col("l_rid") < F.col("_rid"))) & _alike("l", "", percent)
-    more = outside.join(others, (outside["key"] == others["key"]) & meet).select(F.greatest("l_rid", "_rid").alias("u"), F.least("l_rid", "_rid").alias("v")).distinct()
+    rooted = headed.select("_rid", "head").distinct().join(root.select(F.col("node").alias("_rid"), "root"), "_rid", "left").select("_rid", "head", F.coalesce("root", "_rid").alias("root"))
+    rooted = rooted.join(root.select(F.col("node").alias("head"), F.col("root").alias("hroot")), "head", "left").withColumn("out", F.col("root") != F.coalesce("hroot", "head"))
+    rooted = table(rooted, "rooted")
+    # Documents of heads that someone is outside of, and whether they are outside themselves.
+    open_heads = table(rooted.where("out").select("head").distinct(), "open")
+    some = rooted.join(open_heads, "head", "left_semi").groupBy("_rid", "root").agg(F.max("out").alias("out"))
+    some = table(some.join(classes.select("_rid", "n", "z", "a", "b"), "_rid").select("*", F.posexplode("a").alias("i", "ka")), "some")
+    left = some.where("out").select("i", "ka", *(F.col(c).alias(f"l{c}") for c in ("_rid", "root", "n", "z", "a", "b")))
+    once = F.array_position(F.zip_with("la", "a", lambda x, y: x == y), True) == F.col("i") + 1
+    meet = (F.col("lroot") != F.col("root")) & (~F.col("out") | (F.col("l_rid") < F.col("_rid"))) & _alike("l", "", percent)
+    meet = meet & once & F.exists(F.zip_with("lb", "b", lambda x, y: x == y), lambda same: same)
+    right = some.withColumnsRenamed({"i": "ri", "ka": "rka"})
+    more = left.join(right, (left["i"] == right["ri"]) & (left["ka"] == right["rka"]) & meet).select(F.greatest("l_rid", "_rid").alias("u"), F.least("l_rid", "_rid").alias("v"))
     return stars.unionByName(_verified(numbered, table(more, "pairs2"), percent))
 
 
@@ -158,8 +171,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """docs, all columns, with one document of each component."""
-    gone = table(near_duplicates(docs, id_col, text_col, percent).where(~F.col("kept")).select("_rid"), "near")
-    return match(with_row_id(docs), gone, "_rid", "left_anti").drop("_rid")
+    return without_rows(docs, near_duplicates(docs, id_col, text_col, percent).where(~F.col("kept")))
 
 
 __all__ = ["SIZE", "drop_near_duplicates", "links", "near_duplicates"]
