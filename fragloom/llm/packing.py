@@ -13,9 +13,10 @@ offsets, ranks are counted within them, and a rank falls into one pattern's rang
 Scale: texts are read and tokenised once, in Python workers; afterwards rows of a few numbers are shuffled, dealt by
 length and a hash, so a length that holds a third of all pieces has many tasks. The driver sees `limit` counts.
 
-Tokenising: pieces of text between which the BPE never merges are found by the public pattern and their ids cached as
-bytes; the tokenizers library encodes each new one. Texts with characters for which the pattern and the library
-were not seen to agree go to the library whole. Strings of special tokens in a text are ordinary text.
+Tokenising: pieces of text between which the BPE never merges are cut at blanks, line ends, commas and stops in plain
+prose and found by the public pattern in other texts, and their ids cached as bytes; the tokenizers library encodes each
+new one. Texts with characters for which the pattern and the library were not seen to agree go to the library whole. Strings
+of special tokens in a text are ordinary text.
 
 Defined cases: null text is empty and packs as END alone. Repeated rows are packed one by one. Other columns of the input,
 whatever their names, are ignored. An empty table gives no rows.
@@ -24,7 +25,9 @@ whatever their names, are ignored. An empty table gives no rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -39,7 +42,7 @@ from fragloom.llm._shared import table, with_row_id
 LIMIT = 2048
 END = b"\0\0\0\0"
 #: Cached ids of pieces of text in a worker, and pieces in a ranking bucket, about.
-CACHE, BUCKET = 400_000, 50_000
+CACHE, BUCKET = 1_000_000, 50_000
 #: Code points checked for agreement between the pattern and the library.
 CHECKED = 0x250
 
@@ -51,13 +54,12 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import re
-
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.find = regex.compile(pattern).findall
         split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         odd = []
@@ -66,21 +68,46 @@ class Encoder:
             if [b - a for _, (a, b) in split(probe)] != [len(x) for x in self.find(probe)]:
                 odd.append(re.escape(c))
         self.unsafe = re.compile(f"[\0{''.join(odd)}{chr(CHECKED)}-\U0010ffff]").search
-        self.cache: dict[str, bytes] = {}
+        # Without white space, which _plain() sees to, all of Latin-1 is safe if only this is not in it.
+        self.odd_latin = "".join(c[-1] for c in odd if ord(c[-1]) < 256 and not c[-1].isspace()) + "\0"
+        self.cache: dict[str, bytes] = {"": b""}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.batch(texts, add_special_tokens=False)]
 
-    def __call__(self, text: str) -> bytes:
-        if self.unsafe(text):
-            return self._ids([text])[0]
-        words = self.find(text)
-        if new := list(set(words).difference(self.cache)):
+    def _known(self, pieces: list[str]) -> bytes:
+        if new := list(set(pieces).difference(self.cache)):
             if len(self.cache) > CACHE:
                 self.cache.clear()
-                new = list(set(words))
+                new = list(set(pieces))
             self.cache.update(zip(new, self._ids(new)))
-        return b"".join(map(self.cache.__getitem__, words))
+        return b"".join(map(self.cache.__getitem__, pieces))
+
+    def _plain(self, text: str) -> bool:
+        """All white space is single blanks and line ends between other characters, and those are safe."""
+        if len(text.split()) != text.count(" ") + text.count("\n") + 1:
+            return False
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return not self.unsafe(text)
+        return not any(c in text for c in self.odd_latin)
+
+    def __call__(self, text: str) -> bytes:
+        if self._plain(text) and _prose(text):
+            # Words with the blank before them, line ends, commas and stops: what the pattern finds, cut without it.
+            return self._known(text.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(",", "\0,").replace(".", "\0.").split("\0"))
+        if self.unsafe(text):
+            return self._ids([text])[0]
+        return self._known(self.find(text))
+
+
+def _prose(text: str) -> bool:
+    """All characters but white space are letters and digits, or commas and stops at the ends of words."""
+    ends = sum(text.count(p + s) for p in ",." for s in " \n") + text.endswith((",", "."))
+    if ends != text.count(",") + text.count(".") or text[:1] in (",", ".") or any(x in text for x in (" ,", " .", "\n,", "\n.")):
+        return False
+    return text.replace(",", "").replace(".", "").replace(" ", "").replace("\n", "").isalnum()
 
 
 _encoders: dict[str, Encoder] = {}
