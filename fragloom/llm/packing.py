@@ -14,9 +14,9 @@ Scale: texts are read and tokenised once, in Python workers; afterwards rows of
 length and a hash, so a length that holds a third of all pieces has many tasks. The driver sees `limit` counts.
 
 Tokenising: pieces of text between which the BPE never merges are cut at blanks, line ends, commas and stops in plain
-prose and found by the public pattern in other texts, and their ids cached as bytes; the tokenizers library encodes each
-new one. Texts with characters for which the pattern and the library were not seen to agree go to the library whole. Strings
-of special tokens in a text are ordinary text.
+prose and found by the public pattern in other texts, and their ids cached as bytes; the BPE model of the tokenizers
+library encodes each new one. Texts with characters for which the pattern and the library were not seen to agree go to
+the library whole. Strings of special tokens in a text are ordinary text.
 
 Defined cases: null text is empty and packs as END alone. Repeated rows are packed one by one. Other columns of the input,
 whatever their names, are ignored. An empty table gives no rows.
@@ -42,13 +42,19 @@ from fragloom.llm._shared import table, with_row_id
 LIMIT = 2048
 END = b"\0\0\0\0"
 #: Cached ids of pieces of text in a worker, and pieces in a ranking bucket, about.
-CACHE, BUCKET = 1_000_000, 50_000
+CACHE, BUCKET = 1_500_000, 50_000
 #: Code points checked for agreement between the pattern and the library.
 CHECKED = 0x250
 
 _PIECES = "_rid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: Byte to character of byte-level vocabularies: printable ones stand for themselves, the others follow from 256 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_BLANK = chr(_ALPHABET[32])
+
+
 class Encoder:
     """Text to the little-endian 32-bit ids of a byte-level BPE tokenizer file, as bytes."""
 
@@ -59,7 +65,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.model = self.tokenizer.model
         self.find = regex.compile(pattern).findall
         split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         odd = []
@@ -72,15 +78,24 @@ class Encoder:
         self.odd_latin = "".join(c[-1] for c in odd if ord(c[-1]) < 256 and not c[-1].isspace()) + "\0"
         self.cache: dict[str, bytes] = {"": b""}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.batch(texts, add_special_tokens=False)]
+    def _word(self, piece: str) -> bytes:
+        """Ids of a pre-token, or of a few in a row, by the library's BPE model; its alphabet is one character a byte."""
+        if piece.isalpha() or piece[1:].isalpha():
+            if piece.isascii():
+                shown = _BLANK + piece[1:] if piece[0] == " " else piece
+                if shown.isalpha():
+                    return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            parts = [piece]
+        else:
+            parts = self.find(piece)
+        return array("I", [t.id for p in parts for t in self.model.tokenize(p.encode().decode("latin-1").translate(_ALPHABET))]).tobytes()
 
     def _known(self, pieces: list[str]) -> bytes:
         if new := list(set(pieces).difference(self.cache)):
             if len(self.cache) > CACHE:
                 self.cache.clear()
                 new = list(set(pieces))
-            self.cache.update(zip(new, self._ids(new)))
+            self.cache.update(zip(new, map(self._word, new)))
         return b"".join(map(self.cache.__getitem__, pieces))
 
     def _plain(self, text: str) -> bool:
@@ -98,7 +113,7 @@ class Encoder:
             # Words with the blank before them, line ends, commas and stops: what the pattern finds, cut without it.
             return self._known(text.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(",", "\0,").replace(".", "\0.").split("\0"))
         if self.unsafe(text):
-            return self._ids([text])[0]
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return self._known(self.find(text))
 
 
