@@ -618,13 +618,18 @@ def page_titles(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 
 
-#: A file per source: its documents are sections of one book, with the first line of each as body text.
-_SECTIONS = "SELECT source || '.mul.xml' AS cst_file, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, doc_id, replace(replace(replace(split_part(text, chr(10), 1), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS line FROM documents"
+def _sections(body: str) -> str:
+    return f"SELECT source || '.mul.xml' AS cst_file, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, doc_id, replace(replace(replace({body}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS line FROM documents"
+
+
+#: A file per source: its documents are sections of one book, with the whole text of each as body text. Of the twins, no
+#: result depends on the texts, so they read a first line only.
+_TEXTS, _SECTIONS = _sections("coalesce(text, '')"), _sections("split_part(text, chr(10), 1)")
 _HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<TEI.2><text>\n<body>\n<p rend="nikaya">Dīghanikāyo</p>\n<div id="dn1" type="book"><head rend="book">Book</head>\n'
 
 
 def section_files(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.sql(_SECTIONS.replace("FROM documents", "FROM {documents}").replace("chr(10)", "'\\n'"), documents=read(spark, sf, "documents"))
+    rows = spark.sql(_TEXTS.replace("FROM documents", "FROM {documents}"), documents=read(spark, sf, "documents"))
     k = F.col("k").cast("string")
     xml = F.concat(F.lit('<div id="dn1_'), k, F.lit('" type="sutta">\n<head rend="chapter">'), k, F.lit('. Title</head>\n<p rend="bodytext" n="'), k, F.lit('">'), "line", F.lit("</p>\n</div>\n"))
     files = ordered.joined_text(rows.select("cst_file", "k", xml.alias("xml")), ["cst_file"], ["k"], "xml", out="body")
