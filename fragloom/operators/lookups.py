@@ -141,41 +141,74 @@ def _found(code: str, titles: dict[str, str], ranges: dict[str, str]) -> tuple[s
     return None
 
 
+def _ordered(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.assign(_o=[scan.parse_index(c) for c in rows["frag_idx_code"]]).sort_values("_o").drop(columns="_o")
+
+
+def _propagated(rows: pd.DataFrame, known: dict[str, str], ranges: dict[str, str]) -> pd.DataFrame:
+    rows = _ordered(rows)
+    codes, sutta, cst = rows["sc_code"].tolist(), rows["sc_sutta"].tolist(), rows["cst_code"].tolist()
+    for i in range(1, len(codes)):
+        if codes[i] is not None or cst[i] is None or codes[i - 1] is None:
+            continue
+        new = cd.sc_from_previous(cst[i], codes[i - 1], cst[i - 1])
+        if new is None:
+            continue
+        if cd.parse_cst_range(cst[i]):
+            new = cd.widened(new, cst[i])
+            title = known.get(new, known.get(new.split("-")[0]))
+            found = (new, title) if title is not None else None
+        else:
+            found = _found(new, known, ranges)
+        if found:
+            codes[i], sutta[i] = found
+    return rows.assign(sc_code=codes, sc_sutta=sutta)[["cst_file", "frag_idx_code", "sc_code", "sc_sutta"]]
+
+
+def _by_uid(pairs: list[tuple[str, str]]) -> tuple[dict[str, str], dict[str, str]]:
+    """Names of titles, and of ranges the least uid by the code that it begins with."""
+    known = dict(pairs)
+    return known, {uid.split("-")[0]: uid for uid in sorted(known, reverse=True) if "-" in uid}
+
+
+def _stems(rows: pd.DataFrame) -> pd.DataFrame:
+    """What the codes that a file's rows may get begin with: letters and first number. Among sn and an it rises by one a
+    filled row at most; among dn and mn it is the number of the cst code."""
+    rows, stems, last, n = _ordered(rows), set(), None, 0
+    for code, cst in zip(rows["sc_code"].tolist(), rows["cst_code"].tolist()):
+        if code is not None:
+            last, n = cd.parse_sc(code) or cd.parse_sc(code.partition("-")[0]), 0
+        elif cst is None:
+            last = None  # the rows below find no code above them
+        elif last is not None and last.group is None:
+            parts = (cd.parse_cst_range(cst) or (cst, None))[0].split(".")
+            if len(parts) > 3 and parts[3].removeprefix("+").isdecimal():
+                stems.add(f"{last.prefix}{int(parts[3])}")
+        elif last is not None:
+            n += 1
+            stems |= {f"{last.prefix}{last.group + n - 1}", f"{last.prefix}{last.group + n}"}
+    return pd.DataFrame({"cst_file": rows["cst_file"].iloc[0], "stem": pd.Series(sorted(stems), dtype=object)})
+
+
 def propagate(fragments: DataFrame, titles: DataFrame | None) -> DataFrame:
     """[D7] sc_code and sc_sutta where null, from the row above, which may itself just have been filled: an ordered fold per
-    file, so grouped Python. A code is kept only if titles know it. Without titles nothing is filled."""
+    file, so grouped Python. A code is kept only if titles know it. Without titles nothing is filled. Up to BROADCAST_ROWS titles
+    go to every task; of more, each file gets by a join those that its rows may need."""
     if titles is None:
         return fragments
+    slim, out = fragments.select("cst_file", "frag_idx_code", "cst_code", "sc_code", "sc_sutta"), "cst_file string, frag_idx_code string, sc_code string, sc_sutta string"
     pairs = [(r["uid"], r["name"]) for r in titles.select("uid", "name").limit(BROADCAST_ROWS + 1).collect()]
-    if len(pairs) > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} titles")
-    known = dict(pairs)
-    ranges: dict[str, str] = {}
-    for uid in sorted(known, reverse=True):
-        if "-" in uid:
-            ranges[uid.split("-")[0]] = uid
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(_o=[scan.parse_index(c) for c in rows["frag_idx_code"]]).sort_values("_o").drop(columns="_o")
-        codes, sutta, cst = rows["sc_code"].tolist(), rows["sc_sutta"].tolist(), rows["cst_code"].tolist()
-        for i in range(1, len(codes)):
-            if codes[i] is not None or cst[i] is None or codes[i - 1] is None:
-                continue
-            new = cd.sc_from_previous(cst[i], codes[i - 1], cst[i - 1])
-            if new is None:
-                continue
-            if cd.parse_cst_range(cst[i]):
-                new = cd.widened(new, cst[i])
-                title = known.get(new, known.get(new.split("-")[0]))
-                found = (new, title) if title is not None else None
-            else:
-                found = _found(new, known, ranges)
-            if found:
-                codes[i], sutta[i] = found
-        return rows.assign(sc_code=codes, sc_sutta=sutta)[["cst_file", "frag_idx_code", "sc_code", "sc_sutta"]]
-
-    slim = fragments.select("cst_file", "frag_idx_code", "cst_code", "sc_code", "sc_sutta")
-    new = slim.groupBy("cst_file").applyInPandas(fold, "cst_file string, frag_idx_code string, sc_code string, sc_sutta string")
+    if len(pairs) <= BROADCAST_ROWS:
+        known, ranges = _by_uid(pairs)
+        new = slim.groupBy("cst_file").applyInPandas(lambda rows: _propagated(rows, known, ranges), out)
+    else:
+        stems = slim.groupBy("cst_file").applyInPandas(_stems, "cst_file string, stem string")
+        needed = titles.select(F.regexp_extract("uid", "^[a-z]+[0-9]+", 0).alias("stem"), "uid", "name").join(stems, "stem").select("cst_file", "uid", "name")
+
+        def fold(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            return _propagated(rows, *_by_uid(list(zip(own["uid"], own["name"])))) if len(rows) else pd.DataFrame(columns=["cst_file", "frag_idx_code", "sc_code", "sc_sutta"])
+
+        new = slim.groupBy("cst_file").cogroup(needed.groupBy("cst_file")).applyInPandas(fold, out)
     return fragments.drop("sc_code", "sc_sutta").join(new, ["cst_file", "frag_idx_code"]).select(*fragments.columns)
 
 

@@ -67,6 +67,8 @@ _FRAGMENT = {
 }
 _TITLES = "SELECT uid, max(name) AS name FROM (SELECT 'sn' || CAST(p_partkey % 9 + 1 AS STRING) || '.' || CAST(p_size % 12 + 1 AS STRING) || CASE WHEN p_partkey % 3 = 0 THEN '-' || CAST(p_size % 12 + 4 AS STRING) ELSE '' END AS uid, p_name AS name FROM part WHERE p_partkey <= 90) GROUP BY uid"
 _MAPPING = "SELECT 'sn1.' || CAST(p_partkey % 9 + 1 AS STRING) || '.1.' || CAST(p_size % 6 + 1 AS STRING) AS cst_code, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE 'sn' || CAST(p_partkey % 9 + 1 AS STRING) || '.' || CAST(p_size AS STRING) END AS code, p_name AS sutta, p_partkey AS row_idx FROM part WHERE p_partkey <= 150"
+#: All of part, for what has no twin.
+_ALL_TITLES, _ALL_MAPPING = _TITLES.replace(" WHERE p_partkey <= 90", ""), _MAPPING.replace(" WHERE p_partkey <= 150", "")
 _F = f"f AS (SELECT {', '.join(f'{e} AS {c}' for c, e in _FRAGMENT.items())}, CAST(turn AS BIGINT) AS major, conv_id, turn FROM conversations)"
 _T, _M = f"t AS ({_TITLES})", f"m AS ({_MAPPING})"
 #: The sc code that a mapping gives a cst code: of repeated codes the last row.
@@ -84,12 +86,12 @@ def part_view(spark: SparkSession, sf: str, sql: str) -> DataFrame:
     return spark.sql(sql.replace("FROM part", "FROM {part}"), part=read(spark, sf, "part"))
 
 
-def part_titles(spark: SparkSession, sf: str) -> DataFrame:
-    return part_view(spark, sf, _TITLES)
+def part_titles(spark: SparkSession, sf: str, sql: str = _TITLES) -> DataFrame:
+    return part_view(spark, sf, sql)
 
 
-def part_mapping(spark: SparkSession, sf: str) -> DataFrame:
-    return part_view(spark, sf, _MAPPING)
+def part_mapping(spark: SparkSession, sf: str, sql: str = _MAPPING) -> DataFrame:
+    return part_view(spark, sf, sql)
 
 
 # -- fragment indexes
@@ -388,7 +390,7 @@ def title_suggestions(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def propagated_codes(spark: SparkSession, sf: str) -> DataFrame:
     """[D7, C17] an ordered fold"""
-    return lookups.propagate(turn_fragments(spark, sf), part_titles(spark, sf)).select("cst_file", "frag_idx_code", "sc_code", "sc_sutta")
+    return lookups.propagate(turn_fragments(spark, sf), part_titles(spark, sf, _ALL_TITLES)).select("cst_file", "frag_idx_code", "sc_code", "sc_sutta")
 
 
 @query()
@@ -471,7 +473,7 @@ def check_not_in_titles(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def check_all(spark: SparkSession, sf: str) -> DataFrame:
     """[2.11, E9] findings per file and check"""
-    return checks.findings_by_file(checks.run_all(turn_fragments(spark, sf), part_titles(spark, sf)))
+    return checks.findings_by_file(checks.run_all(turn_fragments(spark, sf), part_titles(spark, sf, _ALL_TITLES)))
 
 
 @query(f"WITH {_F} SELECT cst_file, count(*) AS n, coalesce(max(e.c), 0) AS expected FROM f LEFT JOIN (SELECT cst_file AS k, count(*) AS c FROM f WHERE frag_review IS NULL GROUP BY 1) e ON e.k = f.cst_file GROUP BY cst_file HAVING count(*) <> coalesce(max(e.c), 0)")
@@ -706,6 +708,6 @@ def root_titles(spark: SparkSession, sf: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Files to fragments, enriched from mapping and titles, with the findings of each."""
-    rows, _ = runs.parse(section_files(spark, sf), part_mapping(spark, sf), part_titles(spark, sf))
-    found = checks.run_all(rows, part_titles(spark, sf)).groupBy(*checks.KEYS).agg(F.array_sort(F.collect_set("check_id")).alias("findings"))
+    rows, _ = runs.parse(section_files(spark, sf), part_mapping(spark, sf, _ALL_MAPPING), part_titles(spark, sf, _ALL_TITLES))
+    found = checks.run_all(rows, part_titles(spark, sf, _ALL_TITLES)).groupBy(*checks.KEYS).agg(F.array_sort(F.collect_set("check_id")).alias("findings"))
     return rows.select(*checks.KEYS, "frag_type", "cst_code", "cst_sutta", "cst_paranum", "sc_code", "start_line", "end_line").join(found, checks.KEYS, "left")

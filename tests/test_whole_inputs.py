@@ -1,8 +1,11 @@
 """The queries take their whole tables, not a part of them."""
 
+import random
 from xml.sax.saxutils import escape
 
-from fragloom.operators import segment
+from pyspark.sql import functions as F
+
+from fragloom.operators import lookups, segment
 from fragloom.plans import queries
 
 
@@ -23,3 +26,37 @@ def test_sections_hold_whole_texts(spark, tmp_path):
         tokens = {r["byte_start"]: (r["line"], r["col"]) for r in queries.segment_tokens(spark, str(tmp_path)).where(f"cst_file = '{file}'").collect()}
         raw = files[file].encode()
         assert all(at == (raw.count(b"\n", 0, p) + 1, p - (raw.rfind(b"\n", 0, p) + 1)) for p, at in tokens.items())
+
+
+def test_dimensions_without_twin_are_whole(spark, tmp_path):
+    rows = [(k, 1 + k * 7 % 50, f"name {k}") for k in range(1, 401)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    titles = {}
+    for k, size, name in rows:
+        uid = f"sn{k % 9 + 1}.{size % 12 + 1}" + (f"-{size % 12 + 4}" if k % 3 == 0 else "")
+        titles[uid] = max(titles.get(uid, ""), name)
+    assert {r["uid"]: r["name"] for r in queries.part_titles(spark, str(tmp_path), queries._ALL_TITLES).collect()} == titles
+    assert queries.part_mapping(spark, str(tmp_path), queries._ALL_MAPPING).count() == len(rows)
+
+
+def test_many_titles_propagate_alike(spark, monkeypatch):
+    """Beyond BROADCAST_ROWS: what the fold fills with all titles at hand, over random files."""
+    draw = random.Random(4)
+    uids = {f"{p}{g}.{n}" + (f"-{n + draw.randint(1, 3)}" if draw.random() < 0.3 else "") for p in ("sn", "an") for g in range(1, 9) for n in range(1, 9) if draw.random() < 0.8}
+    uids |= {f"{p}{n}" + (f"-{n + 2}" if n % 4 == 0 else "") for p in ("dn", "mn") for n in range(1, 30)} | {"xx", "kp1.2", "sn1", "sn2"}
+    titles = spark.createDataFrame([(u, f"title {u}") for u in sorted(uids)], "uid string, name string")
+    rows = []
+    for f in range(60):
+        prefix = draw.choice(("sn", "an", "dn", "mn"))
+        group, n = draw.randint(1, 4), 1
+        for i in range(14):
+            group, n = (group + 1, 1) if draw.random() < 0.25 else (group, n + 1)
+            own = f"{prefix}{group}.{n}" if prefix in ("sn", "an") else f"{prefix}{n}"
+            sc = (own + draw.choice(("", "", f"-{n + 1}"))) if i == 0 or draw.random() < 0.15 else None
+            rows.append((f"{f}.xml", f"{i}.0", None if draw.random() < 0.05 else f"sn{group}.1.1.{n}" + (f"-{n + 2}" if draw.random() < 0.15 else ""), sc, None))
+    rows = spark.createDataFrame(rows, "cst_file string, frag_idx_code string, cst_code string, sc_code string, sc_sutta string")
+    want = sorted(map(str, lookups.propagate(rows, titles).collect()))
+    filled = lookups.propagate(rows, titles).where("sc_sutta is not null").groupBy(F.substring("sc_code", 1, 2).alias("p")).count().collect()
+    assert {r["p"] for r in filled if r["count"] > 5} == {"sn", "an", "dn", "mn"}
+    monkeypatch.setattr(lookups, "BROADCAST_ROWS", 20)
+    assert sorted(map(str, lookups.propagate(rows, titles).collect())) == want
