@@ -3,9 +3,11 @@ semi joins and a few column expressions."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,9 +58,34 @@ def match(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
     return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, how)
 
 
+def _scan_only(docs: DataFrame) -> bool:
+    """Whether docs is one scan of files whose rows have a place there, with nothing above it but columns and filters."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.deterministic():
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation":
+        return False
+    try:
+        return docs.select("_metadata.row_index").schema[0].dataType.typeName() == "long"
+    except AnalysisException:  # no Parquet
+        return False
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """docs, written as table() unless it is a plain scan of Parquet files: what with_row_id() numbers alike every time."""
+    return docs if _scan_only(docs) else table(docs, "rows")
+
+
 def with_row_id(docs: DataFrame, name: str = "_rid") -> DataFrame:
-    """Numbers the rows of a stored table; a scan of the same files numbers them alike every time."""
-    return docs.withColumn(name, F.monotonically_increasing_id())
+    """Numbers the rows of stored() docs by file and place in the file, so alike every time, however the scan is split."""
+    if not _scan_only(docs):
+        raise ValueError("with_row_id() numbers what stored() gives")
+    plain = lambda path: re.sub("^[A-Za-z0-9+.-]+:/+", "/", path)
+    at = free_name(docs, "_at")
+    files = docs.sparkSession.createDataFrame(list(enumerate(sorted(map(plain, docs.inputFiles())))), f"_file long, {at} string")
+    rows = docs.withColumns({name: F.col("_metadata.row_index"), at: F.regexp_replace("_metadata.file_path", "^[A-Za-z0-9+.-]+:/+", "/")})
+    file = F.coalesce(files["_file"], F.raise_error(F.lit("a row of an unlisted file")).cast("long"))
+    return rows.join(F.broadcast(files), at, "left").select(*(rows[c] for c in docs.columns), (F.shiftleft(file, 40) + rows[name]).alias(name))
 
 
 def free_name(df: DataFrame, base: str = "_rid") -> str:
@@ -70,7 +97,7 @@ def free_name(df: DataFrame, base: str = "_rid") -> str:
 
 
 def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs, all columns, less the rows whose number (with_row_id of the same stored table) is in gone (_rid)."""
+    """stored() docs, all columns, less the rows whose number (with_row_id of the same docs) is in gone (_rid)."""
     name = free_name(docs)
     return match(with_row_id(docs, name), table(gone.select(F.col("_rid").alias(name)), "gone"), name, "left_anti").drop(name)
 

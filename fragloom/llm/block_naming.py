@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fragloom.llm._shared import table, with_row_id, without_rows
+from fragloom.llm._shared import stored, table, with_row_id, without_rows
 
 BLOCK = 4096
 #: Rows of a naming bucket, about.
@@ -78,7 +78,7 @@ def sorted_names(rows: DataFrame, cols: list[str], count: int) -> DataFrame:
 
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """One row per row of docs: _rid, doc_id, sha (SHA-256 of the text), level, ident. Equal (level, ident): equal texts."""
-    numbered = with_row_id(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    numbered = with_row_id(stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))))
     parts = table(numbered.select("_rid", "doc_id", "text").mapInArrow(_splitter(block), _SPLIT), "blocks")
     size = parts.agg(F.count("block").alias("blocks"), F.max("n").alias("longest")).first()
     names = sorted_names(parts.where("block is not null").select("lid", "block"), ["block"], size["blocks"]).select("lid", "name")
@@ -112,4 +112,5 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """docs, all columns, with one row of each group of equal texts."""
+    docs = stored(docs)
     return without_rows(docs, exact_duplicates(docs, id_col, text_col, block).where(~F.col("kept")))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fragloom.llm._shared import match, table, with_row_id, without_rows
+from fragloom.llm._shared import match, stored, table, with_row_id, without_rows
 from fragloom.llm.components import components
 from fragloom.llm.shingles import SIZE, mix, shingle_sets
 
@@ -157,7 +157,7 @@ def links(numbered: DataFrame, classes: DataFrame, percent: int = PERCENT) -> Da
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per row of docs: _rid, doc_id, n_shingles, component_id, kept."""
-    numbered = with_row_id(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    numbered = with_row_id(stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))))
     sketch = table(numbered.select("_rid", "doc_id", "text").mapInArrow(_sketch, _SKETCH), "sketch")
     first = table(sketch.where("n > 0").groupBy("cls").agg(F.min("_rid").alias("head")), "classes")
     classes = sketch.join(first.select(F.col("head").alias("_rid")), "_rid", "left_semi")
@@ -171,6 +171,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """docs, all columns, with one document of each component."""
+    docs = stored(docs)
     return without_rows(docs, near_duplicates(docs, id_col, text_col, percent).where(~F.col("kept")))
 
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fragloom.llm._shared import table, with_row_id
+from fragloom.llm._shared import stored, table, with_row_id
 
 LIMIT = 2048
 END = b"\0\0\0\0"
@@ -264,7 +264,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, id_c
     import public_tokenizers
 
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-    rows = with_row_id(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    rows = with_row_id(stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))))
     pieces = table(rows.select("_rid", "doc_id", "text").mapInArrow(_tokenize(str(path), public_tokenizers.PATTERN, limit), _PIECES), "pieces")
     counts = np.zeros(limit + 1, np.int64)
     for length, n in pieces.groupBy("length").count().collect():  # at most limit rows

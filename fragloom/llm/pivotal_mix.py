@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fragloom.llm._shared import free_name, table, with_row_id, word_count
+from fragloom.llm._shared import free_name, stored, table, with_row_id, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -135,7 +135,7 @@ def _level(level: int, last: bool):
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MAX_COPIES) -> DataFrame:
     """Per row of docs: _rid, doc_id, size, source_size, target, taken, copies."""
-    rows = with_row_id(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")))
+    rows = with_row_id(stored(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")))
     rows = table(rows, "sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")).orderBy(F.asc_nulls_last("source")).collect()
     if not sources:
@@ -162,6 +162,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def repeat_rows(docs: DataFrame, **options: object) -> DataFrame:
     """docs, all columns, each row as often as the mix takes it."""
+    docs = stored(docs)
     rid = free_name(docs, "_rid")
     wide = with_row_id(docs, rid)
     many = free_name(wide, "_copies")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fragloom.llm._shared import table, with_row_id, without_rows
+from fragloom.llm._shared import stored, table, with_row_id, without_rows
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = b"#*$%&|<>"
@@ -137,5 +137,6 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs, all columns, without the rejected rows."""
+    docs = stored(docs)
     judged = judge(with_row_id(docs.select("doc_id", "text", "lang")), labels, row_col="_rid")
     return without_rows(docs, judged.where(~F.col("kept")))
