@@ -5,7 +5,9 @@ Validated values in whole texts are replaced by keyed permutations of themselves
 local parts of e-mail addresses, and access keys. A value is read as an integer below the number of values of its form;
 a Feistel network over that range, with cycle walking where not every integer is a valid value, permutes it, and check
 digits are computed anew. So separators, lengths and validity stay, different values stay different, and equal values,
-of one kind, get equal pseudonyms in all documents: dates even across date formats. With the key it can be undone.
+of one kind, get equal pseudonyms in all documents: dates even across date formats. With the key it can be undone. Cards and
+IBANs are also found with short words or numbers beside them; there a value gets another pseudonym than elsewhere where its own
+would, with these, look like a longer valid value.
 
 Scale: one pass over Arrow batches, no shuffle. Texts without a digit or @ are passed through.
 
@@ -98,6 +100,16 @@ def iban_check(country: str, rest: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02d}"
 
 
+def card_ok(text: str) -> bool:
+    digits = re.sub(r"\D", "", text)
+    return 13 <= len(digits) <= 19 and luhn(digits[:-1]) == int(digits[-1])
+
+
+def iban_ok(text: str) -> bool:
+    plain = text.replace(" ", "")
+    return 15 <= len(plain) <= 34 and iban_check(plain[:2], plain[4:]) == plain[2:4]
+
+
 _DATES = (
     (re.compile(r"(\d{4})([-/.])(\d\d)\2(\d\d)"), (1, 3, 4), "{0:04d}{s}{1:02d}{s}{2:02d}"),
     (re.compile(r"(\d\d)(/)(\d\d)\2(\d{4})"), (4, 1, 3), "{1:02d}{s}{2:02d}{s}{0:04d}"),
@@ -134,22 +146,30 @@ class Pseudonyms:
     def _run(self, x: int, n: int, name: str, valid: Callable[[int], bool] = lambda _: True) -> int:
         return self.feistel.permute(x, n, name, valid, self.back)
 
-    def card(self, text: str) -> str | None:
-        digits = re.sub(r"\D", "", text)
-        if not 13 <= len(digits) <= 19 or luhn(digits[:-1]) != int(digits[-1]):
+    def card(self, text: str, fits: Callable[[str], bool] = lambda _: True) -> str | None:
+        if not card_ok(text):
             return None
-        body = f"{self._run(int(digits[:-1]), 10 ** (len(digits) - 1), 'card'):0{len(digits) - 1}d}"
-        return _written(int(body + str(luhn(body))), text)
+        digits = re.sub(r"\D", "", text)
 
-    def iban(self, text: str) -> str | None:
-        plain = text.replace(" ", "")
-        country, check, rest = plain[:2], plain[2:4], plain[4:]
-        if not 15 <= len(plain) <= 34 or iban_check(country, rest) != check:
+        def written(x: int) -> str:
+            body = f"{x:0{len(digits) - 1}d}"
+            return _written(int(body + str(luhn(body))), text)
+
+        return written(self._run(int(digits[:-1]), 10 ** (len(digits) - 1), "card", lambda x: fits(written(x))))
+
+    def iban(self, text: str, fits: Callable[[str], bool] = lambda _: True) -> str | None:
+        if not iban_ok(text):
             return None
+        plain = text.replace(" ", "")
+        country, rest = plain[:2], plain[4:]
+
+        def written(x: int) -> str:
+            new = _written(x, rest)
+            letters = iter(country + iban_check(country, new) + new)
+            return "".join(c if c == " " else next(letters) for c in text)
+
         x, n = _number(rest)
-        new = _written(self._run(x, n, "iban" + country), rest)
-        letters = iter(country + iban_check(country, new) + new)
-        return "".join(c if c == " " else next(letters) for c in text)
+        return written(self._run(x, n, "iban" + country, lambda x: fits(written(x))))
 
     def ssn(self, text: str) -> str | None:
         n = int(text.replace("-", ""))
@@ -217,6 +237,36 @@ _FIND = {kind: re.compile(p) for kind, p in _LOOKS.items()}
 _SOME = re.compile(r"[0-9@]")
 
 
+#: Kinds whose looks may take in what stands beside a value: the check, where a shorter value may end, where another may begin.
+_CUT = {
+    "card": (card_ok, re.compile(r" |-(?!\d{4})"), re.compile(r"\d{4}")),
+    "iban": (iban_ok, re.compile(" "), re.compile("[A-Z]{2}")),
+}
+
+
+def _cut_values(text: str, kind: str, taken: bytearray, made: Pseudonyms) -> Iterator[tuple[int, int, str]]:
+    """(start, end, pseudonym) of the values of a kind of _CUT. Of a candidate the longest part that is valid is taken, from its
+    start or else from one of its later words. What was refused on the way is refused in the new text too, so that the same
+    values are found there."""
+    (check, cut, begin), pattern, make = _CUT[kind], _FIND[kind], getattr(made, kind)
+    refused: list[tuple[int, int]] = []
+    now, at = text, 0
+    while m := pattern.search(text, at):
+        start, at = m.start(), m.start() + 1
+        ends = [m.end(), *(c.start() for c in reversed([*cut.finditer(text, start, m.end())]))]
+        for end in ends if not refused or start >= refused[-1][1] or begin.match(text, start) else []:
+            if any(taken[start:end]):
+                continue
+            if not check(text[start:end]):
+                refused.append((start, end))
+                continue
+            near = [(s, e) for s, e in refused if e > start]
+            new = make(text[start:end], lambda new: not any(check((now[s:start] + new + now[end:e])[: e - s]) for s, e in near))
+            now, at = now[:start] + new + now[end:], end
+            yield start, end, new
+            break
+
+
 def find(text: str, made: Pseudonyms) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of the valid values, none overlapping, earlier kinds of _LOOKS first."""
     spans: list[tuple[int, int, str, str]] = []
@@ -224,6 +274,11 @@ def find(text: str, made: Pseudonyms) -> list[tuple[int, int, str, str]]:
     for kind, pattern in _FIND.items():
         if kind == "email" and "@" not in text:
             continue
+        if kind in _CUT:
+            for start, end, new in _cut_values(text, kind, taken, made):
+                spans.append((start, end, kind, new))
+                taken[start:end] = b"\1" * (end - start)
+            continue
         for m in pattern.finditer(text):
             if not any(taken[m.start() : m.end()]) and (new := getattr(made, kind)(m[0])) is not None:
                 spans.append((m.start(), m.end(), kind, new))

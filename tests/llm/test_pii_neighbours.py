@@ -1,0 +1,54 @@
+"""Cards and IBANs with digits or words beside them."""
+
+import random
+
+import pytest
+
+from fragloom.llm import pii
+
+MADE, BACK = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", True)
+
+
+def found(text):
+    return [(text[a:b], kind) for a, b, kind, _ in pii.find(text, MADE)]
+
+
+@pytest.mark.parametrize("value", ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111", "3782 822463 10005"])
+@pytest.mark.parametrize("after", [" 12/25", " 123", "-123", " 2 pcs", " 12/25 123", " 12/25/2030", ", 123"])
+def test_card_before_digits(value, after):
+    # Whole, if with digits beside it where these too make a valid number.
+    assert any(v.startswith(value) for v, kind in found(f"card {value}{after} end") if kind == "card")
+
+
+@pytest.mark.parametrize("before", ["2 ", "qty 12 ", "2024 "])
+def test_card_after_digits(before):
+    text = f"{before}4111 1111 1111 1111 end"
+    assert ("4111 1111 1111 1111", "card") in found(text)
+
+
+@pytest.mark.parametrize("value", ["ES91 2100 0418 4502 0005 1332", "ES9121000418450200051332", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"])
+@pytest.mark.parametrize("after", ["", " EUR", " CODE", " A 12", " OF 2024"])
+def test_iban_before_words(value, after):
+    assert (value, "iban") in found(f"to {value}{after}")
+
+
+def test_neighbours_are_undone():
+    draw = random.Random(7)
+    taken = 0
+    for _ in range(3000):
+        body = "".join(draw.choice("0123456789") for _ in range(15))
+        card = body + str(pii.luhn(body))
+        if draw.random() < 0.7:
+            card = " ".join(card[i : i + 4] for i in range(0, 16, 4))
+        after = "".join(draw.choice("0123456789") for _ in range(draw.randint(1, 3)))
+        text = f"{draw.choice(('', '7 ', '31 ', 'no. '))}{card}{draw.choice(' -')}{after} end"
+        new, counts = pii.replace(text, MADE)
+        taken += counts["card"] == 1
+        assert pii.replace(new, BACK) == (text, counts)
+        assert card not in new
+    assert taken == 3000
+
+
+def test_numbers_that_fail_are_left():
+    for text in ("4111 1111 1111 1112", "41111111111111110000 1", "x4111111111111111 12", "ES92 2100 0418 4502 0005 1332"):
+        assert pii.replace(text, MADE)[0] == text
