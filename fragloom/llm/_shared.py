@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Key rows up to which a semi or anti join may broadcast its key side (8 to 16 bytes a row). Beyond it the join shuffles.
 BROADCAST_KEYS = 400_000
+#: A key is heavy if more than one in HEAVY of the rows have it, and more than LIGHT rows. So fewer than HEAVY keys are.
+HEAVY, LIGHT = 16384, 500
 
 #: The six white-space characters of the word rule [^\x20\x09-\x0D]+.
 SPACES = " \t\n\x0b\x0c\r"
@@ -42,15 +44,17 @@ def table(df: DataFrame, tag: str) -> DataFrame:
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._work_path = path
+    return out
 
 
-def drop_table(df: DataFrame) -> None:
-    """Deletes the files of a table() that nothing reads any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def drop_tables(*tables: DataFrame | None) -> None:
+    """Deletes the files of table()s, once what was made of them is written too. Other DataFrames and None are left alone."""
+    for df in tables:
+        if path := vars(df).get("_work_path") if df is not None else None:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def match(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
@@ -58,6 +62,40 @@ def match(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
     return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, how)
 
 
+def merge_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join that shuffles at every size, so that AQE can split a hot key and growth is alike at all sizes."""
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
+def heavy_limit(total: int) -> int:
+    return max(LIGHT, total // HEAVY)
+
+
+def heavy_keys(rows: DataFrame, cols: list[str]) -> DataFrame | None:
+    """The values of cols that more than heavy_limit() of the rows have, fewer than HEAVY, written; None without any.
+
+    rows is scanned twice: once to count 65536 ranges of hashes, once to count the keys in the ranges that are too full."""
+    spark, part = rows.sparkSession, F.shiftrightunsigned(F.xxhash64(*cols), 48)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).collect()  # at most 65536 rows
+    limit = heavy_limit(sum(r["_n"] for r in counts))
+    full = [(r["_part"],) for r in counts if r["_n"] > limit]
+    if not full:
+        return None
+    found = rows.withColumn("_part", part).join(F.broadcast(spark.createDataFrame(full, "_part long")), "_part", "left_semi")
+    keys = table(found.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*cols), "heavy")
+    return None if keys.isEmpty() else keys
+
+
+def join_heavy(rows: DataFrame, facts: DataFrame, on: list[str], heavy: DataFrame | None) -> DataFrame:
+    """Inner join of rows with facts, which has one row for each value of the columns on. Facts of heavy keys (fewer than
+    HEAVY of them) are broadcast, so that no task gets all rows of such a key; the others are shuffled."""
+    if heavy is None:
+        return merge_join(rows, facts, on)
+    keys = F.broadcast(heavy.select(*on))
+    split = merge_join(rows.join(keys, on, "left_anti"), facts.join(keys, on, "left_anti"), on)
+    return split.unionByName(rows.join(F.broadcast(facts.join(keys, on, "left_semi")), on))
+
+
 def _scan_only(docs: DataFrame) -> bool:
     """Whether docs is one scan of files whose rows have a place there, with nothing above it but columns and filters."""
     plan = docs._jdf.queryExecution().analyzed()

@@ -5,10 +5,12 @@ dealt to buckets by a hash, each bucket is sorted, and the rank of a block in it
 compare whole blocks and two different blocks never share one. Adjacent names are then paired and the pairs named the
 same way, level by level, until each document has one name; (levels, name) is its identity, without collisions.
 
-Scale: the text moves once, as blocks. Before that a task collapses equal blocks of an Arrow batch to one row, so a hot
-block reaches the sort at most once a batch; its occurrences find the name through a key of their own (``lid``), which
-never repeats. Pairs are made distinct with map-side aggregation before they are named; the join back can be split by AQE.
-Levels: log2 of the blocks of the longest text. Each level is a written table.
+Scale: the text moves once, as blocks. Before that a task collapses equal blocks of an Arrow batch to one row; its occurrences
+find the name through a key of their own (``lid``), which never repeats. Heavy blocks (see _shared) move in SALTS groups
+first, and one row of each group goes on to the naming. Pairs are made distinct with map-side aggregation before
+they are named; the names of heavy pairs, and what is known of heavy groups of copies, are broadcast, fewer than HEAVY rows,
+the others are joined back. Levels: log2 of the blocks of the longest text. Each level is a written table, deleted when it
+has been used.
 
 Defined cases: null text counts as empty; all empty texts are equal. Repeated rows, also of one doc_id, count one each
 in group_size and exactly one row of a group is kept: the largest doc_id, null below all, the later row on ties.
@@ -24,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fragloom.llm._shared import stored, table, with_row_id, without_rows
+from fragloom.llm._shared import drop_tables, heavy_keys, heavy_limit, join_heavy, merge_join, stored, table, with_row_id, without_rows
 
 BLOCK = 4096
 #: Rows of a naming bucket, about.
 BUCKET_ROWS = 2000
+#: Groups that the rows of a heavy block are dealt to.
+SALTS = 16
 
 _SPLIT = "_rid long, doc_id long, sha binary, n int, pos int, lid long, block binary"
 
@@ -76,16 +80,37 @@ def sorted_names(rows: DataFrame, cols: list[str], count: int) -> DataFrame:
     return rows.withColumn("name", rank.cast("long") * F.lit(buckets) + F.col("_b")).drop("_b")
 
 
+def block_names(parts: DataFrame) -> DataFrame:
+    """(lid, name), written, of all blocks of parts (lid, block, bh)."""
+    blocks = parts.where("block is not null").select("lid", "bh", "block")
+    heavy = heavy_keys(blocks, ["bh"])
+    if heavy is None:
+        return table(sorted_names(blocks, ["block"], blocks.count()).select("lid", "name"), "names")
+    # Of a heavy block, SALTS groups each send one row, rep, to the naming.
+    salt = F.pmod(F.xxhash64("lid"), F.lit(SALTS))
+    many = blocks.join(F.broadcast(heavy), "bh", "left_semi").withColumn("salt", salt)
+    many = many.withColumn("rep", F.min("lid").over(Window.partitionBy("bh", "salt", "block")))
+    many = table(many.select("lid", "rep", F.when(F.col("lid") == F.col("rep"), F.col("block")).alias("block")), "heavyblocks")
+    few = blocks.join(F.broadcast(heavy), "bh", "left_anti").select("lid", "block").unionByName(many.where("block is not null").select("lid", "block"))
+    few = table(sorted_names(few, ["block"], blocks.count()).select("lid", "name"), "names")
+    reps = few.join(F.broadcast(many.where("block is not null").select("lid")), "lid", "left_semi").withColumnRenamed("lid", "rep")  # fewer than HEAVY * SALTS
+    names = table(few.unionByName(many.where("block is null").join(F.broadcast(reps), "rep").select("lid", "name")), "allnames")
+    drop_tables(heavy, many, few)
+    return names
+
+
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row per row of docs: _rid, doc_id, sha (SHA-256 of the text), level, ident. Equal (level, ident): equal texts."""
+    """One row per row of docs, written: _rid, doc_id, sha (SHA-256 of the text), level, ident. Equal (level, ident): equal texts."""
     numbered = with_row_id(stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))))
-    parts = table(numbered.select("_rid", "doc_id", "text").mapInArrow(_splitter(block), _SPLIT), "blocks")
-    size = parts.agg(F.count("block").alias("blocks"), F.max("n").alias("longest")).first()
-    names = sorted_names(parts.where("block is not null").select("lid", "block"), ["block"], size["blocks"]).select("lid", "name")
-    current = table(parts.select("_rid", "n", "pos", "lid").join(names, "lid").drop("lid"), "names")
-    done, level, longest = [], 0, size["longest"] or 1
+    parts = table(numbered.select("_rid", "doc_id", "text").mapInArrow(_splitter(block), _SPLIT).withColumn("bh", F.xxhash64("block")), "blocks")
+    names = block_names(parts)
+    current = table(merge_join(parts.select("_rid", "n", "pos", "lid"), names, "lid").drop("lid"), "level0")
+    firsts = table(parts.where("pos = 0").select("_rid", "doc_id", "sha"), "firsts")
+    longest = parts.agg(F.max("n")).first()[0] or 1
+    drop_tables(names, parts)
+    done, level = [], 0
     while True:
-        done.append(current.where("n = 1").select("_rid", F.lit(level).alias("level"), F.col("name").alias("ident")))
+        done.append(table(current.where("n = 1").select("_rid", F.lit(level).alias("level"), F.col("name").alias("ident")), "named"))
         if longest <= 1:
             break
         pairs = (
@@ -93,19 +118,28 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .groupBy("_rid", ((F.col("n") + 1) / 2).cast("int").alias("n"), F.shiftright("pos", 1).alias("pos"))
             .agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"))
         )
-        named = sorted_names(pairs.select("a", "b").distinct(), ["a", "b"], size["blocks"] >> level)
-        current, longest, level = table(pairs.join(named, ["a", "b"]).select("_rid", "n", "pos", "name"), f"level{level + 1}"), -(-longest // 2), level + 1
+        pairs = table(pairs, "pairs")
+        total = pairs.count()
+        named = table(sorted_names(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")), ["a", "b"], total), "pairnames")
+        heavy = named.where(F.col("c") > heavy_limit(total)).select("a", "b")
+        last, current, longest, level = current, join_heavy(pairs, named.drop("c"), ["a", "b"], heavy).select("_rid", "n", "pos", "name"), -(-longest // 2), level + 1
+        current = table(current, f"level{level}")
+        drop_tables(last, pairs, named)
     found = done[0]
     for more in done[1:]:
         found = found.unionByName(more)
-    return parts.where("pos = 0").select("_rid", "doc_id", "sha").join(found, "_rid")
+    ids = table(merge_join(firsts, found, "_rid"), "identities")
+    drop_tables(current, firsts, *done)
+    return ids
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """Per row of docs: _rid, doc_id, keep_id, group_size, kept, text_sha256."""
     ids = identities(docs, id_col, text_col, block)
     groups = ids.groupBy("level", "ident").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("has"), F.col("doc_id").alias("id"), F.col("_rid").alias("rid"))).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    return ids.join(groups, ["level", "ident"]).select(
+    groups = table(groups, "groups")
+    heavy = groups.where(F.col("group_size") > heavy_limit(ids.count())).select("level", "ident")
+    return join_heavy(ids, groups, ["level", "ident"], heavy).select(
         "_rid", "doc_id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("_rid") == F.col("keep.rid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
 

@@ -5,26 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fragloom.llm._shared import table
+from fragloom.llm._shared import drop_tables, merge_join, table
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """edges (u, v) with the least of u and its v as m. Minima are taken map-side and written, so that both sides of the
-    join back have a shuffle of their own and AQE can split it at a node with many edges."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return edges.join(table(least, "least"), "u")
+def _least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """edges (u, v) with the least of u and its v as m, and the table of these. Minima are taken map-side and written, so that
+    both sides of the join back have a shuffle of their own and AQE can split it at a node with many edges."""
+    least = table(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    return merge_join(edges, least, "u"), least
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for each node of links (u, v) that is not its own root: root is the least node reachable. Rounds:
-    logarithmic in the nodes."""
+    """(node, root), written, for each node of links (u, v) that is not its own root: root is the least node reachable.
+    Rounds: logarithmic in the nodes."""
     now, before = table(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links"), None
     while True:
+        last = now
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = table(_least(both).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        stars = _least(large)
+        rows, least = _least(both)
+        large = table(rows.where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        drop_tables(least)
+        stars, least = _least(large)
         now = table(stars.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(stars.select("u", F.col("m").alias("v"))).distinct(), "small")
+        drop_tables(least, large, last)
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return table(now.select(F.col("u").alias("node"), F.col("v").alias("root")), "component")
         before = state
