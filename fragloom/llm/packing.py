@@ -11,12 +11,13 @@ Pieces then find their place by their rank among the pieces of their length: cou
 offsets, ranks are counted within them, and a rank falls into one pattern's range.
 
 Scale: texts are read and tokenised once, in Python workers; afterwards rows of a few numbers are shuffled, dealt by
-length and a hash, so a length that holds a third of all pieces has many tasks. The driver sees `limit` counts.
+length and a hash to buckets of about BUCKET, so a length that holds a third of all pieces has many tasks. The driver sees
+`limit` counts and keeps an index of at most 2 * limit ** 2 lengths.
 
 Tokenising: pieces of text between which the BPE never merges are cut at blanks, line ends, commas and stops in plain
 prose and found by the public pattern in other texts, and their ids cached as bytes; the BPE model of the tokenizers
 library encodes each new one. Texts with characters for which the pattern and the library were not seen to agree go to
-the library whole. Strings of special tokens in a text are ordinary text.
+the library whole, as texts do that hold the string of an added token, which the library makes one id of.
 
 Defined cases: null text is empty and packs as END alone. Repeated rows are packed one by one. Other columns of the input,
 whatever their names, are ignored. An empty table gives no rows.
@@ -42,7 +43,7 @@ from fragloom.llm._shared import stored, table, with_row_id
 LIMIT = 2048
 END = b"\0\0\0\0"
 #: Cached ids of pieces of text in a worker, and pieces in a ranking bucket, about.
-CACHE, BUCKET = 1_500_000, 50_000
+CACHE, BUCKET = 1_500_000, 500
 #: Code points checked for agreement between the pattern and the library.
 CHECKED = 0x250
 
@@ -64,7 +65,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Strings that the library takes for tokens of their own: texts with one go to it whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.find = regex.compile(pattern).findall
         split = self.tokenizer.pre_tokenizer.pre_tokenize_str
@@ -109,6 +111,8 @@ class Encoder:
         return not any(c in text for c in self.odd_latin)
 
     def __call__(self, text: str) -> bytes:
+        if any(token in text for token in self.added):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if self._plain(text) and _prose(text):
             # Words with the blank before them, line ends, commas and stops: what the pattern finds, cut without it.
             return self._known(text.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(",", "\0,").replace(".", "\0.").split("\0"))
@@ -147,49 +151,63 @@ def _tokenize(path: str, pattern: str, limit: int):
 
 
 class SumIndex:
-    """Available lengths and which of their single, pair and triple sums fill a gap. Counts only fall, so a gap that cannot
-    be filled once is never tried again."""
+    """A hash index of what sums to a gap: a single length, pairs and triples of the lengths that there are. Counts only fall, so
+    a pair or triple that cannot be had any more is passed over once and never looked at again."""
 
     def __init__(self, counts: np.ndarray):
         self.counts = counts
-        self.dead: tuple[set, set] = (set(), set())
+        limit = len(counts) - 1
+        lengths = np.flatnonzero(counts[1:]) + 1
+        reach = np.zeros(limit + 1, bool)
+        #: Gap to the longer lengths of the pairs, and to the longest lengths of the triples, that sum to it, long to short.
+        self.pairs: dict[int, np.ndarray] = {}
+        self.triples: dict[int, np.ndarray] = {}
+        for gap in range(2, limit + 1):
+            longer = lengths[(2 * lengths >= gap) & (lengths < gap)][::-1]
+            if len(found := longer[counts[gap - longer] > 0]):
+                self.pairs[gap] = found
+                reach[gap] = True
+        for gap in range(3, limit + 1):
+            longest = lengths[(3 * lengths >= gap) & (lengths < gap - 1)][::-1]
+            if len(found := longest[reach[gap - longest]]):
+                self.triples[gap] = found
+        self.tried: tuple[dict[int, int], dict[int, int]] = ({}, {})
+
+    def _next(self, gap: int, at: int) -> int:
+        """The place, from at on, of the first pair for gap that can be had; the number of pairs if none can."""
+        longer = self.pairs[gap][at:]
+        ok = (self.counts[longer] > 0) & (self.counts[gap - longer] > (2 * longer == gap))
+        return at + (int(ok.argmax()) if ok.any() else len(ok))
 
     def pair(self, gap: int) -> tuple[int, ...] | None:
         """Two available lengths that sum to gap, the longer as long as can be."""
-        if gap < 2 or gap in self.dead[0]:
+        if gap not in self.pairs:
             return None
-        a = np.arange(1, gap // 2 + 1)
-        ok = (self.counts[a] > 0) & (self.counts[gap - a] > 0)
-        if gap % 2 == 0 and self.counts[gap // 2] < 2:
-            ok[-1] = False
-        found = np.flatnonzero(ok)
-        if not len(found):
-            self.dead[0].add(gap)
+        at = self.tried[0][gap] = self._next(gap, self.tried[0].get(gap, 0))
+        if at == len(self.pairs[gap]):
             return None
-        return gap - int(a[found[0]]), int(a[found[0]])
+        a = int(self.pairs[gap][at])
+        return a, gap - a
 
     def triple(self, gap: int) -> tuple[int, ...] | None:
-        if gap < 3 or gap in self.dead[1]:
-            return None
-        for c in np.flatnonzero(self.counts[: gap - 1])[::-1].tolist():
-            if 3 * c < gap:
-                break
-            self.counts[c] -= 1
-            rest = self._peek(gap - c)
-            self.counts[c] += 1
-            if rest:
-                return (c, *rest)
-        self.dead[1].add(gap)
+        """Three, the longest as long as can be."""
+        found, at = self.triples.get(gap, ()), self.tried[1].get(gap, 0)
+        while at < len(found):
+            c = int(found[at])
+            rest = gap - c
+            if self.counts[c] > 0:
+                # From the first pair of the rest that is not gone for good and has no part longer than c.
+                pairs = self.pairs[rest]
+                self.counts[c] -= 1
+                k = self._next(rest, max(self.tried[0].get(rest, 0), int(np.searchsorted(-pairs, -c))))
+                self.counts[c] += 1
+                if k < len(pairs):
+                    self.tried[1][gap] = at
+                    return c, int(pairs[k]), rest - int(pairs[k])
+            at += 1
+        self.tried[1][gap] = at
         return None
 
-    def _peek(self, gap: int) -> tuple[int, ...] | None:
-        """pair() while a length is borrowed: a failure is not remembered."""
-        known = gap in self.dead[0]
-        found = self.pair(gap)
-        if not known and found is None:
-            self.dead[0].discard(gap)
-        return found
-
     def fill(self, gap: int) -> tuple[int, ...] | None:
         """One, two or three available lengths that sum to gap exactly."""
         if gap and self.counts[gap] > 0:
@@ -270,7 +288,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, id_c
     for length, n in pieces.groupBy("length").count().collect():  # at most limit rows
         counts[length] = n
     ranges = _ranges(plan(counts, limit))
-    dealt = pieces.withColumn("b", F.pmod(F.xxhash64("_rid", "piece"), F.lit(max(1, int(counts.sum()) // BUCKET))))
+    # Each length is dealt to as many buckets as its pieces need; the list of these numbers is as long as a sequence.
+    buckets = F.get(F.array(*(F.lit(max(1, int(n) // BUCKET)) for n in counts)), F.col("length").cast("int"))
+    dealt = pieces.withColumn("b", F.pmod(F.xxhash64("_rid", "piece"), buckets))
     before = Window.partitionBy("length").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("length", "b").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     ranked = dealt.withColumn("r", F.row_number().over(Window.partitionBy("length", "b").orderBy("_rid", "piece"))).join(offsets, ["length", "b"])
