@@ -5,9 +5,10 @@ part has length one), its structure statistics and its number of characters, eac
 logistic of w0 + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j; the pairs are never formed, as their sum is half of
 (sum v_i x_i)^2 - sum v_i^2 x_i^2, so scoring is linear in the features that a document has.
 
-Training: a sample of at most about TRAIN_ROWS labelled documents outside the held-out fold, chosen by a hash, is
-turned into features on the executors, and the machine is fitted on the driver by AdaGrad. The model has
-(WORDS + bins) * (FACTORS + 1) numbers and goes to the executors with the task.
+Training: a sample of at most TRAIN_ROWS labelled documents outside the held-out fold, those of the least hashes, is
+turned into features on the executors, and the machine is fitted on the driver by AdaGrad, in the order of doc_id, so the
+fit does not depend on the files' layout. The model has (WORDS + bins) * (FACTORS + 1) numbers and goes to the executors
+with the task.
 
 Scale: texts are read once to train (sampled rows only) and once to score; no shuffle but the join of the labels' ids.
 
@@ -135,20 +136,22 @@ def held_out(doc_id: Column) -> Column:
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, numbers, values, offsets in features(batch.column(1), batch.column(2).to_pylist()):
+        for first, numbers, values, offsets in features(batch.column(3), batch.column(4).to_pylist()):
             at = offsets.astype(np.int32)
             lists = [pa.ListArray.from_arrays(at, numbers.astype(np.int32)), pa.ListArray.from_arrays(at, values.astype(np.float32))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(at) - 1), *lists], names=["label", "numbers", "vals"])
+            yield pa.RecordBatch.from_arrays([*batch.slice(first, len(at) - 1).columns[:3], *lists], names=["doc_id", "mark", "label", "numbers", "vals"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Machine:
-    """docs: doc_id, text, chars. Only labels outside the held-out fold are read."""
+    """docs: doc_id, text, chars. Only labels outside the held-out fold are read; of a doc_id's rows, the one with the least hash
+    of its text is taken."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(label_col).cast("int").alias("label"))
-    known = table(known.where(~held_out(F.col("doc_id"))), "labels")
-    share = max(1, -(-known.count() // rows))
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)  # rows, within sampling error
-    found = docs.join(F.broadcast(sample), "doc_id").select("label", "text", "chars").mapInArrow(_featured, "label int, numbers array<int>, vals array<float>")
-    return fit([(np.array(r[1]), np.array(r[2]), r[0]) for r in found.toLocalIterator(prefetchPartitions=True)])
+    sample = table(known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "labels")
+    found = docs.join(F.broadcast(sample), "doc_id").select("doc_id", F.xxhash64("text").alias("mark"), "label", "text", "chars")
+    found = found.mapInArrow(_featured, "doc_id long, mark long, label int, numbers array<int>, vals array<float>")
+    # The order of the rows, which the fit depends on, is that of their numbers, however the files are split.
+    one = found.groupBy("doc_id").agg(F.min_by(F.struct("label", "numbers", "vals"), "mark").alias("x")).select("doc_id", "x.*")
+    return fit([(np.array(r["numbers"]), np.array(r["vals"]), r["label"]) for r in sorted(one.collect(), key=lambda r: r["doc_id"])])  # at most `rows`
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
