@@ -9,10 +9,11 @@ of one kind, get equal pseudonyms in all documents: dates even across date forma
 IBANs are also found with short words or numbers beside them; there a value gets another pseudonym than elsewhere where its own
 would, with these, look like a longer valid value.
 
-Scale: one pass over Arrow batches, no shuffle. Texts without a digit or @ are passed through.
+Scale: one pass over Arrow batches, no shuffle. Texts without a digit, @ or AKIA hold no value and are passed through.
 
 Defined cases: null text stays null, empty text empty. Repeated rows give equal results. Values inside longer runs of
-digits or word characters are left alone, as are numbers that fail their check. Columns of the input other than id and text,
+digits or word characters are left alone, as are numbers that fail their check. Digits are 0 to 9; those of other scripts are
+neither replaced nor counted. Columns of the input other than id and text,
 whatever their names, stay as they are in pseudonymise(). An empty table gives no rows.
 """
 
@@ -101,7 +102,7 @@ def iban_check(country: str, rest: str) -> str:
 
 
 def card_ok(text: str) -> bool:
-    digits = re.sub(r"\D", "", text)
+    digits = re.sub("[^0-9]", "", text)
     return 13 <= len(digits) <= 19 and luhn(digits[:-1]) == int(digits[-1])
 
 
@@ -111,9 +112,9 @@ def iban_ok(text: str) -> bool:
 
 
 _DATES = (
-    (re.compile(r"(\d{4})([-/.])(\d\d)\2(\d\d)"), (1, 3, 4), "{0:04d}{s}{1:02d}{s}{2:02d}"),
-    (re.compile(r"(\d\d)(/)(\d\d)\2(\d{4})"), (4, 1, 3), "{1:02d}{s}{2:02d}{s}{0:04d}"),
-    (re.compile(r"(\d\d)([-/.])(\d\d)\2(\d{4})"), (4, 3, 1), "{2:02d}{s}{1:02d}{s}{0:04d}"),
+    (re.compile(r"([0-9]{4})([-/.])([0-9][0-9])\2([0-9][0-9])"), (1, 3, 4), "{0:04d}{s}{1:02d}{s}{2:02d}"),
+    (re.compile(r"([0-9][0-9])(/)([0-9][0-9])\2([0-9]{4})"), (4, 1, 3), "{1:02d}{s}{2:02d}{s}{0:04d}"),
+    (re.compile(r"([0-9][0-9])([-/.])([0-9][0-9])\2([0-9]{4})"), (4, 3, 1), "{2:02d}{s}{1:02d}{s}{0:04d}"),
 )
 
 
@@ -149,7 +150,7 @@ class Pseudonyms:
     def card(self, text: str, fits: Callable[[str], bool] = lambda _: True) -> str | None:
         if not card_ok(text):
             return None
-        digits = re.sub(r"\D", "", text)
+        digits = re.sub("[^0-9]", "", text)
 
         def written(x: int) -> str:
             body = f"{x:0{len(digits) - 1}d}"
@@ -176,7 +177,7 @@ class Pseudonyms:
         return _written(self._run(n, 10**9, "ssn", _ssn_ok), text) if _ssn_ok(n) else None
 
     def phone(self, text: str) -> str | None:
-        digits = re.sub(r"\D", "", text)
+        digits = re.sub("[^0-9]", "", text)
         us = len(digits) == 10 and text[0] != "+" or len(digits) == 11 and text.startswith("+1")
         if us:
             n = int(digits[-10:])
@@ -226,20 +227,21 @@ class Pseudonyms:
 _LOOKS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])",
     "key": r"(?<!\w)AKIA[0-9A-Z]{16}(?!\w)",
-    "iban": r"(?<!\w)[A-Z]{2}\d\d(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?!\w)",
-    "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)",
-    "date": r"(?<![\w./-])(?:\d{4}([-/.])\d\d\1\d\d|\d\d([-/.])\d\d\2\d{4})(?!\w|[./-]\d)",
-    "ssn": r"(?<![\w-])\d{3}-\d\d-\d{4}(?!\w|-\d)",
-    "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?!\w|-\d)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,12}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w|-\d)",
+    "iban": r"(?<!\w)[A-Z]{2}[0-9][0-9](?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?!\w)",
+    "ip": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])",
+    "date": r"(?<![\w./-])(?:[0-9]{4}([-/.])[0-9][0-9]\1[0-9][0-9]|[0-9][0-9]([-/.])[0-9][0-9]\2[0-9]{4})(?!\w|[./-][0-9])",
+    "ssn": r"(?<![\w-])[0-9]{3}-[0-9][0-9]-[0-9]{4}(?!\w|-[0-9])",
+    "card": r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?!\w|-[0-9])",
+    "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9](?:[ .-]?[0-9]){5,12}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?!\w|-[0-9])",
 }
 _FIND = {kind: re.compile(p) for kind, p in _LOOKS.items()}
-_SOME = re.compile(r"[0-9@]")
+#: What every value has: a digit or @, or the start of an access key, which may be of letters alone.
+_SOME = re.compile("[0-9@]|AKIA")
 
 
 #: Kinds whose looks may take in what stands beside a value: the check, where a shorter value may end, where another may begin.
 _CUT = {
-    "card": (card_ok, re.compile(r" |-(?!\d{4})"), re.compile(r"\d{4}")),
+    "card": (card_ok, re.compile(r" |-(?![0-9]{4})"), re.compile(r"[0-9]{4}")),
     "iban": (iban_ok, re.compile(" "), re.compile("[A-Z]{2}")),
 }
 
