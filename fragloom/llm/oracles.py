@@ -47,7 +47,7 @@ cov AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM rep, (SELECT
 ln AS (SELECT doc_id, unnest(string_split(x, chr(10))) AS line FROM t),
 dl AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM ln WHERE trim(line, {_WS}) <> '' GROUP BY doc_id),
 m AS (
-  SELECT t.doc_id, coalesce(t.lang, '') AS stratum, len(w.ws) AS n_words, length(array_to_string(w.ws, '')) AS word_chars,
+  SELECT t.doc_id, coalesce('=' || t.lang, '') AS stratum, len(w.ws) AS n_words, length(array_to_string(w.ws, '')) AS word_chars,
          length(t.x) - length(regexp_replace(t.x, '[#*$%&|<>]', '', 'g')) AS n_symbols,
          length(t.x) - length(regexp_replace(t.x, '[A-Z]', '', 'g')) AS n_upper,
          coalesce(dl.n_dup_lines, 0) AS n_dup_lines, coalesce(dl.n_lines, 0) AS n_lines, coalesce(cov.n_repeat_words, 0) AS n_repeat_words
@@ -70,7 +70,8 @@ FROM b
 
 
 def _op4() -> str:
-    """The same counts, priors and tails, level by level."""
+    """The same counts and priors, level by level; the tails are the power series of the incomplete beta function."""
+    at = h.MAX_BAD
     shrink = lambda k: f"(bad + {k} * mean) / (n + {k})"
     low, high = h.STRENGTH
     moment = (
@@ -88,7 +89,7 @@ WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, inst
 u AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), {_UP}, {_LOW}) AS host,
              regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM r),
 l AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
-h0 AS (SELECT host, count(l.bad) AS n, coalesce(sum(l.bad), 0) AS bad FROM u LEFT JOIN l ON u.page_id = l.page_id GROUP BY host),
+h0 AS (SELECT host, count(l.bad) AS n, coalesce(sum(l.bad), 0) AS bad FROM u LEFT JOIN l ON u.page_id = l.page_id WHERE host <> '' GROUP BY host),
 h1 AS (SELECT *, regexp_matches(host, '^[0-9.:\\[\\]]+$') AS addr, CASE WHEN {last(2)} IN ({long}) THEN 2 ELSE 1 END AS w, len(string_split(host, '.')) AS parts FROM h0),
 h2 AS (SELECT host, n, bad, CASE WHEN addr THEN '' WHEN w = 2 THEN {last(2)} ELSE {last(1)} END AS suffix,
               CASE WHEN addr OR parts <= w THEN host WHEN w = 2 THEN {last(3)} ELSE {last(2)} END AS domain FROM h1),
@@ -103,11 +104,10 @@ d2 AS (SELECT suffix, domain, {shrink("k")} AS mean FROM d1, kd),
 h3 AS (SELECT h2.*, d2.mean FROM h2 JOIN d2 ON h2.suffix = d2.suffix AND h2.domain = d2.domain),
 kh AS ({moment(low, high, "h3")}),
 h4 AS (SELECT host, bad + k * mean AS a, n - bad + k * (1 - mean) AS b FROM h3, kh),
-h5 AS (SELECT *, a / (a + b) AS mu, 10 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS reach FROM h4),
-h6 AS (SELECT *, greatest(mu - reach, 0.0) AS lo, least(mu + reach, 1.0) AS hi FROM h5),
-g AS (SELECT host, a, b, mu, lo + (hi - lo) * (i + 0.5) / {h.GRID} AS x FROM h6, (SELECT unnest(range({h.GRID})) AS i)),
-w AS (SELECT host, x, exp((a - 1) * ln(x) + (b - 1) * ln(1 - x) - ((a - 1) * ln(mu) + (b - 1) * ln(1 - mu))) AS w FROM g),
-bad AS (SELECT host FROM w GROUP BY host HAVING sum(CASE WHEN x > {h.MAX_BAD} THEN w ELSE 0 END) / sum(w) >= {h.CONFIDENCE}),
+h5 AS (SELECT *, lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln({at}) + b * ln(1 - {at}) - ln(a) AS front FROM h4),
+g AS (SELECT host, a, b, front, unnest(range((4 * (a + b) + 400)::BIGINT)) AS i FROM h5),
+bad AS (SELECT host FROM g GROUP BY host
+        HAVING 1 - sum(exp(front + lgamma(a + b + i) - lgamma(a + b) - lgamma(a + 1 + i) + lgamma(a + 1) + i * ln({at}))) >= {h.CONFIDENCE}),
 v AS (SELECT *, {rule} AS rule FROM u)
 SELECT page_id, host, path, rule, coalesce({said}, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM v
 """

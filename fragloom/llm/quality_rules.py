@@ -9,7 +9,8 @@ the first that fails (fixed sequence, no correction needed along it); over strat
 number (Bonferroni). So with confidence 1 - delta no stratum loses more than RULES * alpha of its good documents.
 Where labels are too few to certify any cutoff, the rule rejects nothing there.
 
-Scale: labels meet the counts, never the texts; what comes to the driver is one row of counts a stratum.
+Scale: labels meet the counts, never the texts. Counts of a stratum are taken map-side and certified on the executors,
+so there may be any number of strata.
 
 Defined cases: null or empty text has zero counts and fails the base rules. Null strata are a stratum of their own.
 Labels repeated for a document count once, as good only if all are; a label without a document, or null, counts nothing.
@@ -22,11 +23,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fragloom.llm._shared import stored, table, with_row_id, without_rows
+from fragloom.llm._shared import BROADCAST_KEYS, drop_tables, free_name, merge_join, stored, table, with_row_id, without_rows
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = b"#*$%&|<>"
@@ -78,7 +80,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", row_col: str | None = None) -> DataFrame:
     """Per row: doc_id, stratum, (row_col,) the counts and base_failed."""
     extra = [row_col] if row_col else []
-    rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), *extra)
+    rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), *extra)
     schema = ", ".join(["doc_id long", "stratum string", *(f"{c} long" for c in extra), *(f"{c} long" for c in _COUNTS)])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return rows.mapInArrow(_count, schema).withColumn("base_failed", failed)
@@ -103,36 +105,51 @@ def refuted(k: int, n: int, alpha: float, level: float) -> bool:
     return top + math.log(total) <= math.log(level)
 
 
-def certified_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, id_col: str = "doc_id", label_col: str = "quality") -> dict[str, dict[str, int]]:
-    """{stratum: {rule: strictest certified cutoff}}; a rule without one is absent."""
+def certified_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """Per stratum with good documents, written: stratum and, for each rule, the strictest certified cutoff, null without one."""
     good = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(label_col).alias("g")).where("g = 1").select("doc_id")
     tried = [F.count_if(_exceeds(r, c)).alias(f"{r[0]}_{c}") for r in RULES for c in CUTOFFS]
-    rows = measured.where("not base_failed").join(good, "doc_id", "left_semi").groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *tried).collect()
-    level, out = delta / max(1, len(rows) * len(RULES)), {}
-    for row in rows:
-        out[row["stratum"]] = {}
-        for rule in RULES:
-            for cutoff in CUTOFFS:
-                if not refuted(row[f"{rule[0]}_{cutoff}"], row["n"], alpha, level):
-                    break
-                out[row["stratum"]][rule[0]] = cutoff
-    return out
-
-
-def verdict(cutoffs: dict[str, dict[str, int]]) -> Column:
-    """True unless a certified cutoff of the row's stratum is exceeded. Strata are few (languages): one branch each."""
-    rejected = F.lit(False)
-    for stratum in sorted(cutoffs):
-        for rule in RULES:
-            if rule[0] in cutoffs[stratum]:
-                rejected = rejected | ((F.col("stratum") == stratum) & _exceeds(rule, cutoffs[stratum][rule[0]]))
-    return ~rejected
+    counts = table(measured.where("not base_failed").join(good, "doc_id", "left_semi").groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *tried), "strata")
+    level = delta / max(1, counts.count() * len(RULES))
+
+    def certify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = {"stratum": rows["stratum"]}
+            for rule in RULES:
+                found = []
+                for row in rows.to_dict("records"):
+                    strictest = None
+                    for cutoff in CUTOFFS:
+                        if not refuted(row[f"{rule[0]}_{cutoff}"], row["n"], alpha, level):
+                            break
+                        strictest = cutoff
+                    found.append(strictest)
+                out[rule[0]] = pd.array(found, "Int64")
+            yield pd.DataFrame(out)
+
+    cutoffs = table(counts.mapInPandas(certify, "stratum string, " + ", ".join(f"{r[0]} long" for r in RULES)), "cutoffs")
+    drop_tables(counts)
+    return cutoffs
+
+
+def with_verdict(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """measured plus kept: false for rows that failed the base rules or exceed a certified cutoff of their stratum. Cutoffs are
+    broadcast up to BROADCAST_KEYS strata; beyond it the join shuffles and AQE splits a hot stratum."""
+    names = [free_name(measured, f"_{rule[0]}") for rule in RULES]
+    key, null = F.coalesce("stratum", F.lit("")), F.col("stratum").isNull()
+    cutoffs = cutoffs.select(key.alias("_key"), null.alias("_null"), *(F.col(rule[0]).alias(name) for rule, name in zip(RULES, names)))
+    rows = measured.withColumns({"_key": key, "_null": null})
+    rows = rows.join(F.broadcast(cutoffs), ["_key", "_null"], "left") if cutoffs.count() <= BROADCAST_KEYS else merge_join(rows, cutoffs, ["_key", "_null"], "left")
+    rejected = F.col("base_failed")
+    for rule, name in zip(RULES, names):
+        rejected = rejected | F.coalesce(_exceeds(rule, F.col(name)), F.lit(False))
+    return rows.withColumn("kept", ~rejected).select(*measured.columns, "kept")
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, row_col: str | None = None) -> DataFrame:
     """measures() plus kept."""
     measured = table(measures(docs, row_col=row_col), "measures")
-    return measured.withColumn("kept", ~F.col("base_failed") & verdict(certified_cutoffs(measured, labels, alpha, delta)))
+    return with_verdict(measured, certified_cutoffs(measured, labels, alpha, delta))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
