@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 TURNS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST] ", " [/INST]"), "assistant": ("<s>", "</s>")}
 ROLE, TEXT, END = "<|role|>", "<|text|>", "<|end|>"
 LOSS_ROLE = "assistant"
+DRAFT = "draft: "
 SETS, KINDS = ("message", "edit", "regenerate", "delete"), ("message", "edit", "regenerate", "delete", "delta")
 
 _BODY = r"([^\[<]*)"
@@ -92,6 +93,22 @@ def message_events(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "
     return rows.withColumn("seq", F.row_number().over(order).cast("long")).select("conv_id", "seq", F.col("seq").alias("message_id"), F.lit("message").alias("kind"), "role", "text")
 
 
+def streamed_events(messages: DataFrame, parts: int = 3) -> DataFrame:
+    """A log whose fold is that of messages (events of kind message, see message_events()), as a chat server would write it: of
+    each three messages one comes whole, one as a draft that an edit mends, and one in `parts` deltas, with every second
+    assistant's answer broken off, regenerated and streamed again. What is written over says DRAFT."""
+    text, length = F.coalesce("text", F.lit("")), F.char_length(F.coalesce("text", F.lit("")))
+    step = F.ceil(length / parts).cast("int")
+    event = lambda kind, said: F.struct(F.lit(kind).alias("kind"), said.alias("text"))
+    deltas = [event("delta", F.substring(text, step * i + 1, step)) for i in range(parts)]
+    opened, again = event("message", F.lit("")), event("regenerate", F.lit(""))
+    broken = F.array(opened, event("delta", F.lit(DRAFT)), event("delta", F.substring(text, F.lit(1), step)), again, *deltas)
+    way = F.when(F.col("seq") % 3 == 0, F.array(event("message", text))).when(F.col("seq") % 3 == 1, F.array(event("message", F.concat(F.lit(DRAFT), text)), event("edit", text)))
+    way = way.when((F.col("role") == LOSS_ROLE) & (F.col("seq") % 2 == 0), broken).otherwise(F.array(opened, *deltas))
+    log = messages.select("conv_id", "seq", "message_id", "role", F.posexplode(way).alias("at", "event"))
+    return log.select("conv_id", (F.col("seq") * 16 + F.col("at")).alias("seq"), "message_id", "event.kind", "role", "event.text")
+
+
 def format_chats(events: DataFrame) -> DataFrame:
     return render(fold(events))
 

@@ -44,9 +44,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns come as a log of whole, edited, streamed and regenerated messages."""
     hostile = spark.createDataFrame([(-7, 0, "user", HOSTILE), (-7, 1, "assistant", HOSTILE)], "conv_id long, turn long, role string, text string")
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hostile)
-    return chat.digests(chat.format_chats(chat.message_events(rows)))
+    return chat.digests(chat.format_chats(chat.streamed_events(chat.message_events(rows))))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
