@@ -1,6 +1,8 @@
 """The operators on documents against brute force, on odd rows and on empty tables."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -9,7 +11,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from fragloom.llm import block_naming, fm_classifier, line_dedup, minhash, packing, pivotal_mix, quality_rules
+from fragloom.llm import _shared, block_naming, fm_classifier, line_dedup, minhash, packing, pivotal_mix, quality_rules
+from fragloom.llm._shared import stored, with_row_id
 from fragloom.llm.components import components
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -59,15 +62,58 @@ def test_certified_cutoffs_hold_per_stratum(spark):
         labels += [(i, 0 if bad else 1)] * (1 + i % 2)
     measured = spark.createDataFrame(rows, "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, base_failed boolean")
     cutoffs = quality_rules.certified_cutoffs(measured, spark.createDataFrame(labels, "doc_id long, quality int"))
-    assert 12 <= cutoffs["en"]["symbols"] + 5 and cutoffs["en"]["symbols"] <= 15
-    kept = {r["doc_id"]: r["k"] for r in measured.select("doc_id", quality_rules.verdict(cutoffs).alias("k")).collect()}
+    found = {r["stratum"]: r.asDict() for r in cutoffs.collect()}
+    assert 12 <= found["en"]["symbols"] + 5 and found["en"]["symbols"] <= 15
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.with_verdict(measured, cutoffs).collect()}
     assert all(kept[i] == (i % 5 != 0) for i in kept)
 
 
-@pytest.mark.parametrize("block", [4096, 3])
-def test_exact_duplicates(odd, odd_rows, empty, block):
+def test_cutoffs_against_brute_force(spark):
+    """Strata of null, '' and languages, some too small; every verdict by plain Python."""
+    rng = random.Random(12)
+    rows, labels = [], {}
+    for i in range(9000):
+        stratum = rng.choice(["en", "en", "en", "de", "de", None, "", "xx" if i % 40 == 0 else "en"])
+        shift = {"en": 0, "de": 30, None: 10, "": 50}.get(stratum, 0)
+        n = 100
+        rows.append((i, stratum, n, 400, min(99, shift + int(rng.expovariate(0.2))), rng.randrange(3), rng.randrange(30), 10, rng.randrange(60), rng.random() < 0.1))
+        if rng.random() < 0.8:
+            labels[i] = int(rng.random() < 0.9)
+    schema = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, base_failed boolean"
+    measured, marks = spark.createDataFrame(rows, schema), spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+    names = [c.split()[0] for c in schema.split(", ")]
+    found = quality_rules.with_verdict(measured, quality_rules.certified_cutoffs(measured, marks, alpha=0.02)).collect()
+
+    def at_most(k, n, p):  # exact, by fractions of whole numbers
+        from fractions import Fraction
+
+        q = Fraction(p).limit_denominator(100)
+        return sum(math.comb(n, i) * q**i * (1 - q) ** (n - i) for i in range(k + 1))
+
+    every = [dict(zip(names, r)) for r in rows]
+    good = defaultdict(list)
+    for r in every:
+        if not r["base_failed"] and labels.get(r["doc_id"]) == 1:
+            good[r["stratum"]].append(r)
+    cut = {}
+    for stratum, some in good.items():
+        for name, num, den in quality_rules.RULES:
+            for c in quality_rules.CUTOFFS:
+                k = sum(100 * r[num] > c * r[den] for r in some)
+                if k > 0.02 * len(some) or at_most(k, len(some), 0.02) > 0.05 / (len(good) * len(quality_rules.RULES)):
+                    break
+                cut[stratum, name] = c
+    assert len(good) == 5 and ("xx", "symbols") not in cut and cut["en", "symbols"] < cut["de", "symbols"] < cut["", "symbols"] and cut["en", "symbols"] < cut[None, "symbols"]
+    want = {r["doc_id"]: not (r["base_failed"] or any(100 * r[num] > cut.get((r["stratum"], name), 10**9) * r[den] for name, num, den in quality_rules.RULES)) for r in every}
+    assert {r["doc_id"]: r["kept"] for r in found} == want and 100 < sum(not x for x in want.values()) < 9000
+
+
+@pytest.mark.parametrize("block, light", [(4096, 500), (3, 500), (40, 2)])
+def test_exact_duplicates(odd, odd_rows, empty, block, light, monkeypatch):
+    """light: rows up to which a block, pair or text is not heavy."""
+    monkeypatch.setattr(_shared, "LIGHT", light)
     docs, rows = odd, odd_rows
-    if block == 3:
+    if block < 4096:
         docs, rows = odd.where("length(coalesce(text, '')) < 3000"), [r for r in odd_rows if len(r[1] or "") < 3000]
     groups = defaultdict(list)
     for r in rows:
@@ -83,7 +129,7 @@ def test_exact_duplicates(odd, odd_rows, empty, block):
         assert sorted(map(str, ids)) == sorted(str(f["doc_id"]) for f in mine)
         assert all(f["group_size"] == len(ids) and f["keep_id"] == best for f in mine)
         assert [f["doc_id"] for f in mine if f["kept"]] == [best]
-    if block != 3:
+    if block == 4096:
         left = block_naming.drop_exact_duplicates(docs)
         assert left.columns == docs.columns and left.count() == len(groups)
         assert block_naming.exact_duplicates(empty).collect() == []
@@ -126,7 +172,16 @@ def near_expected(rows):
     return sorted(out)
 
 
-def test_near_duplicates(odd, odd_rows, empty):
+def test_near_duplicates_on_a_driver_table(spark):
+    """All classes of a table of the driver, by comparing all pairs that share a shingle."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    assert near_found(docs) == near_expected(rows)
+
+
+@pytest.mark.parametrize("light", [500, 1])
+def test_near_duplicates(odd, odd_rows, empty, light, monkeypatch):
+    monkeypatch.setattr(_shared, "LIGHT", light)
     assert near_found(odd) == near_expected(odd_rows)
     assert minhash.near_duplicates(empty).collect() == []
 
@@ -160,10 +215,31 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
-def test_targets():
-    assert pivotal_mix.targets([100, 100, 100]) == pytest.approx([200, 250 / 3, 500 / 3])
-    assert pivotal_mix.targets([10, 1000]) == [20.0, 1495.0]
-    assert pivotal_mix.targets([0, 0]) == [0.0, 0.0] and pivotal_mix.targets([]) == []
+def targets(sizes, weights=(3, 1, 2)):
+    """By lowering the level of those that are full, one round after the other."""
+    left, out = 1.5 * sum(sizes), [0.0] * len(sizes)
+    w = [weights[i % 3] for i in range(len(sizes))]
+    free = set(range(len(sizes)))
+    while free:
+        total = sum(w[i] for i in free)
+        full = {i for i in free if left * w[i] / total > 2 * sizes[i]}
+        for i in full or free:
+            out[i] = 2.0 * sizes[i] if full else left * w[i] / total
+        left -= sum(out[i] for i in full)
+        free = free - full if full else set()
+    return out
+
+
+def test_targets(spark):
+    assert targets([100, 100, 100]) == pytest.approx([200, 250 / 3, 500 / 3]) and targets([10, 1000]) == [20.0, 1495.0]
+    rng = random.Random(14)
+    for sizes in ([100, 100, 100], [10, 1000], [0, 0], [], [rng.randrange(500) for _ in range(40)], [1, 1, 10**6, 5, 0, 70]):
+        names = sorted({f"{rng.choice('aZ€😀')}{i}" for i in range(len(sizes) - 1)}) + [None] * bool(sizes)
+        order = list(zip(names, sizes))
+        rows = [(i, s, n) for i, (s, n) in enumerate(rng.sample(order, len(order)))]
+        found = pivotal_mix.source_facts(spark.createDataFrame(rows, "_rid long, source string, size long"), (3, 1, 2), 1.5, 2).orderBy("src").collect()
+        assert [(r["source"], r["source_size"], r["src"]) for r in found] == [(s, n, i) for i, (s, n) in enumerate(order)]
+        assert [r["target"] for r in found] == pytest.approx(targets(sizes))
 
 
 def test_pivotal_steps_keep_mass_and_expectation():
@@ -191,7 +267,7 @@ def test_mix(odd, odd_rows, empty):
     for r in odd_rows:
         sizes[r[3]] += size(r[1])
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    goal = dict(zip(order, pivotal_mix.targets([sizes[s] for s in order])))
+    goal = dict(zip(order, targets([sizes[s] for s in order])))
     assert sorted(by) == sorted((sizes[s], goal[s]) for s in order)
     again = sorted(map(str, pivotal_mix.mix(odd.repartition(5)).drop("_rid").collect()))
     assert again == sorted(str(f) for f in pivotal_mix.mix(odd).drop("_rid").collect())
@@ -207,6 +283,22 @@ def test_mix_comes_near_in_many_groups(spark):
     assert all(abs(r["sum(taken)"] - r["target"]) <= 40 for r in found)
 
 
+def test_equal_rows_are_dealt_evenly(spark, monkeypatch):
+    """Rows of one id, source and size, however many, spread over groups; their ranks do not repeat, nor do reruns differ."""
+    monkeypatch.setattr(_shared, "LIGHT", 100)
+    rows = [(None, "w w w", "a")] * 5000 + [(3, "w w", "a")] * 50 + [(i, "w " * (i % 7), "b") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sized = with_row_id(stored(docs)).selectExpr("_rid", "doc_id", "source", "cast(length(text) as long) AS size")
+    twins = pivotal_mix.with_twins(sized).collect()
+    assert len(twins) == len(rows) == len({(r["doc_id"], r["source"], r["size"], r["twin"]) for r in twins})
+    monkeypatch.setattr(pivotal_mix, "GROUP", 500)
+    found = pivotal_mix.mix(docs).collect()
+    of = defaultdict(int)
+    for r in found:
+        of[r["source_size"], r["target"]] += r["taken"]
+    assert all(abs(taken - target) <= 10 for (_, target), taken in of.items())
+
+
 def test_encoder_is_the_library():
     import public_tokenizers as P
 
@@ -238,15 +330,35 @@ def test_plan_covers_and_fits():
             assert sequences <= 1.25 * max(-(-weight // limit), int(counts[limit // 2 + 1 :].sum())) + 1
 
 
+def test_sums_against_brute_force():
+    """A gap is filled if, and only if, one to three lengths that are left sum to it."""
+    rng = random.Random(13)
+    for _ in range(150):
+        limit = rng.randrange(6, 24)
+        index = packing.SumIndex(np.array([0] + [rng.choice([0, 0, 1, 2, 3]) for _ in range(limit)]))
+        for _ in range(12):
+            gap = rng.randrange(1, limit + 1)
+            can = any(sum(x) == gap and all(index.counts[v] >= x.count(v) for v in x) for k in (1, 2, 3) for x in itertools.combinations_with_replacement(range(1, limit + 1), k))
+            found = index.fill(gap)
+            assert (found is not None) == can
+            for v in found or [int(x) for x in np.flatnonzero(index.counts)[:1]]:
+                index.counts[v] -= 1
+            if found:
+                assert sum(found) == gap
+            assert (index.counts >= 0).all()
+
+
 def test_pack(odd, odd_rows, empty):
     import public_tokenizers as P
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    docs = odd.where("coalesce(doc_id, 0) <> 11")
+    special = [(900, "x <|endoftext|> y"), (901, "<|endoftext|>"), (902, "plain<|endoftext|>prose, it is.")]
+    assert 50256 in tokenizer.encode(special[0][1], add_special_tokens=False).ids
+    docs = odd.where("coalesce(doc_id, 0) <> 11").select("doc_id", "text")
+    docs = docs.unionByName(docs.sparkSession.createDataFrame(special, "doc_id long, text string"))
     expected = Counter()
-    for r in odd_rows:
+    for r in [*odd_rows, *special]:
         if r[0] != 11:
             ids = np.array([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0], "<u4")
             start, end, piece = 0, len(ids) if len(ids) <= 2048 else len(ids) % 2048 or 2048, 0
@@ -268,7 +380,10 @@ def test_pack(odd, odd_rows, empty):
     assert packing.pack(empty).collect() == []
 
 
-def test_line_dedup(spark, empty, tmp_path):
+@pytest.mark.parametrize("light", [10**6, 2])
+def test_line_dedup(spark, empty, tmp_path, monkeypatch, light):
+    """light: rows up to which a key is not heavy."""
+    monkeypatch.setattr(_shared, "LIGHT", light)
     rng = random.Random(11)
     shared = [f"  This line number {i} is Shared by many\t" for i in range(6)]
     rows = [(i, "\n".join(rng.choice([*shared, "short", f"own line of document {i} here", shared[0].upper()]) for _ in range(rng.randrange(1, 140)))) for i in range(40)]
@@ -294,6 +409,23 @@ def test_line_dedup(spark, empty, tmp_path):
     assert line_dedup.line_dedup(empty).collect() == []
 
 
+@pytest.mark.parametrize("most", [1 << 26, 0])
+def test_bitmaps_are_sparse_and_exact(spark, monkeypatch, most):
+    """Long texts with few lines to drop; bitmaps broadcast and joined."""
+    monkeypatch.setattr(line_dedup, "BITMAP_BYTES", most)
+    common = "a line that is in all of the documents"
+    texts = [[f"own line {i} of the document {d}" for i in range(9000)] for d in range(4)]
+    for d in range(4):
+        for place in (0, 63, 64, 4000, 8999)[: d + 2]:
+            texts[d][place] = common
+    docs = spark.createDataFrame([(d, "\n".join(x)) for d, x in enumerate(texts)], "doc_id long, text string")
+    bitmaps = {r["doc"]: r["dropped"] for r in line_dedup.keep_bitmaps(docs.withColumnRenamed("doc_id", "doc")).collect()}
+    assert {d: [w["word"] for w in b] for d, b in bitmaps.items()} == {0: [0], 1: [0, 1], 2: [0, 1, 62]}
+    for r in line_dedup.line_dedup(docs).collect():
+        want = texts[r["doc_id"]] if r["doc_id"] == 3 else [x for x in texts[r["doc_id"]] if x != common]
+        assert r["kept_text"] == "\n".join(want) and r["n_lines"] == 9000
+
+
 def test_line_dedup_takes_odd_rows(odd, odd_rows):
     assert line_dedup.line_dedup(odd).count() == len(odd_rows)
 
@@ -315,6 +447,58 @@ def test_classifier_takes_odd_rows(odd, odd_rows, empty, no_labels):
     assert fm_classifier.classify(empty, no_labels).collect() == []
 
 
+def test_fit_does_not_follow_the_files(spark, tmp_path):
+    """Scores are the same whatever the number of files; repeated rows of a document count once."""
+    rng = random.Random(15)
+    rows = [(i, " ".join(rng.choices(["good", "text", "fine"] if i % 3 else ["spam", "buy", "$$$"], k=30)) + f" {i}") for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(400)], "doc_id long, quality int")
+    seen = []
+    for n, repeat in ((1, 1), (5, 1), (3, 4)):
+        docs = spark.createDataFrame(rng.sample(rows * repeat, len(rows) * repeat), "doc_id long, text string").repartition(n)
+        docs.write.parquet(f"{tmp_path}/{n}")
+        seen.append({r["doc_id"]: r["score"] for r in fm_classifier.classify(spark.read.parquet(f"{tmp_path}/{n}"), labels).collect()})
+    assert seen[0] == seen[1] == seen[2] and len(set(seen[0].values())) > 100
+
+
+def test_fit_against_plain_loops(monkeypatch):
+    """The same steps with the pairs written out and no matrices."""
+    monkeypatch.setattr(fm_classifier, "SIZE", 7)
+    monkeypatch.setattr(fm_classifier, "FACTORS", 2)
+    monkeypatch.setattr(fm_classifier, "EPOCHS", 3)
+    monkeypatch.setattr(fm_classifier, "BATCH", 4)
+    rng = np.random.default_rng(1)
+    rows = [(np.sort(rng.choice(7, 3, replace=False)), rng.random(3), int(rng.random() < 0.5)) for _ in range(10)]
+    got = fm_classifier.fit(rows)
+    ys = [r[2] for r in rows]
+    rate = (sum(ys) + 0.5) / (len(ys) + 1)
+    draw = np.random.default_rng(fm_classifier.SEED)
+    w, v, w0 = [0.0] * 7, draw.normal(0, 0.02, (7, 2)).astype(np.float32).tolist(), math.log(rate / (1 - rate))
+    gw, gv, g0 = [1e-2] * 7, [[1e-2] * 2 for _ in range(7)], 1e-2
+    for _ in range(3):
+        order = draw.permutation(10)
+        for at in range(0, 10, 4):
+            part = [rows[i] for i in order[at : at + 4]]
+            dw, dv, d0 = [fm_classifier.DECAY * x for x in w], [[fm_classifier.DECAY * x for x in row] for row in v], 0.0
+            for numbers, values, y in part:
+                x = dict(zip(map(int, numbers), map(float, values)))
+                z = w0 + sum(w[i] * a for i, a in x.items()) + sum(sum(v[i][f] * v[j][f] for f in range(2)) * x[i] * x[j] for i in x for j in x if i < j)
+                g = (1 / (1 + math.exp(-z)) - y) / len(part)
+                d0 += g
+                for i, a in x.items():
+                    dw[i] += g * a
+                    for f in range(2):
+                        dv[i][f] += g * a * sum(v[j][f] * x[j] for j in x if j != i)
+            g0 += d0 * d0
+            w0 -= fm_classifier.RATE * d0 / math.sqrt(g0)
+            for i in range(7):
+                gw[i] += dw[i] ** 2
+                w[i] -= fm_classifier.RATE * dw[i] / math.sqrt(gw[i])
+                for f in range(2):
+                    gv[i][f] += dv[i][f] ** 2
+                    v[i][f] -= fm_classifier.RATE * dv[i][f] / math.sqrt(gv[i][f])
+    assert got.w0 == pytest.approx(w0, abs=1e-3) and got.w == pytest.approx(w, abs=1e-3) and got.v == pytest.approx(np.array(v), abs=1e-3)
+
+
 def test_classifier_on_held_out_rows(spark):
     """Accuracy on the fold that training does not read."""
     folder = "/root/testdata/sf0.01"

@@ -1,6 +1,7 @@
 """Pseudonyms, URL filters, chats and the pipeline."""
 
 import datetime
+import math
 import random
 import re
 
@@ -102,19 +103,89 @@ def test_reputation_shrinks(spark):
     assert verdicts == {("spam.evil.com", "block"), ("one.good.com", "allow"), ("big.good.com", "allow"), ("a.fine.org", "allow"), ("unseen.good.com", "allow")}
 
 
-def test_beta_tail(spark):
-    from fractions import Fraction
-    from math import comb
+def exact_tail(a, b, t):
+    """P(x > t) for x ~ Beta(a, b): the power series of the lower tail, in floats of 60 digits."""
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = 60
+    t, total, term, n = Decimal(t), Decimal(0), Decimal(1), 0
+    while n < 20 * (a + b) + 400:
+        total += term
+        term *= (Decimal(a) + Decimal(b) + n) / (Decimal(a) + 1 + n) * t
+        n += 1
+    log = Decimal(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) + Decimal(a) * t.ln() + Decimal(b) * (1 - t).ln() - Decimal(a).ln()
+    return float(1 - log.exp() * total)
 
-    def exact(a, b, t):  # whole numbers: a binomial sum
-        n, t = a + b - 1, Fraction(t).limit_denominator(100)
-        return float(sum(comb(n, i) * t**i * (1 - t) ** (n - i) for i in range(a)))
 
+def test_beta_tail(spark):
     from pyspark.sql import functions as F
 
-    for a, b, t in ((3, 5, 0.5), (20, 10, 0.5), (2, 40, 0.1), (400, 380, 0.5)):
-        got = spark.range(1).select(host_reputation.tail(F.lit(float(a)), F.lit(float(b)), t).alias("p")).first()["p"]
-        assert abs(got - exact(a, b, t)) < 0.01, (a, b, t, got)
+    cases = [(0.97, 0.03, 0.5), (0.95, 0.05, 0.5), (0.03, 0.97, 0.5), (0.5, 0.5, 0.5), (3.0, 5.0, 0.5), (20.5, 10.25, 0.5), (2.0, 40.0, 0.1), (400.0, 380.0, 0.5), (1.0, 1.0, 0.3), (1e-3, 2.0, 0.5), (300.0, 2.5, 0.9)]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a double, b double")
+    for i, (a, b, t) in enumerate(cases):
+        got = rows.where(f"i = {i}").select(host_reputation.tail(F.col("a"), F.col("b"), t).alias("p")).first()["p"]
+        assert abs(got - exact_tail(a, b, t)) < 1e-9, (a, b, t, got)
+    assert abs(exact_tail(0.97, 0.03, 0.5) - 0.979) < 1e-3 and abs(exact_tail(0.03, 0.97, 0.5) - 0.022) < 1e-3
+
+
+def test_reputations_against_brute_force(spark):
+    """Many hosts of several domains and suffixes, blocked and not, by plain Python."""
+    rng = random.Random(5)
+    pages, outcomes = [None, "no scheme", "http:///x"], [(0, 1), (1, 1), (2, 1)]
+    for h in range(60):
+        host = f"h{h}.d{h % 11}.{['com', 'co.uk', 'org', 'net'][h % 4]}"
+        rate = rng.choice([0.02, 0.1, 0.9, 1.0]) if h % 11 in (0, 3) else 0.05
+        for k in range(rng.choice([1, 3, 30, 120])):
+            if rng.random() < 0.8:
+                outcomes.append((len(pages), int(rng.random() < rate)))
+            pages.append(f"http://{host}/{k}" + "x" * (200_000 if h == 7 and k == 0 else 0))
+    rows = spark.createDataFrame([(i, u, "x", "y", "z") for i, u in enumerate(pages)], "page_id long, url string, host string, rule string, bad string")
+    marks = spark.createDataFrame([(*o, "x") for o in outcomes], "page_id long, bad int, host string")
+    found = host_reputation.judge(rows, marks, {}).collect()
+    bad = dict(outcomes)
+    counts = {}
+    for i, u in enumerate(pages[3:], 3):
+        n = counts.setdefault(u.split("/")[2], [0, 0])
+        n[0] += i in bad
+        n[1] += bad.get(i, 0)
+
+    def strength(groups):  # (n, bad, mean)
+        over = sum((b - n * m) ** 2 - n * m * (1 - m) for n, b, m in groups)
+        base = sum(n * (n - 1) * m * (1 - m) for n, b, m in groups)
+        return min(max(base / over - 1 if base and over / base > 0 else 1000.0, 1.0), 1000.0)
+
+    def up(level, key):
+        out = {}
+        for k, (n, b) in level.items():
+            x = out.setdefault(key(k), [0, 0])
+            x[0] += n
+            x[1] += b
+        return out
+
+    suffix = lambda h: ".".join(h.split(".")[-2:]) if h.endswith("co.uk") else h.split(".")[-1]
+    domains = up(counts, lambda h: h.partition(".")[2])
+    suffixes = up(domains, suffix)
+    mean = (sum(b for _, b in suffixes.values()) + 0.5) / (sum(n for n, _ in suffixes.values()) + 1)
+    means = {None: mean}
+    for level, parent in ((suffixes, lambda k: None), (domains, suffix)):
+        k = strength([(n, b, means[parent(x)]) for x, (n, b) in level.items()])
+        means |= {x: (b + k * means[parent(x)]) / (n + k) for x, (n, b) in level.items()}
+    k = strength([(n, b, means[h.partition(".")[2]]) for h, (n, b) in counts.items()])
+    blocked = {h for h, (n, b) in counts.items() if exact_tail(b + k * means[h.partition(".")[2]], n - b + k * (1 - means[h.partition(".")[2]]), 0.5) >= 0.95}
+    assert 1 < len(blocked) < 30
+    assert {(r["page_id"], r["verdict"]) for r in found} == {(i, "block" if u and "://" in u and u.split("/")[2] in blocked else "allow") for i, u in enumerate(pages)}
+
+
+def test_many_rules_are_joined(spark, monkeypatch):
+    rng = random.Random(6)
+    rules = {f"{rng.choice(['', 'a.', 'b.a.'])}{rng.choice(['com', 'org', 'x.com'])}/{rng.choice(['', 'p', 'p/q', 'p/q/r', 'z'])}": rng.choice(["allow", "block"]) for _ in range(40)}
+    hosts = ["com", "x.com", "b.a.x.com", "q.b.a.com", "org", "xcom", "", "a.org."]
+    pages = urls(spark, [f"http://{rng.choice(hosts)}/{rng.choice(['', 'p', 'p/q/r/s', 'z', 'pq'])}" for _ in range(200)] + [None, "x"])
+    none = spark.createDataFrame([], "page_id long, bad int")
+    want = sorted(host_reputation.judge(pages, none, rules).collect(), key=str)
+    monkeypatch.setattr(host_reputation, "MAX_RULES", 3)
+    assert sorted(host_reputation.judge(pages, none, rules).collect(), key=str) == want
+    assert len({r["rule"] for r in want}) > 10
 
 
 def test_domains(spark):
@@ -155,20 +226,130 @@ def test_events_fold(spark):
     assert [tuple(r) for r in found] == [("m1", "user", "hey"), ("m2", "assistant", "Bye")]
 
 
-def test_pipeline_stages(spark, odd, tmp_path):
+def test_random_logs_fold(spark):
+    """Random logs, folded in plain Python."""
+    rng = random.Random(21)
+    rows = []
+    for conv in range(30):
+        for seq in range(rng.randrange(1, 40)):
+            m = f"m{rng.randrange(5)}"
+            rows.append((conv, seq, m, rng.choice([*chat.KINDS, "delta", "delta", "noise"]), rng.choice(["user", "assistant", None]), rng.choice(TEXTS)))
+    state = {}
+    for conv, seq, m, kind, role, text in rows:
+        if kind == "noise":
+            continue
+        at = state.setdefault((conv, m), [seq, "", "", False])
+        at[1] = role or at[1]
+        at[2] = (at[2] if kind == "delta" else "") + (text or "" if kind != "delete" else "")
+        at[3] = kind == "delete" or (kind == "delta" and at[3])  # what follows a deletion does not bring it back
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "conv_id long, seq long, message_id string, kind string, role string, text string")
+    df = df.selectExpr("*", "'x' AS at", "'y' AS start", "'z' AS e")
+    found = {(r["conv_id"], r["message_id"]): (r["at"], r["role"], r["text"]) for r in chat.fold(df).collect()}
+    assert found == {k: (v[0], v[1], v[2]) for k, v in state.items() if not v[3]}
+
+
+def test_streamed_logs_give_the_turns(spark):
+    rng = random.Random(22)
+    rows = [(i, t, rng.choice(ROLES), rng.choice([*TEXTS, "é😀" * rng.randrange(40), "w" * 300_000 if t == i == 3 else "ok"])) for i in range(30) for t in range(rng.randrange(1, 14))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    messages = chat.message_events(df.withColumns({"kind": df["turn"], "seq": df["turn"], "event": df["text"]}))
+    log = chat.streamed_events(messages)
+    kinds = {r["kind"]: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert set(kinds) == {"message", "edit", "delta", "regenerate"} and log.where("text like 'draft%'").count() > 10
+    assert sorted(map(str, chat.digests(chat.format_chats(log)).collect())) == sorted(map(str, chat.digests(chat.format_chats(messages)).collect()))
+    assert chat.streamed_events(chat.message_events(df.limit(0))).collect() == []
+
+
+FRAME = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def pipeline_by_hand(rows, labels):
+    """What the first three stages keep, in plain Python."""
+    from collections import Counter, defaultdict
+
+    from fragloom.llm import quality_rules
+
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+
+    def good(r):
+        w = word.findall(r[1] or "")
+        many = Counter(zip(w, w[1:], w[2:]))
+        covered = {i + k for i, t in enumerate(zip(w, w[1:], w[2:])) if many[t] > 1 for k in range(3)}
+        return len(w) >= 50 and 100 * len(covered) <= 50 * len(w)
+
+    some, marked = [r for r in rows if good(r)], defaultdict(list)
+    for r in some:
+        if labels.get(r[0]) == 1:
+            marked[r[2]].append(r)
+    symbols = lambda r: (len(re.findall(r"[#*$%&|<>]", r[1])), len(word.findall(r[1])))
+    cut = {}
+    for lang, known in marked.items():
+        for c in quality_rules.CUTOFFS:
+            k = sum(100 * a > c * b for a, b in map(symbols, known))
+            if not quality_rules.refuted(k, len(known), quality_rules.ALPHA, quality_rules.DELTA / (len(marked) * 4)):
+                break
+            cut[lang] = c
+    some = [r for r in some if not (r[2] in cut and 100 * symbols(r)[0] > cut[r[2]] * symbols(r)[1])]
+    one = [some]
+    last = {}
+    for r in some:
+        last[r[1]] = max(last.get(r[1], r), r, key=lambda r: (r[0] is not None, r[0] or 0))
+    one.append(list(last.values()))
+    sets = [(r, {tuple(w[i : i + 5]) for i in range(len(w) - 4)}) for r in one[1] for w in [word.findall(r[1].lower())]]
+    root = list(range(len(sets)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i, (_, a) in enumerate(sets):
+        for j, (_, b) in enumerate(sets[:i]):
+            if 100 * len(a & b) >= 75 * len(a | b):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (r, _) in enumerate(sets):
+        least[find(i)] = min(least.get(find(i), r), r, key=lambda r: r[0])
+    one.append(list(least.values()))
+    return one, cut
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    """Labels enough to certify a cutoff; texts of symbols, copies, near copies, nulls, repeated rows, clashing columns."""
     pipeline = pytest.importorskip("corpus_pipeline")
-    rng = random.Random(3)
-    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
-    base = [text(200) for _ in range(30)]
-    rows = [(i, base[i % 25], "en", f"s{i % 3}", 1) for i in range(40)] + [(100, base[0] + " more", "en", "s0", 1), (101, "short", "en", "s1", 1), (102, None, None, None, None)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    docs, sizes = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
-    for i, (name, stage) in enumerate(pipeline.STAGES[:3]):
+    rng = random.Random(31)
+    text = lambda n, odd=0: " ".join(["$|#" * (i < odd) + "".join(rng.choices("abcdefgh", k=5)) for i in range(n)])
+    rows = [(i, text(70, 60 if i % 10 == 0 else 0), "en", f"s{i % 3}", 1) for i in range(900)]
+    rows += [(2000 + i, rows[1][1], "en", "s1", None) for i in range(40)] + [(3000 + i, rows[2][1] + f" more{i}", None, None, 1) for i in range(20)]
+    rows += [(5000, None, None, None, None), (5001, "", "de", "s1", 0), (5002, "short", "en", "s1", 1), rows[5], rows[5], (5003, text(20_000), "de", "s1", 9)]
+    labels = {i: int(i % 10 > 0) for i in range(900)}
+    spark.createDataFrame(rows, FRAME).selectExpr("*", "'r' AS _rid", "'s' AS size", "'k' AS kept", "1 AS Part").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(labels.items()), "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    want, cut = pipeline_by_hand(rows, labels)
+    assert cut["en"] < 100 and len(want[0]) < 900
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for i, (name, stage) in enumerate(pipeline.STAGES):
         out = stage(spark, docs, str(tmp_path))
-        assert out.columns == docs.columns
         out.write.parquet(f"{tmp_path}/{i}")
-        docs = spark.read.parquet(f"{tmp_path}/{i}")
-        sizes.append(docs.count())
-    assert sizes == [41, 26, 25]  # too short ones go; one of each text; the near copy of the first
-    assert pipeline.run(spark, str(tmp_path)).count() > 0
+        last, docs = docs, spark.read.parquet(f"{tmp_path}/{i}")
+        if i < 4:
+            assert out.columns == last.columns and docs.where("_rid <> 'r' or size <> 's' or kept <> 'k' or Part <> 1").isEmpty()
+        if i < 3:
+            assert sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()) == sorted((r[0], r[1]) for r in want[i]), name
+    # The mix holds whole copies of what came in, at most two of each, and comes near its targets; the packing loses nothing.
+    mixed = spark.read.parquet(f"{tmp_path}/3")
+    copies = {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    sizes = {r[0]: (r[3], len((r[1] or "").split())) for r in want[2]}
+    assert set(copies) <= set(sizes) and max(copies.values()) <= 2
+    total = sum(n for _, n in sizes.values())
+    taken = sum(sizes[d][1] * n for d, n in copies.items())
+    assert abs(taken - 1.5 * total) < 4 * 71
+    pieces = docs.groupBy("doc_id").sum("length").collect()
+    assert {r["doc_id"] for r in pieces} == set(copies)
+    per = docs.groupBy("sequence_id").sum("length").collect()
+    assert max(r["sum(length)"] for r in per) <= 2048 and len(per) <= 1.06 * sum(r["sum(length)"] for r in per) / 2048 + 2
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([], FRAME).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert pipeline.run(spark, str(tmp_path)).collect() == []

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fragloom.llm import block_naming
-from fragloom.llm._shared import stored, with_row_id, without_rows
+from fragloom.llm._shared import stored, table, with_row_id, without_rows
 
 
 @pytest.fixture
@@ -44,7 +44,7 @@ def test_rows_gone_are_those_meant_after_other_splits(spark, docs):
     split(spark, "128m")
     judged = block_naming.exact_duplicates(docs).where(~F.col("kept"))
     gone = {r["doc_id"] for r in judged.collect()}
-    judged = judged.localCheckpoint()
+    judged = table(judged, "judged")
     split(spark, "3k")
     left = without_rows(docs, judged)
     assert left.columns == docs.columns
