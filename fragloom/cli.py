@@ -68,7 +68,11 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.command == "validate":
         titles = spark.read.csv(a.titles, sep="\t", header=True, quote="") if a.titles else None
         found = checks.run_all(FragmentStore(spark, a.store).read(), titles, a.include_checked)
-        checks.in_order(found).show(100, truncate=False)
+        n = 0
+        for row in checks.in_order(found).toLocalIterator():
+            print("\t".join("" if v is None else str(v) for v in row))
+            n += 1
+        print(f"{n} findings")
         return 0
     settings = config.load(a.config).with_defaults()
     paths = [f"{settings.xml_dir.rstrip('/')}/{n}" for n in settings.files]

@@ -184,6 +184,11 @@ def findings_by_file(findings: DataFrame) -> DataFrame:
     return findings.groupBy("cst_file", "check_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def files_of(findings: DataFrame) -> DataFrame:
+    """[G5] The files that findings tell of, each once, sorted."""
+    return findings.select("cst_file").distinct().orderBy("cst_file")
+
+
 def in_order(findings: DataFrame) -> DataFrame:
     """[G4] By file, then version."""
     return findings.orderBy("cst_file", *cd.version_order(F.col("frag_idx_code")))

@@ -1,6 +1,7 @@
 """Lookup joins against small dimensions: code mapping and titles. [D, C24]
 
-A dimension is broadcast only after its rows were counted and are at most BROADCAST_ROWS; beyond that the same join shuffles.
+A dimension is broadcast only after its rows and bytes were counted and are at most BROADCAST_ROWS and BROADCAST_BYTES; beyond
+that the same join shuffles.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ from fragloom.functions import codes as cd
 from fragloom.functions import text as tx
 from fragloom.operators import ordered, scan
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def small(dimension: DataFrame) -> DataFrame:
-    """The dimension, marked for broadcast if its size allows."""
-    return F.broadcast(dimension) if dimension.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else dimension
+    """The dimension, marked for broadcast if its rows, and the bytes of their texts, allow."""
+    text = F.sum(F.octet_length(F.concat_ws("", *(F.col(c).cast("string") for c in dimension.columns))))
+    n, size = dimension.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), text).first()
+    return F.broadcast(dimension) if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else dimension
 
 
 def last_wins(df: DataFrame, key: str, values: Sequence[str], order: Column | str) -> DataFrame:

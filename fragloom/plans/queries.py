@@ -65,10 +65,8 @@ _FRAGMENT = {
     "end_line": "CAST(turn + 2 AS INT)",
     "end_char": "CASE WHEN (conv_id + turn) % 4 = 0 THEN 1 ELSE 0 END",
 }
-_TITLES = "SELECT uid, max(name) AS name FROM (SELECT 'sn' || CAST(p_partkey % 9 + 1 AS STRING) || '.' || CAST(p_size % 12 + 1 AS STRING) || CASE WHEN p_partkey % 3 = 0 THEN '-' || CAST(p_size % 12 + 4 AS STRING) ELSE '' END AS uid, p_name AS name FROM part WHERE p_partkey <= 90) GROUP BY uid"
-_MAPPING = "SELECT 'sn1.' || CAST(p_partkey % 9 + 1 AS STRING) || '.1.' || CAST(p_size % 6 + 1 AS STRING) AS cst_code, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE 'sn' || CAST(p_partkey % 9 + 1 AS STRING) || '.' || CAST(p_size AS STRING) END AS code, p_name AS sutta, p_partkey AS row_idx FROM part WHERE p_partkey <= 150"
-#: All of part, for what has no twin.
-_ALL_TITLES, _ALL_MAPPING = _TITLES.replace(" WHERE p_partkey <= 90", ""), _MAPPING.replace(" WHERE p_partkey <= 150", "")
+_TITLES = "SELECT uid, max(name) AS name FROM (SELECT 'sn' || CAST(p_partkey % 9 + 1 AS STRING) || '.' || CAST(p_size % 12 + 1 AS STRING) || CASE WHEN p_partkey % 3 = 0 THEN '-' || CAST(p_size % 12 + 4 AS STRING) ELSE '' END AS uid, p_name AS name FROM part) GROUP BY uid"
+_MAPPING = "SELECT 'sn1.' || CAST(p_partkey % 9 + 1 AS STRING) || '.1.' || CAST(p_size % 6 + 1 AS STRING) AS cst_code, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE 'sn' || CAST(p_partkey % 9 + 1 AS STRING) || '.' || CAST(p_size AS STRING) END AS code, p_name AS sutta, p_partkey AS row_idx FROM part"
 _F = f"f AS (SELECT {', '.join(f'{e} AS {c}' for c, e in _FRAGMENT.items())}, CAST(turn AS BIGINT) AS major, conv_id, turn FROM conversations)"
 _T, _M = f"t AS ({_TITLES})", f"m AS ({_MAPPING})"
 #: The sc code that a mapping gives a cst code: of repeated codes the last row.
@@ -86,12 +84,12 @@ def part_view(spark: SparkSession, sf: str, sql: str) -> DataFrame:
     return spark.sql(sql.replace("FROM part", "FROM {part}"), part=read(spark, sf, "part"))
 
 
-def part_titles(spark: SparkSession, sf: str, sql: str = _TITLES) -> DataFrame:
-    return part_view(spark, sf, sql)
+def part_titles(spark: SparkSession, sf: str) -> DataFrame:
+    return part_view(spark, sf, _TITLES)
 
 
-def part_mapping(spark: SparkSession, sf: str, sql: str = _MAPPING) -> DataFrame:
-    return part_view(spark, sf, sql)
+def part_mapping(spark: SparkSession, sf: str) -> DataFrame:
+    return part_view(spark, sf, _MAPPING)
 
 
 # -- fragment indexes
@@ -304,7 +302,7 @@ def counts_by_key(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT n_regionkey, string_agg(n_name || ':' || c, ',' ORDER BY n_name) AS items, sum(c)::BIGINT AS total FROM (SELECT n_regionkey, n_name, count(*) AS c FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL) GROUP BY n_regionkey")
 def files_by_group(spark: SparkSession, sf: str) -> DataFrame:
     """[E3, E6, E8]"""
-    rows = read(spark, sf, "customer").join(F.broadcast(read(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = read(spark, sf, "customer").join(lookups.small(read(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     out = ordered.grouped_counts(rows, "n_regionkey", "n_name")
     return out.select("n_regionkey", F.array_join(F.transform("items", lambda x: F.concat(x["n_name"], F.lit(":"), x["n"].cast("string"))), ",").alias("items"), "total")
 
@@ -343,9 +341,15 @@ def fill_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return lookups.fill(rows, dimension, "l_partkey", ["brand"]).drop("l_partkey")
 
 
+@query(f"WITH {_M} SELECT cst_code, arg_max(sutta, row_idx) AS cst_sutta FROM m GROUP BY cst_code")
+def title_map(spark: SparkSession, sf: str) -> DataFrame:
+    """[D13]"""
+    return lookups.title_map(part_mapping(spark, sf).withColumnRenamed("sutta", "cst_sutta"))
+
+
 @query(f"WITH {_M}, {_MAP} SELECT cst_code, sc AS sc_code, title AS sc_sutta FROM mp")
 def code_map(spark: SparkSession, sf: str) -> DataFrame:
-    """[D4, D13]"""
+    """[D4]"""
     return lookups.code_map(part_mapping(spark, sf))
 
 
@@ -390,7 +394,7 @@ def title_suggestions(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def propagated_codes(spark: SparkSession, sf: str) -> DataFrame:
     """[D7, C17] an ordered fold"""
-    return lookups.propagate(turn_fragments(spark, sf), part_titles(spark, sf, _ALL_TITLES)).select("cst_file", "frag_idx_code", "sc_code", "sc_sutta")
+    return lookups.propagate(turn_fragments(spark, sf), part_titles(spark, sf)).select("cst_file", "frag_idx_code", "sc_code", "sc_sutta")
 
 
 @query()
@@ -424,10 +428,32 @@ def check_review_status(spark: SparkSession, sf: str) -> DataFrame:
     return checks.review_status(turn_fragments(spark, sf))
 
 
-@query(f"WITH {_F} " + _FIND("xml_reconstruction", "'XML reconstruction failed: no fragments with content'", "f WHERE FALSE"))
+@query(f"WITH {_F} " + _FIND("xml_reconstruction", "'XML reconstruction failed: no fragments with content'", "f WHERE conv_id % 5 = 2 AND turn = (SELECT min(g.turn) FROM f g WHERE g.conv_id = f.conv_id)"))
 def check_reconstruction(spark: SparkSession, sf: str) -> DataFrame:
-    """[J4]"""
-    return checks.reconstruction(turn_fragments(spark, sf))
+    """[J4, P10] every fifth file has fragments of unknown kinds only"""
+    rows = turn_fragments(spark, sf)
+    lost = F.substring_index("cst_file", ".", 1).cast("long") % 5 == 2
+    return checks.reconstruction(rows.withColumn("frag_type", F.when(lost, F.lit("Other")).otherwise(F.col("frag_type"))))
+
+
+@query(
+    f"WITH {_F}, d AS (SELECT cst_file, conv_id, string_agg(content_xml, '' ORDER BY turn) AS c FROM f GROUP BY ALL) "
+    "SELECT cst_file, length(c) + 4 AS expected_chars, length(c) AS found_chars, length(c) + 1 AS first_difference FROM d WHERE conv_id % 3 = 0"
+)
+def text_differences(spark: SparkSession, sf: str) -> DataFrame:
+    """[J11] every third file holds more than its fragments give back"""
+    rows = turn_fragments(spark, sf).withColumn("frag_review", F.lit(None).cast("string"))
+    turn = F.substring_index("frag_idx_code", ".", 1).cast("long")
+    files = ordered.joined_text(rows.withColumn("turn", turn), ["cst_file"], ["turn"], "content_xml", out="content")
+    more = F.substring_index("cst_file", ".", 1).cast("long") % 3 == 0
+    files = files.withColumn("content", F.concat("content", F.when(more, F.lit(" end")).otherwise(F.lit(""))))
+    return checks.differences(rows, files)
+
+
+@query(f"WITH {_F} SELECT DISTINCT cst_file FROM f WHERE frag_type = 'Sutta' AND coalesce(frag_review, '') NOT IN ('', 'moved', 'checked')")
+def finding_files(spark: SparkSession, sf: str) -> DataFrame:
+    """[G5]"""
+    return checks.files_of(checks.review_status(turn_fragments(spark, sf)))
 
 
 _LR = "'^([^0-9]+)(?:(\\d+)\\.)?(\\d+)(?:-(\\d+))?$'"
@@ -473,7 +499,7 @@ def check_not_in_titles(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def check_all(spark: SparkSession, sf: str) -> DataFrame:
     """[2.11, E9] findings per file and check"""
-    return checks.findings_by_file(checks.run_all(turn_fragments(spark, sf), part_titles(spark, sf, _ALL_TITLES)))
+    return checks.findings_by_file(checks.run_all(turn_fragments(spark, sf), part_titles(spark, sf)))
 
 
 @query(f"WITH {_F} SELECT cst_file, count(*) AS n, coalesce(max(e.c), 0) AS expected FROM f LEFT JOIN (SELECT cst_file AS k, count(*) AS c FROM f WHERE frag_review IS NULL GROUP BY 1) e ON e.k = f.cst_file GROUP BY cst_file HAVING count(*) <> coalesce(max(e.c), 0)")
@@ -499,15 +525,18 @@ def missing_in_dimension(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_F} SELECT cst_file, frag_idx_code, CASE WHEN turn % 2 = 0 THEN 'X' || turn ELSE cst_code END AS cst_code, CASE WHEN turn % 2 = 0 AND frag_review IS NULL THEN 'checked' WHEN turn % 4 = 0 THEN 'p' ELSE frag_review END AS frag_review FROM f WHERE conv_id = 3"
+    f"WITH {_F} SELECT cst_file, frag_idx_code, CASE WHEN turn % 2 = 0 THEN 'X' || turn ELSE cst_code END AS cst_code, CASE WHEN turn % 2 = 0 AND frag_review IS NULL THEN 'checked' WHEN turn % 4 = 0 THEN 'p' ELSE frag_review END AS frag_review FROM f WHERE conv_id = 3 UNION ALL SELECT cst_file, frag_idx_code, cst_code, frag_review FROM f WHERE conv_id <> 3"
 )
 def patch_rows(spark: SparkSession, sf: str) -> DataFrame:
     """[H5] metadata patches of one file"""
-    rows = checks.of_file(turn_fragments(spark, sf), "3.xml")
     turn = F.substring_index("frag_idx_code", ".", 1)
     status = F.when((turn.cast("int") % 4 == 0) & F.col("frag_review").isNotNull(), "p")
-    patches = rows.where(turn.cast("int") % 2 == 0).select("frag_idx_code", status.alias("frag_review"), F.concat(F.lit("X"), turn).alias("cst_code"), *(F.lit(None).cast("string").alias(c) for c in schema.CODES if c != "cst_code"))
-    return edits.patch(rows, patches).select("cst_file", "frag_idx_code", "cst_code", "frag_review")
+
+    def patched(rows: DataFrame) -> DataFrame:
+        patches = rows.where(turn.cast("int") % 2 == 0).select("frag_idx_code", status.alias("frag_review"), F.concat(F.lit("X"), turn).alias("cst_code"), *(F.lit(None).cast("string").alias(c) for c in schema.CODES if c != "cst_code"))
+        return edits.patch(rows, patches)
+
+    return store.changed(turn_fragments(spark, sf), "3.xml", patched).select("cst_file", "frag_idx_code", "cst_code", "frag_review")
 
 
 @query(f"WITH {_F} SELECT cst_file, frag_idx_code, coalesce(CASE WHEN turn = 1 THEN 'restored' END, frag_review) AS frag_review FROM f")
@@ -556,34 +585,66 @@ def injected_rows(spark: SparkSession, sf: str) -> DataFrame:
 _ONE = f"WITH {_F}, o AS (SELECT * FROM f WHERE conv_id = 4)"
 
 
-@query(f"{_ONE}, s AS (SELECT content_xml AS c, cst_code AS k FROM o WHERE turn = 1) SELECT cst_file, frag_idx_code, CASE turn WHEN 0 THEN content_xml || (SELECT c FROM s) WHEN 1 THEN '' ELSE content_xml END AS content_xml, CASE WHEN turn = 1 THEN 'moved' ELSE frag_review END AS frag_review, CASE WHEN turn <> 1 THEN cst_code END AS cst_code FROM o")
+def _edited(spark: SparkSession, sf: str, change: Callable[[DataFrame], DataFrame], *columns: str) -> DataFrame:
+    """The whole store after an edit of one file."""
+    rows = turn_fragments(spark, sf)
+    return store.changed(rows, "4.xml", change).select(*columns)
+
+
+def _others(columns: str) -> str:
+    return f" UNION ALL SELECT {columns} FROM f WHERE conv_id <> 4"
+
+
+@query(f"{_ONE}, s AS (SELECT content_xml AS c FROM o WHERE turn = 1) SELECT cst_file, frag_idx_code, CASE turn WHEN 0 THEN content_xml || (SELECT c FROM s) WHEN 1 THEN '' ELSE content_xml END AS content_xml, CASE WHEN turn = 1 THEN 'moved' ELSE frag_review END AS frag_review, CASE WHEN turn <> 1 THEN cst_code END AS cst_code FROM o" + _others("cst_file, frag_idx_code, content_xml, frag_review, cst_code"))
 def edit_move(spark: SparkSession, sf: str) -> DataFrame:
     """[H6, F1]"""
-    return edits.move_content(checks.of_file(turn_fragments(spark, sf), "4.xml"), "1.0", "prev").select("cst_file", "frag_idx_code", "content_xml", "frag_review", "cst_code")
+    return _edited(spark, sf, lambda rows: edits.move_content(rows, "1.0", "prev"), "cst_file", "frag_idx_code", "content_xml", "frag_review", "cst_code")
+
+
+@query(f"{_ONE}, s AS (SELECT content_xml AS c FROM o WHERE turn = 0) SELECT cst_file, frag_idx_code, CASE turn WHEN 1 THEN (SELECT c FROM s) || content_xml WHEN 0 THEN '' ELSE content_xml END AS content_xml, CASE WHEN turn = 0 THEN 'moved' ELSE frag_review END AS frag_review FROM o" + _others("cst_file, frag_idx_code, content_xml, frag_review"))
+def edit_move_on(spark: SparkSession, sf: str) -> DataFrame:
+    """[H6] to the next fragment"""
+    return _edited(spark, sf, lambda rows: edits.move_content(rows, "0.0", "next"), "cst_file", "frag_idx_code", "content_xml", "frag_review")
 
 
-@query(f"{_ONE} SELECT cst_file, frag_idx_code, CASE turn WHEN 0 THEN content_xml || (SELECT content_xml FROM o WHERE turn = 1) ELSE content_xml END AS content_xml FROM o WHERE turn <> 1")
+@query(f"{_ONE} SELECT cst_file, frag_idx_code, CASE turn WHEN 0 THEN content_xml || (SELECT content_xml FROM o WHERE turn = 1) ELSE content_xml END AS content_xml, CASE turn WHEN 0 THEN 3 ELSE end_line END AS end_line FROM o WHERE turn <> 1" + _others("cst_file, frag_idx_code, content_xml, end_line"))
+def edit_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """[H7] the second fragment, taken for an inserted one, is merged into the first and removed"""
+    inserted = F.when(F.col("frag_idx_code") == "1.0", "0.1").otherwise(F.col("frag_idx_code"))
+    return _edited(spark, sf, lambda rows: edits.merge_delete(rows.withColumn("frag_idx_code", inserted), "0.1", "prev"), "cst_file", "frag_idx_code", "content_xml", "end_line")
+
+
+@query(f"{_ONE} SELECT cst_file, frag_idx_code, CASE turn WHEN 0 THEN content_xml || (SELECT content_xml FROM o WHERE turn = 1) ELSE content_xml END AS content_xml FROM o WHERE turn <> 1" + _others("cst_file, frag_idx_code, content_xml"))
 def edit_delete(spark: SparkSession, sf: str) -> DataFrame:
     """[H8]"""
-    return edits.delete(checks.of_file(turn_fragments(spark, sf), "4.xml"), "1.0").select("cst_file", "frag_idx_code", "content_xml")
+    return _edited(spark, sf, lambda rows: edits.delete(rows, "1.0"), "cst_file", "frag_idx_code", "content_xml")
+
 
+_PLACED = "cst_file, frag_idx_code, start_line, end_line, frag_review"
 
-@query(f"{_ONE} SELECT cst_file, frag_idx_code, start_line, end_line, frag_review FROM (SELECT cst_file, frag_idx_code, start_line, end_line, CASE WHEN turn = 2 THEN coalesce(CASE WHEN frag_review <> '' THEN frag_review END, 'checked') ELSE frag_review END AS frag_review FROM o UNION ALL SELECT cst_file, '1.1', end_line, end_line, 'checked' FROM o WHERE turn = 1)")
+
+@query(f"{_ONE} SELECT {_PLACED} FROM (SELECT cst_file, frag_idx_code, start_line, end_line, CASE WHEN turn = 2 THEN coalesce(CASE WHEN frag_review <> '' THEN frag_review END, 'checked') ELSE frag_review END AS frag_review FROM o UNION ALL SELECT cst_file, '1.1', end_line, end_line, 'checked' FROM o WHERE turn = 1)" + _others(_PLACED))
 def edit_insert(spark: SparkSession, sf: str) -> DataFrame:
     """[H9, C4]"""
-    return edits.insert(checks.of_file(turn_fragments(spark, sf), "4.xml"), "1.0", "next").select("cst_file", "frag_idx_code", "start_line", "end_line", "frag_review")
+    return _edited(spark, sf, lambda rows: edits.insert(rows, "1.0", "next"), *_PLACED.split(", "))
+
 
+@query(f"{_ONE} SELECT {_PLACED} FROM o UNION ALL SELECT cst_file, '0.1', start_line, start_line, 'checked' FROM o WHERE turn = 1" + _others(_PLACED))
+def edit_insert_before(spark: SparkSession, sf: str) -> DataFrame:
+    """[H9] before a fragment"""
+    return _edited(spark, sf, lambda rows: edits.insert(rows, "1.0", "prev"), *_PLACED.split(", "))
 
-@query(f"{_ONE} SELECT cst_file, frag_idx_code, CASE turn WHEN 0 THEN content_xml || left((SELECT content_xml FROM o WHERE turn = 1), 1) WHEN 1 THEN substr(content_xml, 2) ELSE content_xml END AS content_xml FROM o")
+
+@query(f"{_ONE} SELECT cst_file, frag_idx_code, CASE turn WHEN 0 THEN content_xml || left((SELECT content_xml FROM o WHERE turn = 1), 1) WHEN 1 THEN substr(content_xml, 2) ELSE content_xml END AS content_xml FROM o" + _others("cst_file, frag_idx_code, content_xml"))
 def edit_nudge(spark: SparkSession, sf: str) -> DataFrame:
     """[H10]"""
-    return edits.nudge(checks.of_file(turn_fragments(spark, sf), "4.xml"), "1.0", "prev", "char_right").select("cst_file", "frag_idx_code", "content_xml")
+    return _edited(spark, sf, lambda rows: edits.nudge(rows, "1.0", "prev", "char_right"), "cst_file", "frag_idx_code", "content_xml")
 
 
-@query(f"{_ONE} SELECT cst_file, CASE WHEN turn > 1 THEN (turn + 1) || '.0' ELSE frag_idx_code END AS frag_idx_code FROM o UNION ALL SELECT cst_file, '2.0' FROM o WHERE turn = 1")
+@query(f"{_ONE} SELECT cst_file, CASE WHEN turn > 1 THEN (turn + 1) || '.0' ELSE frag_idx_code END AS frag_idx_code FROM o UNION ALL SELECT cst_file, '2.0' FROM o WHERE turn = 1" + _others("cst_file, frag_idx_code"))
 def edit_create(spark: SparkSession, sf: str) -> DataFrame:
     """[H11, P9]"""
-    return edits.create(checks.of_file(turn_fragments(spark, sf), "4.xml"), "1.0", "next").select("cst_file", "frag_idx_code")
+    return _edited(spark, sf, lambda rows: edits.create(rows, "1.0", "next"), "cst_file", "frag_idx_code")
 
 
 _OLD = "SELECT CAST(c_custkey AS STRING) AS cst_file, '0.0' AS frag_idx_code, 'Sutta' AS frag_type, 'c' || CAST(c_custkey % 200 AS STRING) AS cst_code, CAST(NULL AS STRING) AS cst_vagga, 'n' || CAST(c_custkey % 150 AS STRING) AS cst_sutta, CAST(c_nationkey AS STRING) AS cst_paranum FROM customer"
@@ -616,29 +677,28 @@ def file_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
 def page_titles(spark: SparkSession, sf: str) -> DataFrame:
-    """[C6-C8] on pages: text of the first title element"""
+    """Text of the first title element of each page"""
     return read(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 
 
 def _sections(body: str) -> str:
-    return f"SELECT source || '.mul.xml' AS cst_file, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, doc_id, replace(replace(replace({body}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS line FROM documents"
+    return f"SELECT source || '_' || CAST(doc_id // 100 AS STRING) || '.mul.xml' AS cst_file, row_number() OVER (PARTITION BY source, doc_id // 100 ORDER BY doc_id) AS k, doc_id, replace(replace(replace({body}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS line FROM documents"
 
 
-#: A file per source: its documents are sections of one book, with the whole text of each as body text. Of the twins, no
-#: result depends on the texts, so they read a first line only.
-_TEXTS, _SECTIONS = _sections("coalesce(text, '')"), _sections("split_part(text, chr(10), 1)")
+#: A file per source and hundred of numbers: its documents are sections of one book, with the whole text of each as body text.
+_TEXTS = _sections("coalesce(text, '')")
 _HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<TEI.2><text>\n<body>\n<p rend="nikaya">Dīghanikāyo</p>\n<div id="dn1" type="book"><head rend="book">Book</head>\n'
 
 
 def section_files(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.sql(_TEXTS.replace("FROM documents", "FROM {documents}"), documents=read(spark, sf, "documents"))
+    rows = spark.sql(_TEXTS.replace("//", "div").replace("FROM documents", "FROM {documents}"), documents=read(spark, sf, "documents"))
     k = F.col("k").cast("string")
     xml = F.concat(F.lit('<div id="dn1_'), k, F.lit('" type="sutta">\n<head rend="chapter">'), k, F.lit('. Title</head>\n<p rend="bodytext" n="'), k, F.lit('">'), "line", F.lit("</p>\n</div>\n"))
     files = ordered.joined_text(rows.select("cst_file", "k", xml.alias("xml")), ["cst_file"], ["k"], "xml", out="body")
     return files.select("cst_file", F.concat(F.lit(_HEAD), "body", F.lit("</div>\n</body>\n</text></TEI.2>\n")).alias("content"))
 
 
-_EXPECTED = f"WITH s AS ({_SECTIONS}), n AS (SELECT cst_file, max(k) AS n FROM s GROUP BY 1) "
+_EXPECTED = f"WITH s AS ({_TEXTS}), n AS (SELECT cst_file, max(k) AS n FROM s GROUP BY 1) "
 
 
 @query(
@@ -683,6 +743,75 @@ def content_titles(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("cst_file", tx.section_title(c).alias("section_title"), tx.vagga_title(c).alias("vagga_title"), tx.first_paragraph_number(c).alias("paranum"))
 
 
+#: The collections and commentaries by number: file name, name, book, what opens a group g of three sections, what opens the k-th
+#: section, number s in its group, and what closes a section and a group; then what is expected: code, vagga and title.
+_KINDS = (
+    ("m.mul.xml", "Majjhimanikāyo", "mn1", '<div id="mn1_{g}" type="vagga">\n<head rend="chapter">{g}. Avaggo</head>\n', '<p rend="subhead">{s}. Name{k}suttaṃ</p>\n', "", "</div>\n", "mn1.{g}.{s}", "{g}. Avaggo", "{s}. Name{k}suttaṃ"),
+    ("m.mul.xml", "Saṃyuttanikāyo", "sn1", '<div id="sn1_{g}" type="samyutta">\n<head rend="chapter">{g}. Asaṃyuttaṃ</head>\n<p rend="title">1. Bvaggo</p>\n', '<p rend="subhead">{s}. Name{k}suttaṃ</p>\n', "", "</div>\n", "sn1.{g}.1.{s}", "1. Bvaggo", "{s}. Name{k}suttaṃ"),
+    ("m.mul.xml", "Aṅguttaranikāyo", "an3", "", '<p rend="subhead">{k}. Name{k}suttaṃ</p>\n', "", "", "an3.1.1.{k}", "1. Bvaggo", "{k}. Name{k}suttaṃ"),
+    ("a.att.xml", "Dīghanikāye", "dn1", "", '<div id="dn1_{k}" type="sutta">\n<head rend="chapter">{k}. Name{k}suttavaṇṇanā</head>\n', "</div>\n", "", "dn1.{k}", None, "{k}. Name{k}suttavaṇṇanā"),
+    ("a.att.xml", "Majjhimanikāye", "mn1", '<div id="mn1_{g}" type="vagga">\n<head rend="chapter">{g}. Avaggo</head>\n', '<p rend="subhead">{s}. Name{k}suttavaṇṇanā</p>\n', "", "</div>\n", "mn1.{g}.{s}", "{g}. Avaggo", "{s}. Name{k}suttavaṇṇanā"),
+    ("a.att.xml", "Saṃyuttanikāye", "sn1", '<div id="sn1_{g}" type="samyutta">\n<head rend="chapter">{g}. Asaṃyuttaṃ</head>\n<p rend="title">1. Bvaggo</p>\n', '<p rend="subhead">{s}. Name{k}suttavaṇṇanā</p>\n', "", "</div>\n", "sn1.{g}.1.{s}", "1. Bvaggo", "{s}. Name{k}suttavaṇṇanā"),
+    ("t.tik.xml", "Aṅguttaranikāye", "an2", "", '<p rend="subhead">{k}. Name{k}suttavaṇṇanā</p>\n', "", "", "an2.1.1.{k}", "1. Bvaggo", "{k}. Name{k}suttavaṇṇanā"),
+)
+
+
+#: What surrounds all groups, by book.
+_AROUND = {"an3": ('<div id="an3_1" type="pannasaka">\n<head rend="title">1. Apaṇṇāsakaṃ</head>\n<div id="an3_1_1" type="vagga">\n<head rend="chapter">1. Bvaggo</head>\n', "</div>\n</div>\n"), "an2": ('<div id="an2_1" type="pannasaka">\n<head rend="title">1. Apaṇṇāsakaṃ</head>\n<p rend="chapter">1. Bvaggo</p>\n', "</div>\n")}
+
+
+def _said(form: str | None) -> str:
+    """A form with {k}, {g} and {s} as an expression of both dialects."""
+    if form is None:
+        return "CAST(NULL AS STRING)"
+    quoted = "'" + form.replace("\n", "' || chr(10) || '") + "'"
+    for name in "kgs":
+        quoted = quoted.replace("{" + name + "}", f"' || CAST({name} AS STRING) || '")
+    return quoted
+
+
+def _of_kind(forms: list[str]) -> str:
+    return "CASE kind " + " ".join(f"WHEN {i} THEN {form}" for i, form in enumerate(forms)) + " END"
+
+
+_TURNS = f"SELECT conv_id, CAST(conv_id % {len(_KINDS)} AS INT) AS kind, turn, k, CAST(floor((k - 1) / 3) AS INT) + 1 AS g, (k - 1) % 3 + 1 AS s, n, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)"
+_COLLECTED = f"WITH t AS (SELECT *, 'f' || CAST(conv_id AS STRING) || {_of_kind([_said(x[0]) for x in _KINDS])} AS cst_file FROM ({_TURNS})) "
+
+
+def collection_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A file per conversation, of each collection and commentary in turn; its turns are sections in groups of three."""
+    rows = spark.sql(_COLLECTED.replace("FROM conversations", "FROM {conversations}") + "SELECT * FROM t", conversations=read(spark, sf, "conversations"))
+    body = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
+    opening, section, after, closing = (F.expr(_of_kind([_said(x[i]) for x in _KINDS])) for i in (3, 4, 5, 6))
+    at_end = (F.col("s") == 3) | (F.col("k") == F.col("n"))
+    none = F.lit("")
+    xml = F.concat(F.when(F.col("s") == 1, opening).otherwise(none), section, F.lit('<p rend="bodytext" n="'), F.col("k").cast("string"), F.lit('">'), body, F.lit("</p>\n"), after, F.when(at_end, closing).otherwise(none))
+    files = ordered.joined_text(rows.select("cst_file", "kind", "k", xml.alias("xml")), ["cst_file", "kind"], ["k"], "xml", out="body")
+    head = F.expr(_of_kind([_said(f'<?xml version="1.0" encoding="UTF-8"?>\n<TEI.2><text>\n<body>\n<p rend="nikaya">{x[1]}</p>\n<div id="{x[2]}" type="book">\n<head rend="book">Book</head>\n{_AROUND.get(x[2], ("", ""))[0]}') for x in _KINDS]))
+    tail = F.expr(_of_kind([_said(_AROUND.get(x[2], ("", ""))[1]) for x in _KINDS]))
+    return files.select("cst_file", F.concat(head, "body", tail, F.lit("</div>\n</body>\n</text></TEI.2>\n")).alias("content"))
+
+
+@query(
+    _COLLECTED + f"SELECT cst_file, k || '.0' AS frag_idx_code, 'Sutta' AS frag_type, {_of_kind([_said(x[7]) for x in _KINDS])} AS cst_code, {_of_kind([_said(x[8]) for x in _KINDS])} AS cst_vagga, {_of_kind([_said(x[9]) for x in _KINDS])} AS cst_sutta, k::VARCHAR AS cst_paranum FROM t "
+    "UNION ALL SELECT DISTINCT cst_file, '0.0', 'Header', NULL, NULL, NULL, NULL FROM t UNION ALL SELECT DISTINCT cst_file, (n + 1) || '.0', 'Header', NULL, NULL, NULL, NULL FROM t"
+)
+def segment_collections(spark: SparkSession, sf: str) -> DataFrame:
+    """[B6, B8-B17, C9, C10] all collections and commentaries"""
+    rows = segment.fragments(segment.segment(collection_files(spark, sf)))
+    return rows.select("cst_file", "frag_idx_code", "frag_type", "cst_code", "cst_vagga", "cst_sutta", "cst_paranum")
+
+
+@query(_COLLECTED + "SELECT DISTINCT cst_file, n + 2 AS fragments, TRUE AS given_back, 0 AS breaks FROM t")
+def collections_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """[E10, F2, J11, J13, I1] the fragments of each file give it back, without a gap"""
+    files = collection_files(spark, sf)
+    rows = segment.fragments(segment.segment(files))
+    breaks = checks.chain(rows).groupBy("cst_file").agg(F.count(F.lit(1)).alias("breaks"))
+    again = checks.reconstruct(rows).join(rows.groupBy("cst_file").agg(F.count(F.lit(1)).alias("fragments")), "cst_file").join(breaks, "cst_file", "left")
+    return again.join(files, "cst_file").select("cst_file", "fragments", (F.col("text") == F.col("content")).alias("given_back"), F.coalesce("breaks", F.lit(0)).cast("int").alias("breaks"))
+
+
 @query(
     f"WITH {_F} SELECT cst_file, frag_idx_code, coalesce(frag_review, '') AS frag_review, coalesce(cst_code, '') AS cst_code, start_line::VARCHAR AS start_line, '[{{\"group_type\":\"Book\",\"group_number\":null,\"title\":\"Turns\",\"id\":\"sn1\"}}]' AS group_levels FROM f"
 )
@@ -694,9 +823,7 @@ def tsv_export(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_F} SELECT cst_file, frag_idx_code FROM f WHERE cst_file IN (SELECT cst_file FROM f WHERE frag_review IN ('checked', 'moved') OR cst_file = '5.xml')")
 def store_subset(spark: SparkSession, sf: str) -> DataFrame:
     """[A19, E13, P8]"""
-    rows = turn_fragments(spark, sf)
-    keep = rows.where(F.col("frag_review").isin("checked", "moved") | F.col("cst_file").isin("5.xml")).select("cst_file").distinct()
-    return rows.join(keep, "cst_file", "left_semi").select("cst_file", "frag_idx_code")
+    return store.subset(turn_fragments(spark, sf), ["5.xml"]).select("cst_file", "frag_idx_code")
 
 
 @query("SELECT uid, name FROM (SELECT 'sn' || p_partkey AS uid, p_name AS name, p_partkey % 2 = 0 AS is_root FROM part) WHERE is_root")
@@ -708,6 +835,6 @@ def root_titles(spark: SparkSession, sf: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Files to fragments, enriched from mapping and titles, with the findings of each."""
-    rows, _ = runs.parse(section_files(spark, sf), part_mapping(spark, sf, _ALL_MAPPING), part_titles(spark, sf, _ALL_TITLES))
-    found = checks.run_all(rows, part_titles(spark, sf, _ALL_TITLES)).groupBy(*checks.KEYS).agg(F.array_sort(F.collect_set("check_id")).alias("findings"))
+    rows, _ = runs.parse(section_files(spark, sf), part_mapping(spark, sf), part_titles(spark, sf))
+    found = checks.run_all(rows, part_titles(spark, sf)).groupBy(*checks.KEYS).agg(F.array_sort(F.collect_set("check_id")).alias("findings"))
     return rows.select(*checks.KEYS, "frag_type", "cst_code", "cst_sutta", "cst_paranum", "sc_code", "start_line", "end_line").join(found, checks.KEYS, "left")

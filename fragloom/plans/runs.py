@@ -49,9 +49,13 @@ def enrich(rows: DataFrame, mapping: DataFrame | None, titles: DataFrame | None,
     return rows
 
 
+def _scanned(files: DataFrame, corrections: Corrections | None) -> DataFrame:
+    return segment.segment(files, corrections.overrides if corrections else None, corrections.inserted if corrections else None)
+
+
 def parse(files: DataFrame, mapping: DataFrame | None = None, titles: DataFrame | None = None, corrections: Corrections | None = None) -> tuple[DataFrame, DataFrame]:
     """(fragments, failures) of (cst_file, content). Failures have a status: a critical one should stop the run."""
-    scanned = segment.segment(files, corrections.overrides if corrections else None, corrections.inserted if corrections else None)
+    scanned = _scanned(files, corrections)
     return enrich(segment.fragments(scanned), mapping, titles, corrections), segment.failures(scanned)
 
 
@@ -76,36 +80,49 @@ def verify(fragments: DataFrame, files: DataFrame, reference: DataFrame | None =
 
 
 def import_files(store: FragmentStore, files: DataFrame, mapping: DataFrame | None = None, titles: DataFrame | None = None, corrections: Corrections | None = None, reference: DataFrame | None = None, dry_run: bool = False) -> list[tuple[str, str]]:
-    """Parse, write, verify. A dry run names the files and does nothing."""
+    """Parse once, verify what is staged, then write it: what verify() raises is never stored. A dry run names the files and does
+    nothing."""
     if dry_run:
         for r in files.select("cst_file").orderBy("cst_file").collect():
             log.info("would parse %s", r["cst_file"])
         return []
-    rows, failures = parse(files, mapping, titles, corrections)
-    failed = guard(failures)
-    with log.timed("write"):
-        store.replace_files(rows)
-    written = store.read().join(files.select("cst_file").distinct(), "cst_file", "left_semi")
-    parsed = files.join(written.select("cst_file").distinct(), "cst_file", "left_semi")
-    verify(written, parsed, reference)
+    scanned = store.staged(_scanned(files, corrections))
+    try:
+        failed = guard(segment.failures(scanned))
+        with log.timed("write"):
+            rows = store.staged(enrich(segment.fragments(scanned), mapping, titles, corrections))
+        try:
+            verify(rows, files.join(rows.select("cst_file").distinct(), "cst_file", "left_semi"), reference)
+            store.replace_files(rows)
+        finally:
+            store.unstage(rows)
+    finally:
+        store.unstage(scanned)
     return failed
 
 
+def _parsed_into(store: FragmentStore, files: DataFrame, mapping: DataFrame | None, titles: DataFrame | None, corrections: Corrections | None, write) -> tuple[object, list[tuple[str, str]]]:
+    """Scans once, raises critical failures, then writes."""
+    scanned = store.staged(_scanned(files, corrections))
+    try:
+        failed = guard(segment.failures(scanned))
+        return write(enrich(segment.fragments(scanned), mapping, titles, corrections)), failed
+    finally:
+        store.unstage(scanned)
+
+
 def reparse(store: FragmentStore, files: DataFrame, mapping: DataFrame | None = None, titles: DataFrame | None = None) -> list[tuple[str, str]]:
     """[H14] Files parsed again with their own corrections kept; without edits nothing changes."""
-    own = store.read().join(files.select("cst_file").distinct(), "cst_file", "left_semi")
-    rows, failures = parse(files, mapping, titles, Corrections.of(own))
-    failed = guard(failures)
-    store.replace_files(rows)
-    return failed
+    own = store.staged(store.read().join(files.select("cst_file").distinct(), "cst_file", "left_semi"))
+    try:
+        return _parsed_into(store, files, mapping, titles, Corrections.of(own), store.replace_files)[1]
+    finally:
+        store.unstage(own)
 
 
 def reset(store: FragmentStore, files: DataFrame, mapping: DataFrame | None = None) -> list[tuple[str, str]]:
     """[H13] Files parsed again, corrections dropped."""
-    rows, failures = parse(files, mapping)
-    failed = guard(failures)
-    store.replace_files(rows)
-    return failed
+    return _parsed_into(store, files, mapping, None, None, store.replace_files)[1]
 
 
 def regenerate(store: FragmentStore, files: DataFrame, mapping: DataFrame | None = None, titles: DataFrame | None = None, references: DataFrame | None = None, fresh: bool = False) -> Report:
@@ -113,9 +130,7 @@ def regenerate(store: FragmentStore, files: DataFrame, mapping: DataFrame | None
     it. The version before stays; a comparison that fails is logged and does not undo the run."""
     old = store.read() if store.exists() and not fresh else None
     with log.timed("regenerate"):
-        rows, failures = parse(files, mapping, titles, Corrections.of(old) if old is not None else None)
-        failed = guard(failures)
-        version = store.publish(rows)
+        version, failed = _parsed_into(store, files, mapping, titles, Corrections.of(old) if old is not None else None, store.publish)
     new = store.read()
     counted = new.agg(F.count_distinct("cst_file").alias("files"), F.count(F.lit(1)).alias("rows")).first()
     report = Report(version, counted["files"], counted["rows"], failed)

@@ -1,12 +1,17 @@
 """The fragment store: versioned Parquet folders, partitioned by file, and a pointer to the version that counts.
 [A7-A10, A16-A19, E13]
 
-A version is complete before the pointer moves, so readers see the old or the new one. Edits rewrite one file's partition.
+A version is complete before a pointer to it is written. Pointers are files of rising numbers, written beside and renamed to a
+name that was not there before; the largest counts, so readers see the old or the new version whenever a writer stops. Edits
+rewrite one file's partition.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +19,8 @@ from pyspark.sql import functions as F
 from fragloom import schema
 from fragloom.functions import codes as cd
 
-POINTER = "CURRENT.json"
+POINTER = "CURRENT-{}.json"
+KEPT = 5
 
 
 class FragmentStore:
@@ -27,22 +33,33 @@ class FragmentStore:
 
     # -- versions
 
+    def _pointers(self) -> list[int]:
+        if not self._fs.exists(self._at("")):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._at(""))]
+        return sorted(int(m[1]) for n in names if (m := re.fullmatch(POINTER.format(r"(\d+)").replace(".json", r"\.json"), n)))
+
     def pointer(self) -> dict | None:
-        if not self._fs.exists(self._at(POINTER)):
+        known = self._pointers()
+        if not known:
             return None
-        return json.loads(self.spark.read.text(f"{self.path}/{POINTER}", wholetext=True).first()["value"])
+        return json.loads(self.spark.read.text(f"{self.path}/{POINTER.format(known[-1])}", wholetext=True).first()["value"])
 
     def version(self) -> int:
         return (self.pointer() or {"version": 0})["version"]
 
     def _point(self, version: int) -> None:
-        """[A16] Written beside and renamed over."""
-        beside = self._at(f".{POINTER}.{version}")
+        """[A16] A pointer of the next number; the KEPT last ones stay."""
+        known = self._pointers()
+        name = POINTER.format((known or [0])[-1] + 1)
+        beside = self._at(f".{name}")
         out = self._fs.create(beside, True)
         out.write(bytearray(json.dumps({"version": version}).encode()))
         out.close()
-        self._fs.delete(self._at(POINTER), False)
-        self._fs.rename(beside, self._at(POINTER))
+        if not self._fs.rename(beside, self._at(name)):
+            raise OSError(f"{name} is there already: another writer")
+        for old in known[: -KEPT + 1]:
+            self._fs.delete(self._at(POINTER.format(old)), False)
 
     def _folder(self, version: int) -> str:
         return f"{self.path}/v={version}"
@@ -63,11 +80,29 @@ class FragmentStore:
 
     def publish(self, fragments: DataFrame) -> int:
         """[A10, A16] Writes a new version and makes it the one that counts; the one before stays as a snapshot."""
-        new = self.version() + 1
+        new = max([self.version(), *self._versions()]) + 1
         self._write(fragments, self._folder(new), "overwrite")
         self._point(new)
         return new
 
+    def _versions(self) -> list[int]:
+        """Of all folders, those of writers that stopped and of versions rolled back included."""
+        if not self._fs.exists(self._at("")):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._at(""))]
+        return [int(m[1]) for n in names if (m := re.fullmatch(r"v=(\d+)", n))]
+
+    def staged(self, rows: DataFrame) -> DataFrame:
+        """rows, written once beside the versions and read again: for checks before they count. unstage() deletes it."""
+        path = f"{self.path}/.staged-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        out = self.spark.read.schema(rows.schema).parquet(path)
+        out._staged = path
+        return out
+
+    def unstage(self, rows: DataFrame) -> None:
+        self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(vars(rows)["_staged"]), True)
+
     def rollback(self, version: int) -> None:
         self._point(version)
 
@@ -101,9 +136,18 @@ class FragmentStore:
 
     def subset(self, files: list[str]) -> DataFrame:
         """[A19, E13] Rows of the given files and of all files with checked or moved rows."""
-        rows = self.read()
-        keep = rows.where(F.col("frag_review").isin("checked", "moved") | F.col("cst_file").isin(files)).select("cst_file").distinct()
-        return rows.join(keep, "cst_file", "left_semi")
+        return subset(self.read(), files)
+
+
+def subset(rows: DataFrame, files: list[str]) -> DataFrame:
+    """[A19, E13] Rows of the given files and of all files with checked or moved rows."""
+    keep = rows.where(F.col("frag_review").isin("checked", "moved") | F.col("cst_file").isin(files)).select("cst_file").distinct()
+    return rows.join(keep, "cst_file", "left_semi")
+
+
+def changed(rows: DataFrame, cst_file: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All rows of a store with those of one file changed: change takes its rows and returns them all."""
+    return rows.where(F.col("cst_file") != cst_file).unionByName(change(rows.where(F.col("cst_file") == cst_file)))
 
 
 def ignore_known(new: DataFrame, known: DataFrame, key: str) -> DataFrame:

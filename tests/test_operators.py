@@ -324,7 +324,7 @@ def test_store_runs_and_reparse(spark, folder):
     assert again.count() == len(edited)
     runs.reset(store, files.where(F.col("cst_file") == name))
     assert plain() == before
-    refs = spark.createDataFrame([("dn1.1", "1. Brahmajālasuttaṃ")], "cst_code string, cst_sutta string")
+    refs = spark.createDataFrame([("dn1.1", "1. Ekasuttaṃ")], "cst_code string, cst_sutta string")
     report = runs.regenerate(store, files, references=refs)
     assert (report.version, report.rows, report.differing_rows, report.regressions) == (2, 14, 0, [])
     store.rollback(1)
@@ -348,7 +348,7 @@ def test_tsv_round_trip(spark, folder):
     lines = [x for p in sorted((folder / "tsv").glob("part-*")) for x in p.read_text().splitlines()]
     assert lines[0].split("\t") == schema.TSV_COLUMNS and len(lines) == 15
     back = fs.read_fragments_tsv(spark, str(folder / "tsv"))
-    assert back.where("cst_code = 'dn1.1'").first()["cst_sutta"] == "1. Brahmajālasuttaṃ" and back.where("cst_vagga is null").count() > 0
+    assert back.where("cst_code = 'dn1.1'").first()["cst_sutta"] == "1. Ekasuttaṃ" and back.where("cst_vagga is null").count() > 0
     assert diff.summary(back, diff.compare(back, back, spark.createDataFrame([], "cst_code string, cst_sutta string"))).first()["differing_rows"] == 0
 
 
@@ -374,7 +374,7 @@ def test_command_line(spark, folder, capsys):
     assert main(["reconstruct", "--store", store, "--cst-file", "s0101m.mul.xml", "--out", out], spark) == 0
     assert spark.read.text(out, wholetext=True).first()["value"] == DIGHA
     assert main(["export-tsv", "--store", store, "--out", out + "-tsv"], spark) == 0
-    (folder / "m.tsv").write_text("\t".join(c.split()[0] for c in schema.MAPPING.split(", ")) + "\nromn/s0101m.mul.xml\tdn1.1\t\t1. Brahmajālasuttaṃ\t1\tdn1\tB\n")
+    (folder / "m.tsv").write_text("\t".join(c.split()[0] for c in schema.MAPPING.split(", ")) + "\nromn/s0101m.mul.xml\tdn1.1\t\t1. Ekasuttaṃ\t1\tdn1\tB\n")
     assert main(["check-regressions", "--old", out + "-tsv", "--new", out + "-tsv", "--mapping", str(folder / "m.tsv")], spark) == 0
     assert "14 rows, 0 differ, 0 regressed" in capsys.readouterr().out
     assert main(["validate", "--store", store], spark) == 0
@@ -388,3 +388,45 @@ def test_command_line(spark, folder, capsys):
 
 def test_durations():
     assert log.format_duration(1.234) == "1.23s" and log.format_duration(75) == "1m 15.0s"
+
+
+def test_store_survives_writers_that_stop(spark, folder):
+    """Whatever a writer leaves behind, the version that counts is the last one that was pointed to."""
+    rows, _ = runs.parse(fs.read_xml(spark, str(folder / "xml")))
+    path = str(folder / "pointed")
+    kept = FragmentStore(spark, path)
+    assert kept.publish(rows) == 1 and kept.version() == 1
+    (folder / "pointed" / "v=2").mkdir()
+    (folder / "pointed" / ".CURRENT-2.json").write_text("{")
+    assert kept.version() == 1 and kept.read().count() == rows.count()
+    assert kept.publish(rows.limit(3)) == 3 and kept.read().count() == 3
+    kept.rollback(1)
+    assert kept.version() == 1 and kept.read().count() == rows.count()
+    assert kept.publish(rows.limit(2)) == 4
+    for _ in range(6):
+        kept.rollback(1)
+    assert kept.version() == 1 and len(list((folder / "pointed").glob("CURRENT-*.json"))) <= 5
+
+
+def test_what_does_not_verify_is_not_stored(spark, folder, monkeypatch):
+    kept = FragmentStore(spark, str(folder / "verified"))
+    files = fs.read_xml(spark, str(folder / "xml"))
+
+    def refuse(*_):
+        raise CriticalError("no")
+
+    with monkeypatch.context() as m:
+        m.setattr(runs, "verify", refuse)
+        with pytest.raises(CriticalError):
+            runs.import_files(kept, files)
+    assert not kept.exists() and not list((folder / "verified").glob(".staged-*"))
+    runs.import_files(kept, files)
+    assert kept.exists() and not list((folder / "verified").glob(".staged-*"))
+
+
+def test_dimensions_are_broadcast_by_rows_and_bytes(spark, monkeypatch):
+    plan = lambda df: df._jdf.queryExecution().logical().toString()
+    rows = spark.range(10).selectExpr("id", "repeat('x', 1000) AS t")
+    assert "broadcast" in plan(lookups.small(rows)).lower()
+    monkeypatch.setattr(lookups, "BROADCAST_BYTES", 5000)
+    assert "broadcast" not in plan(lookups.small(rows)).lower()

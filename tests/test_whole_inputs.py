@@ -13,7 +13,7 @@ def test_sections_hold_whole_texts(spark, tmp_path):
     texts = {1: "one\ntwo <b> & c\n\nfour  \n", 2: "", 3: None, 4: "long " * 3000 + "\nlast", 5: "\nāb\n"}
     rows = [(k, t, "web" if k < 4 else "book") for k, t in texts.items()]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    whole = {"web.mul.xml": [1, 2, 3], "book.mul.xml": [4, 5]}
+    whole = {"web_0.mul.xml": [1, 2, 3], "book_0.mul.xml": [4, 5]}
     files = {r["cst_file"]: r["content"] for r in queries.section_files(spark, str(tmp_path)).collect()}
     assert files.keys() == whole.keys()
     for file, ids in whole.items():
@@ -35,8 +35,8 @@ def test_dimensions_without_twin_are_whole(spark, tmp_path):
     for k, size, name in rows:
         uid = f"sn{k % 9 + 1}.{size % 12 + 1}" + (f"-{size % 12 + 4}" if k % 3 == 0 else "")
         titles[uid] = max(titles.get(uid, ""), name)
-    assert {r["uid"]: r["name"] for r in queries.part_titles(spark, str(tmp_path), queries._ALL_TITLES).collect()} == titles
-    assert queries.part_mapping(spark, str(tmp_path), queries._ALL_MAPPING).count() == len(rows)
+    assert {r["uid"]: r["name"] for r in queries.part_titles(spark, str(tmp_path)).collect()} == titles
+    assert queries.part_mapping(spark, str(tmp_path)).count() == len(rows)
 
 
 def test_many_titles_propagate_alike(spark, monkeypatch):
