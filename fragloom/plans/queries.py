@@ -744,14 +744,15 @@ def content_titles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: The collections and commentaries by number: file name, name, book, what opens a group g of three sections, what opens the k-th
-#: section, number s in its group, and what closes a section and a group; then what is expected: code, vagga and title.
+#: section, number s in its group, and what closes a section and a group; then what is expected: code, vagga and title. In
+#: the commentary whose groups wait for a section, those after the first lose the vagga; the first section has the group's heading.
 _KINDS = (
     ("m.mul.xml", "Majjhimanikāyo", "mn1", '<div id="mn1_{g}" type="vagga">\n<head rend="chapter">{g}. Avaggo</head>\n', '<p rend="subhead">{s}. Name{k}suttaṃ</p>\n', "", "</div>\n", "mn1.{g}.{s}", "{g}. Avaggo", "{s}. Name{k}suttaṃ"),
     ("m.mul.xml", "Saṃyuttanikāyo", "sn1", '<div id="sn1_{g}" type="samyutta">\n<head rend="chapter">{g}. Asaṃyuttaṃ</head>\n<p rend="title">1. Bvaggo</p>\n', '<p rend="subhead">{s}. Name{k}suttaṃ</p>\n', "", "</div>\n", "sn1.{g}.1.{s}", "1. Bvaggo", "{s}. Name{k}suttaṃ"),
     ("m.mul.xml", "Aṅguttaranikāyo", "an3", "", '<p rend="subhead">{k}. Name{k}suttaṃ</p>\n', "", "", "an3.1.1.{k}", "1. Bvaggo", "{k}. Name{k}suttaṃ"),
     ("a.att.xml", "Dīghanikāye", "dn1", "", '<div id="dn1_{k}" type="sutta">\n<head rend="chapter">{k}. Name{k}suttavaṇṇanā</head>\n', "</div>\n", "", "dn1.{k}", None, "{k}. Name{k}suttavaṇṇanā"),
     ("a.att.xml", "Majjhimanikāye", "mn1", '<div id="mn1_{g}" type="vagga">\n<head rend="chapter">{g}. Avaggo</head>\n', '<p rend="subhead">{s}. Name{k}suttavaṇṇanā</p>\n', "", "</div>\n", "mn1.{g}.{s}", "{g}. Avaggo", "{s}. Name{k}suttavaṇṇanā"),
-    ("a.att.xml", "Saṃyuttanikāye", "sn1", '<div id="sn1_{g}" type="samyutta">\n<head rend="chapter">{g}. Asaṃyuttaṃ</head>\n<p rend="title">1. Bvaggo</p>\n', '<p rend="subhead">{s}. Name{k}suttavaṇṇanā</p>\n', "", "</div>\n", "sn1.{g}.1.{s}", "1. Bvaggo", "{s}. Name{k}suttavaṇṇanā"),
+    ("a.att.xml", "Saṃyuttanikāye", "sn1", '<div id="sn1_{g}" type="samyutta">\n<head rend="chapter">{g}. Asaṃyuttaṃ</head>\n<p rend="title">1. Bvaggo</p>\n', '<p rend="subhead">{s}. Name{k}suttavaṇṇanā</p>\n', "", "</div>\n", "sn1.{g}.1.{s}", "CASE WHEN s = 1 AND g > 1 THEN g || '. Asaṃyuttaṃ' WHEN g = 1 THEN '1. Bvaggo' END", "{s}. Name{k}suttavaṇṇanā"),
     ("t.tik.xml", "Aṅguttaranikāye", "an2", "", '<p rend="subhead">{k}. Name{k}suttavaṇṇanā</p>\n', "", "", "an2.1.1.{k}", "1. Bvaggo", "{k}. Name{k}suttavaṇṇanā"),
 )
 
@@ -764,6 +765,8 @@ def _said(form: str | None) -> str:
     """A form with {k}, {g} and {s} as an expression of both dialects."""
     if form is None:
         return "CAST(NULL AS STRING)"
+    if form.startswith("CASE"):
+        return form
     quoted = "'" + form.replace("\n", "' || chr(10) || '") + "'"
     for name in "kgs":
         quoted = quoted.replace("{" + name + "}", f"' || CAST({name} AS STRING) || '")
