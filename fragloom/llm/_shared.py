@@ -67,6 +67,12 @@ def merge_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str
     return left.hint("merge").join(right.hint("merge"), on, how)
 
 
+def facts_join(rows: DataFrame, facts: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join with written facts, one row for each value of the columns on: broadcast up to BROADCAST_KEYS rows; beyond, a
+    join that AQE can split at a hot key."""
+    return rows.join(F.broadcast(facts), on) if facts.count() <= BROADCAST_KEYS else merge_join(rows, facts, on)
+
+
 def heavy_limit(total: int) -> int:
     return max(LIGHT, total // HEAVY)
 

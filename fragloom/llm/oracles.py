@@ -130,5 +130,25 @@ FROM o GROUP BY conv_id
 """
 
 
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), {_UP}, {_LOW}) AS x FROM documents),
+t AS (SELECT row, lang, source, unnest(regexp_extract_all(x, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+v AS (SELECT lang, term, count(*) AS c FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN v ON t.lang = v.lang AND t.term = v.term GROUP BY ALL),
+l AS (SELECT lang, count(*) AS v, sum(c) AS n FROM v GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, v.term, v.c, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(s.n, 0) + 2 * l.v) AS p,
+             1 + (1000000000::HUGEINT * (v.c + 2)) // (l.n + 2 * l.v) AS q
+      FROM g JOIN l ON g.lang = l.lang JOIN v ON v.lang = g.lang LEFT JOIN s ON s.lang = g.lang AND s.source = g.source
+      LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _op1(), "op4_url_filters": _op4(), "op6_chat_formatting": _op6(), "op7_exact_dedup": OP7, "op10_line_dedup": OP10}
+    return {"op1_quality_rules": _op1(), "op4_url_filters": _op4(), "op6_chat_formatting": _op6(), "op7_exact_dedup": OP7, "op10_line_dedup": OP10, "op11_source_divergence": OP11}
