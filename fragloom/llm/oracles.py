@@ -150,5 +150,16 @@ SELECT lang, source, part, item, value, rank::INT AS rank FROM (SELECT *, row_nu
 """
 
 
+OP12 = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, e.vec_id, e.label, list_dot_product(a.x, e.x)::BIGINT AS score FROM e a JOIN e ON a.vec_id % 100 = 0 AND a.vec_id <> e.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> s.own AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score)
+SELECT * FROM n WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _op1(), "op4_url_filters": _op4(), "op6_chat_formatting": _op6(), "op7_exact_dedup": OP7, "op10_line_dedup": OP10, "op11_source_divergence": OP11}
+    return {"op1_quality_rules": _op1(), "op4_url_filters": _op4(), "op6_chat_formatting": _op6(), "op7_exact_dedup": OP7, "op10_line_dedup": OP10, "op11_source_divergence": OP11, "op12_hard_negatives": OP12}
