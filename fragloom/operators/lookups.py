@@ -8,14 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fragloom import schema
 from fragloom.functions import codes as cd
 from fragloom.functions import text as tx
-from fragloom.operators import ordered, scan
+from fragloom.operators import intervals, ordered
 
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
@@ -81,36 +80,69 @@ def fill_sc(fragments: DataFrame, codes: DataFrame) -> DataFrame:
 # -- titles
 
 
+#: Missing codes of one gap up to which they are given one by one; a longer gap is given as a range.
+SPELLED = 100
+
+_NUMBER, _RANGE = r"^(.*\.)(\d{1,18})$", r"^(.*\.)(\d{1,18})-(\d{1,18})$"
+
+
 def title_ranges(titles: DataFrame) -> DataFrame:
     """Titles of ranges as (prefix, low, high, uid, name), `sn12.` 93 103; the base is prefix and low."""
-    head, low, high = (F.regexp_extract("uid", r"^(.*\.)(\d+)-(\d+)$", k) for k in (1, 2, 3))
-    rows = titles.select(head.alias("prefix"), low.try_cast("int").alias("low"), high.try_cast("int").alias("high"), "uid", "name")
+    head, low, high = (F.regexp_extract("uid", _RANGE, k) for k in (1, 2, 3))
+    rows = titles.select(head.alias("prefix"), low.try_cast("bigint").alias("low"), high.try_cast("bigint").alias("high"), "uid", "name")
     return rows.where("prefix <> '' and low is not null and high is not null")
 
 
-def in_titles(df: DataFrame, titles: DataFrame, code: str, anti: bool = False) -> DataFrame:
-    """[D8] Rows whose code is a title's, or lies in the range of one; anti: the others.
-
-    An equi join on the prefix with the interval as residual condition, never all rows against all titles."""
-    keyed = df.withColumns({"_prefix": F.regexp_extract(code, r"^(.*\.)(\d+)$", 1), "_n": F.regexp_extract(code, r"^(.*\.)(\d+)$", 2).try_cast("int")})
-    ranges = small(title_ranges(titles).select("prefix", "low", "high"))
-    exact = small(titles.select(F.col("uid").alias("_uid")).distinct())
-    inside = (F.col("_prefix") == F.col("prefix")) & F.col("_n").between(F.col("low"), F.col("high"))
-    if anti:
-        return keyed.join(exact, F.col(code) == F.col("_uid"), "left_anti").join(ranges, inside, "left_anti").drop("_prefix", "_n")
-    hit = keyed.join(exact, F.col(code) == F.col("_uid"), "left").withColumn("_in", F.lit(0))
-    known = hit.where("_uid is not null").drop("_uid", "_in")
-    ranged = hit.where("_uid is null").drop("_uid", "_in").join(ranges, inside, "left_semi")
-    return known.unionByName(ranged).drop("_prefix", "_n")
+class TitleIndex:
+    """Titles as codes and as ranges in cells, measured once: mark is broadcast for titles of a checked size, else nothing."""
+
+    def __init__(self, titles: DataFrame):
+        self.titles, self.ranges = titles, title_ranges(titles).select("prefix", "low", "high")
+        size = F.sum(F.octet_length(F.concat_ws("", "uid", "name")))
+        low, high = (F.regexp_extract("uid", _RANGE, k).try_cast("bigint") for k in (2, 3))
+        width = F.when(low <= high, intervals.width_of(low, high))
+        n, size, widths = titles.agg(F.count(F.lit(1)), size, F.collect_set(width)).first()
+        self.widths = sorted(widths)
+        self.mark = F.broadcast if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else lambda df: df
+        self.exact = self.mark(titles.select(F.col("uid").alias("_uid")).distinct())
+
+    def covered(self) -> DataFrame:
+        """(prefix, low, high) of all numbers that titles cover, single ones as they are written without leading zeros."""
+        own = F.regexp_extract("uid", _NUMBER, 2)
+        number = own.try_cast("bigint")
+        single = self.titles.where((F.regexp_extract("uid", _NUMBER, 1) != "") & (number.cast("string") == own))
+        return single.select(F.regexp_extract("uid", _NUMBER, 1).alias("prefix"), number.alias("low"), number.alias("high")).unionByName(self.ranges)
+
+
+def in_titles(df: DataFrame, titles: DataFrame | TitleIndex, code: str, anti: bool = False) -> DataFrame:
+    """[D8] Rows whose code is a title's, or lies in the range of one; anti: the others. Ranges are joined by cells, one join a width."""
+    index = titles if isinstance(titles, TitleIndex) else TitleIndex(titles)
+    numbered = df.withColumns({"_prefix": F.regexp_extract(code, _NUMBER, 1), "_n": F.regexp_extract(code, _NUMBER, 2).try_cast("bigint")})
+    rest, known = numbered.join(index.exact, F.col(code) == F.col("_uid"), "left_anti"), df.join(index.exact, F.col(code) == F.col("_uid"), "left_semi")
+    cells = intervals.in_cells(index.ranges).select(F.col("prefix").alias("_p"), "low", "high", "width", F.col("cell").alias("_c"))
+    for w in index.widths:
+        own = index.mark(cells.where(F.col("width") == w))
+        inside = (F.col("_prefix") == F.col("_p")) & (F.shiftright("_n", intervals.BITS * w) == F.col("_c")) & F.col("_n").between(F.col("low"), F.col("high"))
+        known = known.unionByName(rest.join(own, inside, "left_semi").select(*df.columns))
+        rest = rest.join(own, inside, "left_anti")
+    return rest.select(*df.columns) if anti else known
 
 
 def missing_codes(df: DataFrame, titles: DataFrame, code: str, keys: Sequence[str]) -> DataFrame:
-    """[D9] Per key whose code, or part of its range, is not in titles: base code and the array of missing codes, in order."""
-    rows = df.where(f"coalesce({code}, '') <> ''").withColumn("_base", F.substring_index(code, ":", 1))
-    rows = in_titles(rows, titles, "_base", anti=True)
-    each = rows.select(*keys, "_base", F.posexplode(cd.expand(F.col("_base"))).alias("_pos", "_each"))
-    gone = in_titles(each, titles, "_each", anti=True)
-    return gone.groupBy(*keys, F.col("_base").alias("base")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_each"))), lambda x: x["_each"]).alias("missing"))
+    """[D9, C24] Per key whose code, or part of its range, is not in titles: base code and the array of missing codes, in order. The ranges that titles
+    cover are cut out of the code's range; what is left is given code by code, a gap of more than SPELLED codes as a range."""
+    index = TitleIndex(titles)
+    rows = df.where(f"coalesce({code}, '') <> ''").withColumn("base", F.substring_index(code, ":", 1))
+    rows = in_titles(rows.select(*keys, "base"), index, "base", anti=True)
+    span = cd.code_range(F.col("base"))
+    wanted = rows.select(*keys, "base", span["prefix"].alias("prefix"), span["low"].alias("low"), span["high"].alias("high"))
+    found = intervals.overlaps(wanted, index.covered(), sorted({0, *index.widths}), index.mark)
+    covering = F.collect_set(F.when(F.col("r_low").isNotNull(), F.struct(F.col("r_low").alias("low"), F.col("r_high").alias("high"))))
+    left = found.groupBy(*keys, "base", "prefix", "low", "high").agg(covering.alias("r")).withColumn("gap", intervals.gaps(F.col("low"), F.col("high"), F.col("r")))
+    text = lambda n: F.concat("prefix", n.cast("string"))
+    spelled = lambda g: F.when(g["high"] - g["low"] < SPELLED, F.transform(F.sequence(g["low"], F.least(g["high"], g["low"] + SPELLED)), text)).otherwise(F.array(F.concat(text(g["low"]), F.lit("-"), g["high"].cast("string"))))
+    missing = F.when(F.col("prefix").isNull(), F.array("base")).otherwise(F.flatten(F.transform("gap", spelled)))
+    return left.select(*keys, "base", missing.alias("missing")).where(F.size("missing") > 0)
 
 
 def resolve(df: DataFrame, titles: DataFrame, code: str) -> DataFrame:
@@ -131,88 +163,7 @@ def suggestions(fragments: DataFrame, titles: DataFrame) -> DataFrame:
     return fragments.join(t, F.substring_index("sc_code", ":", 1) == F.col("_k")).select("cst_file", "frag_idx_code", "sc_code", "suggested_value")
 
 
-# -- codes that follow the row above
-
-
-def _found(code: str, titles: dict[str, str], ranges: dict[str, str]) -> tuple[str, str] | None:
-    base, dash, _ = code.rpartition("-")
-    bases = [code] + ([base] if dash and (base.rpartition(".")[2].isdigit() or base.endswith(".")) else [])
-    for x in bases:
-        uid = x if x in titles else ranges.get(x)
-        if uid is not None:
-            return uid, titles[uid]
-    return None
-
-
-def _ordered(rows: pd.DataFrame) -> pd.DataFrame:
-    return rows.assign(_o=[scan.parse_index(c) for c in rows["frag_idx_code"]]).sort_values("_o").drop(columns="_o")
-
-
-def _propagated(rows: pd.DataFrame, known: dict[str, str], ranges: dict[str, str]) -> pd.DataFrame:
-    rows = _ordered(rows)
-    codes, sutta, cst = rows["sc_code"].tolist(), rows["sc_sutta"].tolist(), rows["cst_code"].tolist()
-    for i in range(1, len(codes)):
-        if codes[i] is not None or cst[i] is None or codes[i - 1] is None:
-            continue
-        new = cd.sc_from_previous(cst[i], codes[i - 1], cst[i - 1])
-        if new is None:
-            continue
-        if cd.parse_cst_range(cst[i]):
-            new = cd.widened(new, cst[i])
-            title = known.get(new, known.get(new.split("-")[0]))
-            found = (new, title) if title is not None else None
-        else:
-            found = _found(new, known, ranges)
-        if found:
-            codes[i], sutta[i] = found
-    return rows.assign(sc_code=codes, sc_sutta=sutta)[["cst_file", "frag_idx_code", "sc_code", "sc_sutta"]]
-
-
-def _by_uid(pairs: list[tuple[str, str]]) -> tuple[dict[str, str], dict[str, str]]:
-    """Names of titles, and of ranges the least uid by the code that it begins with."""
-    known = dict(pairs)
-    return known, {uid.split("-")[0]: uid for uid in sorted(known, reverse=True) if "-" in uid}
-
-
-def _stems(rows: pd.DataFrame) -> pd.DataFrame:
-    """What the codes that a file's rows may get begin with: letters and first number. Among sn and an it rises by one a
-    filled row at most; among dn and mn it is the number of the cst code."""
-    rows, stems, last, n = _ordered(rows), set(), None, 0
-    for code, cst in zip(rows["sc_code"].tolist(), rows["cst_code"].tolist()):
-        if code is not None:
-            last, n = cd.parse_sc(code) or cd.parse_sc(code.partition("-")[0]), 0
-        elif cst is None:
-            last = None  # the rows below find no code above them
-        elif last is not None and last.group is None:
-            parts = (cd.parse_cst_range(cst) or (cst, None))[0].split(".")
-            if len(parts) > 3 and parts[3].removeprefix("+").isdecimal():
-                stems.add(f"{last.prefix}{int(parts[3])}")
-        elif last is not None:
-            n += 1
-            stems |= {f"{last.prefix}{last.group + n - 1}", f"{last.prefix}{last.group + n}"}
-    return pd.DataFrame({"cst_file": rows["cst_file"].iloc[0], "stem": pd.Series(sorted(stems), dtype=object)})
-
-
-def propagate(fragments: DataFrame, titles: DataFrame | None) -> DataFrame:
-    """[D7] sc_code and sc_sutta where null, from the row above, which may itself just have been filled: an ordered fold per
-    file, so grouped Python. A code is kept only if titles know it. Without titles nothing is filled. Up to BROADCAST_ROWS titles
-    go to every task; of more, each file gets by a join those that its rows may need."""
-    if titles is None:
-        return fragments
-    slim, out = fragments.select("cst_file", "frag_idx_code", "cst_code", "sc_code", "sc_sutta"), "cst_file string, frag_idx_code string, sc_code string, sc_sutta string"
-    pairs = [(r["uid"], r["name"]) for r in titles.select("uid", "name").limit(BROADCAST_ROWS + 1).collect()]
-    if len(pairs) <= BROADCAST_ROWS:
-        known, ranges = _by_uid(pairs)
-        new = slim.groupBy("cst_file").applyInPandas(lambda rows: _propagated(rows, known, ranges), out)
-    else:
-        stems = slim.groupBy("cst_file").applyInPandas(_stems, "cst_file string, stem string")
-        needed = titles.select(F.regexp_extract("uid", "^[a-z]+[0-9]+", 0).alias("stem"), "uid", "name").join(stems, "stem").select("cst_file", "uid", "name")
-
-        def fold(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-            return _propagated(rows, *_by_uid(list(zip(own["uid"], own["name"])))) if len(rows) else pd.DataFrame(columns=["cst_file", "frag_idx_code", "sc_code", "sc_sutta"])
-
-        new = slim.groupBy("cst_file").cogroup(needed.groupBy("cst_file")).applyInPandas(fold, out)
-    return fragments.drop("sc_code", "sc_sutta").join(new, ["cst_file", "frag_idx_code"]).select(*fragments.columns)
+# -- codes of corrections
 
 
 def apply_overrides(fragments: DataFrame, overrides: DataFrame, titles: DataFrame | None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from fragloom import schema
 from fragloom.functions import codes as cd
 from fragloom.functions import text as tx
-from fragloom.operators import checks, diff, edits, lookups, ordered, segment
+from fragloom.operators import checks, diff, edits, lookups, ordered, propagation, segment
 from fragloom.plans import runs
 from fragloom.sources import files as fs
 from fragloom.sources import store
@@ -391,10 +391,25 @@ def title_suggestions(spark: SparkSession, sf: str) -> DataFrame:
     return checks.auto_fixes(turn_fragments(spark, sf), part_titles(spark, sf))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_F}, {_T}, b AS (SELECT split_part(uid, '-', 1) AS code, min(uid) AS uid FROM t WHERE contains(uid, '-') GROUP BY 1), "
+    "p AS (SELECT cst_file, frag_idx_code, cst_code, sc_code, sc_sutta, row_number() OVER (PARTITION BY cst_file ORDER BY turn) AS k, try_cast(split_part(cst_code, '.', 2) AS BIGINT) AS g, "
+    "try_cast(split_part(split_part(cst_code, '-', 1), '.', 4) AS BIGINT) AS n, try_cast(split_part(cst_code, '-', 2) AS BIGINT) AS e FROM f), "
+    "r AS (SELECT cst_file, k, frag_idx_code, sc_code, sc_sutta, g FROM p WHERE k = 1 UNION ALL "
+    "SELECT d.cst_file, d.k, d.frag_idx_code, coalesce(d.sc_code, CASE WHEN d.e IS NOT NULL THEN CASE WHEN coalesce(x.uid, y.uid) IS NOT NULL THEN d.wide END ELSE coalesce(x.uid, b.uid) END), "
+    "CASE WHEN d.sc_code IS NOT NULL THEN d.sc_sutta WHEN d.e IS NOT NULL THEN coalesce(x.name, y.name, d.sc_sutta) ELSE coalesce(x.name, z.name, d.sc_sutta) END, d.g FROM ("
+    "SELECT *, CASE WHEN e > n THEN split_part(new, '-', 1) || '-' || (split_part(split_part(new, '-', 1), '.', 2)::BIGINT + e - n) ELSE new END AS wide FROM ("
+    "SELECT *, CASE WHEN sc_code IS NULL AND cst_code IS NOT NULL THEN CASE WHEN above = g THEN 'sn' || lg || '.' || (ln + 1) || coalesce('-' || (ln + 1 + e - n), '') WHEN above IS NOT NULL OR (n = 1 AND ln <> 0) OR n < ln THEN 'sn' || (lg + 1) || '.1' || coalesce('-' || e, '') "
+    "WHEN n = ln + 1 THEN 'sn' || lg || '.' || n || coalesce('-' || e, '') END END AS new FROM ("
+    "SELECT p.*, r.g AS above, try_cast(regexp_extract(r.sc_code, '^sn(\\d+)\\.(\\d+)(?:-(\\d+))?$', 1) AS BIGINT) AS lg, "
+    "coalesce(try_cast(regexp_extract(r.sc_code, '^sn(\\d+)\\.(\\d+)(?:-(\\d+))?$', 3) AS BIGINT), try_cast(regexp_extract(r.sc_code, '^sn(\\d+)\\.(\\d+)(?:-(\\d+))?$', 2) AS BIGINT)) AS ln FROM r JOIN p ON p.cst_file = r.cst_file AND p.k = r.k + 1))) d "
+    "LEFT JOIN t x ON x.uid = d.wide LEFT JOIN t y ON y.uid = split_part(d.wide, '-', 1) LEFT JOIN b ON b.code = d.wide LEFT JOIN t z ON z.uid = b.uid) "
+    "SELECT cst_file, frag_idx_code, sc_code, sc_sutta FROM r"
+)
 def propagated_codes(spark: SparkSession, sf: str) -> DataFrame:
     """[D7, C17] an ordered fold"""
-    return lookups.propagate(turn_fragments(spark, sf), part_titles(spark, sf)).select("cst_file", "frag_idx_code", "sc_code", "sc_sutta")
+    titles = part_titles(spark, sf)
+    return propagation.propagate(turn_fragments(spark, sf), titles, lookups.TitleIndex(titles).mark).select("cst_file", "frag_idx_code", "sc_code", "sc_sutta")
 
 
 @query()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fragloom import log
-from fragloom.operators import checks, diff, edits, lookups, segment
+from fragloom.operators import checks, diff, edits, lookups, propagation, segment
 from fragloom.operators.scan import CriticalError
 from fragloom.sources.files import tsv_rows
 from fragloom.sources.store import FragmentStore
@@ -42,7 +42,7 @@ class Report:
 def enrich(rows: DataFrame, mapping: DataFrame | None, titles: DataFrame | None, corrections: Corrections | None) -> DataFrame:
     """[D2, D7, D6, H1] In this order: mapping, codes from the row above, corrections, inserted rows."""
     if mapping is not None:
-        rows = lookups.propagate(lookups.fill_sc(rows, lookups.code_map(mapping)), titles)
+        rows = propagation.propagate(lookups.fill_sc(rows, lookups.code_map(mapping)), titles, lookups.TitleIndex(titles).mark if titles is not None else None)
     if corrections is not None:
         rows = lookups.apply_overrides(rows, corrections.overrides, titles)
         rows = edits.inject(rows, corrections.inserted)

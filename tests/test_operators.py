@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from fragloom import config, log, schema
 from fragloom.functions import codes as cd
 from fragloom.functions import text as tx
-from fragloom.operators import checks, diff, edits, lookups, ordered, segment
+from fragloom.operators import checks, diff, edits, lookups, ordered, propagation, segment
 from fragloom.operators.scan import CriticalError
 from fragloom.plans import runs
 from fragloom.sources import files as fs
 from fragloom.sources.store import FragmentStore, downgraded, upgraded
 from fragloom.streaming.inbox import watch
+from tests import plain_fold
 from tests.test_scan import ANGUTTARA, DIGHA, MAJJHIMA, SAMYUTTA
 
 
@@ -64,13 +65,13 @@ def test_ranges_of_cst_codes(spark):
     pairs = [("sn23.23", "sn3.2.3.1-11"), ("sn23.23-30", "sn3.2.3.1-11"), ("sn5.1", "sn1.1.1.4"), ("dn2", "a.1-3"), ("sn5.1", "sn1.1.1.4-4")]
     rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, s string, c string")
     got = [r["w"] for r in rows.select("i", cd.widen(F.col("s"), F.col("c")).alias("w")).orderBy("i").collect()]
-    assert got == ["sn23.23-33", "sn23.23-33", "sn5.1", "dn2", "sn5.1"] == [cd.widened(*p) for p in pairs]
+    assert got == ["sn23.23-33", "sn23.23-33", "sn5.1", "dn2", "sn5.1"] == [plain_fold.widened(*p) for p in pairs]
 
 
 def test_codes_from_context_and_previous(spark):
     rows = spark.createDataFrame([("sn3.8.1.11-20", "sn", 29), ("sn1.2.1.5", "sn", 7), ("dn1.4", "dn", None), ("sn1.1.0", "sn", 7)], "c string, p string, g int")
     assert [r["x"] for r in rows.select(cd.sc_from_context(F.col("c"), F.col("p"), F.col("g"), F.col("g")).alias("x")).collect()] == ["sn29.11-20", "sn7.5", "dn4", None]
-    f = cd.sc_from_previous
+    f = plain_fold.sc_from_previous
     assert f("sn4.5.1.2", "sn39.1-15", "sn4.5.1.1") == "sn39.16"
     assert f("sn4.6.1.1", "sn39.16", "sn4.5.1.2") == "sn40.1"
     assert f("sn3.5.1.5", "sn25.1-10", "sn3.4.1.1-10") == "sn26.1"
@@ -122,9 +123,9 @@ def test_mapping_fills_and_widens(spark):
 def test_codes_propagate_from_filled_rows(spark):
     titles = spark.createDataFrame(TITLES, schema.TITLES)
     rows = frame(spark, fragment("1.0", cst_code="sn1.1.1.1", sc_code="sn1.1"), fragment("2.0", cst_code="sn1.1.1.2"), fragment("10.0", cst_code="sn1.2.1.1"), fragment("3.0", cst_code="sn1.1.1.3"), fragment("9.0", cst_code="sn1.1.1.4", sc_code="sn1.4"))
-    got = {r["frag_idx_code"]: (r["sc_code"], r["sc_sutta"]) for r in lookups.propagate(rows, titles).collect()}
+    got = {r["frag_idx_code"]: (r["sc_code"], r["sc_sutta"]) for r in propagation.propagate(rows, titles).collect()}
     assert got["2.0"] == ("sn1.2", "h") and got["3.0"] == (None, None) and got["10.0"] == ("sn2.1", "j")
-    assert lookups.propagate(rows, None) is rows
+    assert propagation.propagate(rows, None) is rows
 
 
 def test_overrides_carry_their_group(spark):
