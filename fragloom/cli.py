@@ -45,19 +45,19 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         if a.store is None or a.dry_run:
             runs.import_files(None, inputs, dry_run=True)
             return 0
-        store = FragmentStore(spark, a.store)
-        reference = FragmentStore(spark, a.reference).read() if a.reference else None
+        store = FragmentStore.open(spark, a.store)
+        reference = FragmentStore.open(spark, a.reference).read() if a.reference else None
         corrections = runs.Corrections.of(reference) if reference is not None else None
         failed = runs.import_files(store, inputs, fs.read_mapping(spark, a.mapping) if a.mapping else None, None, corrections, reference)
         return int(bool(failed))
     if a.command == "reconstruct":
-        rows = checks.of_file(FragmentStore(spark, a.store).read(), a.cst_file)
+        rows = checks.of_file(FragmentStore.open(spark, a.store).read(), a.cst_file)
         fs.write_texts(checks.reconstruct(rows), a.out)
         return 0
     if a.command == "to-utf8":
         return int(fs.convert_to_utf8(spark, a.file, a.out) == 0)
     if a.command == "export-tsv":
-        fs.write_tsv(FragmentStore(spark, a.store).read(), a.out)
+        fs.write_tsv(FragmentStore.open(spark, a.store).read(), a.out)
         return 0
     if a.command == "check-regressions":
         new = fs.read_fragments_tsv(spark, a.new)
@@ -67,7 +67,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         return int(total["errors"] > 0)
     if a.command == "validate":
         titles = spark.read.csv(a.titles, sep="\t", header=True, quote="") if a.titles else None
-        found = checks.run_all(FragmentStore(spark, a.store).read(), titles, a.include_checked)
+        found = checks.run_all(FragmentStore.open(spark, a.store).read(), titles, a.include_checked)
         n = 0
         for row in checks.in_order(found).toLocalIterator():
             print("\t".join("" if v is None else str(v) for v in row))
@@ -82,7 +82,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         return int(done < len(paths))
     mapping = fs.read_mapping(spark, settings.mapping) if settings.mapping else None
     titles = fs.root_titles(spark.read.json(settings.titles)) if settings.titles else None
-    report = runs.regenerate(FragmentStore(spark, settings.store), fs.read_xml(spark, paths), mapping, titles, lookups.title_map(mapping) if mapping is not None else None, a.fresh)
+    report = runs.regenerate(FragmentStore.open(spark, settings.store), fs.read_xml(spark, paths), mapping, titles, lookups.title_map(mapping) if mapping is not None else None, a.fresh)
     print(report)
     return int(bool(report.regressions))
 

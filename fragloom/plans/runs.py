@@ -11,7 +11,12 @@ from fragloom import log
 from fragloom.operators import checks, diff, edits, lookups, propagation, segment
 from fragloom.operators.scan import CriticalError
 from fragloom.sources.files import tsv_rows
-from fragloom.sources.store import FragmentStore
+from fragloom.sources.store import Conflict, FragmentStore
+
+#: Failures and regressions that a report names.
+LISTED = 100
+#: Runs until a conflict with other writers is an error.
+ATTEMPTS = 5
 
 
 @dataclass
@@ -29,13 +34,14 @@ class Corrections:
 
 @dataclass
 class Report:
-    """Of a regeneration."""
+    """Of a regeneration. failures and regressions: up to LISTED of them."""
 
     version: int
     files: int
     rows: int
     failures: list[tuple[str, str]] = field(default_factory=list)
     differing_rows: int | None = None
+    regressed: int | None = None
     regressions: list[tuple[str, str]] = field(default_factory=list)
 
 
@@ -60,12 +66,14 @@ def parse(files: DataFrame, mapping: DataFrame | None = None, titles: DataFrame
 
 
 def guard(failures: DataFrame) -> list[tuple[str, str]]:
-    """Failures of single files; a critical one is raised."""
-    rows = failures.collect()
+    """Failures of single files, up to LISTED of them; all are counted in the log. A critical one is raised."""
+    if bad := failures.where("status = 'critical'").select("error").limit(1).collect():
+        raise CriticalError(bad[0]["error"])
+    rows = failures.select("cst_file", "error").orderBy("cst_file").limit(LISTED).collect()
     for r in rows:
-        if r["status"] == "critical":
-            raise CriticalError(r["error"])
         log.warn("%s: %s", r["cst_file"], r["error"])
+    if len(rows) == LISTED:
+        log.warn("%d files failed in all", failures.count())
     return [(r["cst_file"], r["error"]) for r in rows]
 
 
@@ -79,66 +87,85 @@ def verify(fragments: DataFrame, files: DataFrame, reference: DataFrame | None =
         raise CriticalError(f"other number of rows: {', '.join(r['cst_file'] for r in bad)}")
 
 
+def _stored(store: FragmentStore, files: DataFrame, mapping: DataFrame | None, titles: DataFrame | None, corrected, whole: bool, reference=None, batch: tuple[str, int] | None = None) -> tuple[int, list[tuple[str, str]]]:
+    """(version, failures). Scans once, writes beside the version that counts, verifies that, and only then commits: what verify() raises is
+    never seen by a reader. corrected and reference are made from the rows of the version that the run began with; where another writer
+    committed meanwhile, the run is done again from the new one."""
+    for attempt in range(ATTEMPTS):
+        base = store.pointer()
+        before = store.read(base["version"]) if base else None
+        work = []
+        try:
+            corrections = corrected(before, work)
+            scanned = store.staged(_scanned(files, corrections))
+            work.append(scanned)
+            failed = guard(segment.failures(scanned))
+            with log.timed("write"):
+                pending = store.prepare(enrich(segment.fragments(scanned), mapping, titles, corrections), base=base)
+            try:
+                counted = reference(before, pending.rows) if reference is not None else None
+                verify(pending.rows, files.join(pending.rows.select("cst_file").distinct(), "cst_file", "left_semi"), counted)
+                return store.commit(pending, whole or base is None, batch=batch), failed
+            except BaseException:
+                store.discard(pending)
+                raise
+        except Conflict:
+            log.warn("another writer committed; run %d of %d", attempt + 2, ATTEMPTS)
+        finally:
+            for rows in work:
+                store.unstage(rows)
+    raise Conflict(f"other writers committed during {ATTEMPTS} runs")
+
+
 def import_files(store: FragmentStore, files: DataFrame, mapping: DataFrame | None = None, titles: DataFrame | None = None, corrections: Corrections | None = None, reference: DataFrame | None = None, dry_run: bool = False) -> list[tuple[str, str]]:
-    """Parse once, verify what is staged, then write it: what verify() raises is never stored. A dry run names the files and does
-    nothing."""
+    """Files parsed into the store. A dry run names the files and does nothing."""
     if dry_run:
-        for r in files.select("cst_file").orderBy("cst_file").collect():
+        for r in files.select("cst_file").orderBy("cst_file").toLocalIterator():
             log.info("would parse %s", r["cst_file"])
         return []
-    scanned = store.staged(_scanned(files, corrections))
-    try:
-        failed = guard(segment.failures(scanned))
-        with log.timed("write"):
-            rows = store.staged(enrich(segment.fragments(scanned), mapping, titles, corrections))
-        try:
-            verify(rows, files.join(rows.select("cst_file").distinct(), "cst_file", "left_semi"), reference)
-            store.replace_files(rows)
-        finally:
-            store.unstage(rows)
-    finally:
-        store.unstage(scanned)
-    return failed
+    return _stored(store, files, mapping, titles, lambda *_: corrections, False, (lambda *_: reference) if reference is not None else None)[1]
 
 
-def _parsed_into(store: FragmentStore, files: DataFrame, mapping: DataFrame | None, titles: DataFrame | None, corrections: Corrections | None, write) -> tuple[object, list[tuple[str, str]]]:
-    """Scans once, raises critical failures, then writes."""
-    scanned = store.staged(_scanned(files, corrections))
-    try:
-        failed = guard(segment.failures(scanned))
-        return write(enrich(segment.fragments(scanned), mapping, titles, corrections)), failed
-    finally:
-        store.unstage(scanned)
+def reparse(store: FragmentStore, files: DataFrame, mapping: DataFrame | None = None, titles: DataFrame | None = None, batch: tuple[str, int] | None = None) -> list[tuple[str, str]]:
+    """[H14] A new version with files parsed again, their own corrections kept; without edits nothing changes."""
 
+    def own(before: DataFrame | None, work: list) -> Corrections | None:
+        if before is None:
+            return None
+        work.append(store.staged(before.join(files.select("cst_file").distinct(), "cst_file", "left_semi")))
+        return Corrections.of(work[-1])
 
-def reparse(store: FragmentStore, files: DataFrame, mapping: DataFrame | None = None, titles: DataFrame | None = None) -> list[tuple[str, str]]:
-    """[H14] Files parsed again with their own corrections kept; without edits nothing changes."""
-    own = store.staged(store.read().join(files.select("cst_file").distinct(), "cst_file", "left_semi"))
-    try:
-        return _parsed_into(store, files, mapping, titles, Corrections.of(own), store.replace_files)[1]
-    finally:
-        store.unstage(own)
+    return _stored(store, files, mapping, titles, own, False, batch=batch)[1]
 
 
-def reset(store: FragmentStore, files: DataFrame, mapping: DataFrame | None = None) -> list[tuple[str, str]]:
-    """[H13] Files parsed again, corrections dropped."""
-    return _parsed_into(store, files, mapping, None, None, store.replace_files)[1]
+def reset(store: FragmentStore, files: DataFrame, mapping: DataFrame | None = None, batch: tuple[str, int] | None = None) -> list[tuple[str, str]]:
+    """[H13] A new version with files parsed again, corrections dropped."""
+    return _stored(store, files, mapping, None, lambda *_: None, False, batch=batch)[1]
 
 
 def regenerate(store: FragmentStore, files: DataFrame, mapping: DataFrame | None = None, titles: DataFrame | None = None, references: DataFrame | None = None, fresh: bool = False) -> Report:
-    """[K2] A new version from the sources and the corrections of the one before (fresh: from the sources alone), compared with
-    it. The version before stays; a comparison that fails is logged and does not undo the run."""
+    """[K2] A new version from the sources and the corrections of the one before (fresh: from the sources alone), verified and compared with
+    it. A file of the version before must keep its number of rows. That version stays; a comparison that fails is logged and does not
+    undo the run."""
     old = store.read() if store.exists() and not fresh else None
+
+    def counted(before: DataFrame | None, rows: DataFrame) -> DataFrame | None:
+        """The version before, and of files that it does not have the rows as they are."""
+        if fresh or before is None:
+            return None
+        return before.select("cst_file").unionByName(rows.join(before.select("cst_file").distinct(), "cst_file", "left_anti").select("cst_file"))
+
     with log.timed("regenerate"):
-        version, failed = _parsed_into(store, files, mapping, titles, Corrections.of(old) if old is not None else None, store.publish)
-    new = store.read()
-    counted = new.agg(F.count_distinct("cst_file").alias("files"), F.count(F.lit(1)).alias("rows")).first()
-    report = Report(version, counted["files"], counted["rows"], failed)
+        version, failed = _stored(store, files, mapping, titles, lambda before, _: Corrections.of(before) if before is not None and not fresh else None, True, counted)
+    new = store.read(version)
+    counts = new.agg(F.count_distinct("cst_file").alias("files"), F.count(F.lit(1)).alias("rows")).first()
+    report = Report(version, counts["files"], counts["rows"], failed)
     if old is not None and references is not None:
         try:
             compared = diff.compare(old, new, references)
-            report.differing_rows = diff.summary(new, compared).first()["differing_rows"]
-            report.regressions = [(r["cst_file"], r["frag_idx_code"]) for r in diff.regressions(compared).collect()]
+            report.differing_rows, report.regressed = diff.summary(new, compared).select("differing_rows", "errors").first()
+            worst = diff.regressions(compared).orderBy("cst_file", "frag_idx_code").limit(LISTED)
+            report.regressions = [(r["cst_file"], r["frag_idx_code"]) for r in worst.collect()]
         except Exception as e:  # noqa: BLE001
             log.warn("comparison failed: %s", e)
     return report

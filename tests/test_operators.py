@@ -12,8 +12,8 @@ from fragloom.operators import checks, diff, edits, lookups, ordered, propagatio
 from fragloom.operators.scan import CriticalError
 from fragloom.plans import runs
 from fragloom.sources import files as fs
-from fragloom.sources.store import FragmentStore, downgraded, upgraded
-from fragloom.streaming.inbox import watch
+from fragloom.sources.store import Conflict, FragmentStore, downgraded, upgraded
+from fragloom.streaming.inbox import absorb, arrivals, watch
 from tests import plain_fold
 from tests.test_scan import ANGUTTARA, DIGHA, MAJJHIMA, SAMYUTTA
 
@@ -327,7 +327,7 @@ def test_store_runs_and_reparse(spark, folder):
     assert plain() == before
     refs = spark.createDataFrame([("dn1.1", "1. Ekasuttaṃ")], "cst_code string, cst_sutta string")
     report = runs.regenerate(store, files, references=refs)
-    assert (report.version, report.rows, report.differing_rows, report.regressions) == (2, 14, 0, [])
+    assert (report.version, report.rows, report.differing_rows, report.regressed, report.regressions) == (7, 14, 0, 0, [])
     store.rollback(1)
     assert store.version() == 1 and sorted(r["nikaya"] for r in store.structures().collect()) == sorted(schema.LEVELS)
     assert store.subset(["s0101m.mul.xml"]).select("cst_file").distinct().count() == 1
@@ -360,10 +360,16 @@ def test_old_forms(spark):
 
 def test_inbox(spark, folder):
     store = FragmentStore(spark, str(folder / "streamed"))
-    watch(spark, str(folder / "xml"), store, str(folder / "checkpoint")).awaitTermination()
+    watch(arrivals(spark, str(folder / "xml"), 2), store, str(folder / "checkpoint")).awaitTermination()
     assert store.read().select("cst_file").distinct().count() == 4
-    watch(spark, str(folder / "xml"), store, str(folder / "checkpoint")).awaitTermination()
+    watch(arrivals(spark, str(folder / "xml"), 2), store, str(folder / "checkpoint")).awaitTermination()
     assert store.read().count() == 14
+    # a batch that is replayed after its commit is known, a new one is not
+    version, (stream,) = store.version(), store.pointer()["applied"]
+    files = fs.read_xml(spark, str(folder / "xml"))
+    assert version == 2 and store.applied(stream) == 1 and store.applied("other") == -1
+    assert not absorb(store, files, stream, 1) and not absorb(store, files, stream, 0) and store.version() == version
+    assert absorb(store, files, stream, 2) and store.version() == version + 1 and store.read().count() == 14
 
 
 def test_command_line(spark, folder, capsys):
@@ -397,7 +403,8 @@ def test_store_survives_writers_that_stop(spark, folder):
     path = str(folder / "pointed")
     kept = FragmentStore(spark, path)
     assert kept.publish(rows) == 1 and kept.version() == 1
-    (folder / "pointed" / "v=2").mkdir()
+    left = kept.prepare(rows.limit(1))
+    (folder / "pointed" / "v=2.json").write_text("{")
     (folder / "pointed" / ".CURRENT-2.json").write_text("{")
     assert kept.version() == 1 and kept.read().count() == rows.count()
     assert kept.publish(rows.limit(3)) == 3 and kept.read().count() == 3
@@ -407,6 +414,96 @@ def test_store_survives_writers_that_stop(spark, folder):
     for _ in range(6):
         kept.rollback(1)
     assert kept.version() == 1 and len(list((folder / "pointed").glob("CURRENT-*.json"))) <= 5
+    (folder / "pointed" / "v=2.json").unlink()
+    assert f"data/w={left.write}" in kept.vacuum() and kept.read().count() == rows.count() and kept.read(4).count() == 2
+
+
+def test_versions_share_files_and_writers_conflict(spark, folder, monkeypatch):
+    rows, _ = runs.parse(fs.read_xml(spark, str(folder / "xml")))
+    kept = FragmentStore(spark, str(folder / "shared"))
+    kept.publish(rows)
+    name, before = "s0101m.mul.xml", kept.read()
+    total, own = rows.count(), rows.where("cst_file = 's0101m.mul.xml'").count()
+    mine, other = kept.prepare(rows.where(F.col("cst_file") == name).limit(1)), kept.prepare(rows.where(F.col("cst_file") == name).limit(2))
+    assert kept.commit(mine) == 2
+    with pytest.raises(Conflict):
+        kept.commit(other)
+    kept.discard(other)
+    assert kept.read().count() == total - own + 1 and before.count() == total == kept.read(1).count()
+    assert len(kept.pointer()["writes"]) == 2  # the other files are those of the first write
+    kept.replace_files(rows.limit(0), gone=spark.createDataFrame([(name,)], "cst_file string"))
+    assert kept.read().count() == total - own
+    monkeypatch.setattr("fragloom.sources.store.COMPACT", 2)
+    kept.replace_files(rows.where(F.col("cst_file") == name))
+    kept.replace_files(rows.where(F.col("cst_file") == name))
+    assert len(kept.pointer()["writes"]) == 1 and sorted(map(str, kept.read().collect())) == sorted(map(str, rows.select(*schema.COLUMNS).collect()))
+
+
+def test_a_run_that_another_writer_overtakes_is_done_again(spark, folder, monkeypatch):
+    files = fs.read_xml(spark, str(folder / "xml"))
+    kept = FragmentStore(spark, str(folder / "raced"))
+    runs.import_files(kept, files)
+    prepare, raced = FragmentStore.prepare, []
+
+    def late(self, rows, *args, **named):
+        out = prepare(self, rows, *args, **named)
+        if not raced:
+            raced.append(True)
+            FragmentStore(spark, kept.path).edit("s0301m.mul.xml", lambda r: edits.insert(r, "2.0", "next"))
+        return out
+
+    monkeypatch.setattr(FragmentStore, "prepare", late)
+    runs.reparse(kept, files)
+    assert kept.version() == 3 and kept.read().where("frag_idx_code = '2.1'").count() == 1  # the other writer's row is kept
+    assert not list((folder / "raced").glob(".staged-*")) and kept.vacuum() == []
+
+
+@pytest.mark.parametrize("run", [runs.reparse, runs.regenerate])
+def test_lost_text_is_not_published(spark, folder, run):
+    """An inserted row that ends behind where it began leaves a gap: the run raises and the version before stays."""
+    files = fs.read_xml(spark, str(folder / "xml"))
+    kept = FragmentStore(spark, str(folder / "gap"))
+    runs.import_files(kept, files)
+    name = "s0101m.mul.xml"
+    row = kept.read().where((F.col("cst_file") == name) & (F.col("frag_idx_code") == "1.0")).first().asDict()
+    hole = row | {"frag_idx_code": "1.1", "frag_review": "checked", "content_xml": "", "start_line": row["end_line"] - 1, "start_char": 0, "end_line": row["end_line"], "end_char": 0}
+    kept.edit(name, lambda r: r.unionByName(spark.createDataFrame([tuple(hole[c] for c in schema.COLUMNS)], schema.FRAGMENT)))
+    before = sorted(map(str, kept.read().collect()))
+    with pytest.raises(CriticalError, match="text is not given back"):
+        run(kept, files)
+    assert kept.version() == 2 and sorted(map(str, kept.read().collect())) == before and kept.vacuum() == []
+    runs.reset(kept, files)
+    assert kept.version() == 3 and kept.read().count() == 14
+
+
+def test_regeneration_keeps_numbers_of_rows(spark, folder):
+    files = fs.read_xml(spark, str(folder / "xml"))
+    kept = FragmentStore(spark, str(folder / "counted"))
+    runs.import_files(kept, files.where("cst_file <> 's0201m.mul.xml'"))
+    assert runs.regenerate(kept, files).files == 4  # a file that is new has no number to keep
+    kept.edit("s0101m.mul.xml", lambda rows: rows.where("frag_idx_code <> '1.0'"))
+    with pytest.raises(CriticalError, match="other number of rows: s0101m.mul.xml"):
+        runs.regenerate(kept, files)
+    assert kept.version() == 3 and runs.regenerate(kept, files, fresh=True).rows == 14
+
+
+def test_a_store_of_the_first_form_opens(spark, folder):
+    rows, _ = runs.parse(fs.read_xml(spark, str(folder / "xml")))
+    path = folder / "old"
+    downgraded(rows).write.partitionBy("cst_file").parquet(str(path / "v=1"))
+    (path / "CURRENT-1.json").write_text('{"version": 1}')
+    want = sorted(map(str, rows.select(*schema.COLUMNS).collect()))
+    assert FragmentStore(spark, str(path)).schema_number() == 1 and sorted(map(str, FragmentStore(spark, str(path)).read().collect())) == want
+    kept = FragmentStore.open(spark, str(path))
+    assert (kept.version(), kept.schema_number(), kept.schema_number(1)) == (2, 2, 1) and sorted(map(str, kept.read().collect())) == want
+    kept.edit("s0301m.mul.xml", lambda r: edits.insert(r, "2.0", "next"))
+    assert kept.migrate(1) == 4 and kept.schema_number() == 1 and kept.read().count() == len(want)  # down loses the inserted row
+    assert FragmentStore.open(spark, str(path)).schema_number() == 2
+    odd = path / "odd"
+    rows.withColumn("more", F.lit(1)).write.partitionBy("cst_file").parquet(str(odd / "v=1"))
+    (odd / "CURRENT-1.json").write_text('{"version": 1}')
+    with pytest.raises(ValueError, match="more"):
+        FragmentStore(spark, str(odd)).read()
 
 
 def test_what_does_not_verify_is_not_stored(spark, folder, monkeypatch):
