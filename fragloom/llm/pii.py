@@ -5,11 +5,16 @@ Validated values in whole texts are replaced by keyed permutations of themselves
 local parts of e-mail addresses, and access keys. A value is read as an integer below the number of values of its form;
 a Feistel network over that range, with cycle walking where not every integer is a valid value, permutes it, and check
 digits are computed anew. So separators, lengths and validity stay, different values stay different, and equal values,
-of one kind, get equal pseudonyms in all documents: dates even across date formats. With the key it can be undone. Cards and
-IBANs are also found with short words or numbers beside them; there a value gets another pseudonym than elsewhere where its own
-would, with these, look like a longer valid value.
+of one kind, get equal pseudonyms in all documents: dates even across date formats. A pseudonym depends on the value and the key alone.
 
-Scale: one pass over Arrow batches, no shuffle. Texts without a digit, @ or AKIA hold no value and are passed through.
+What belongs to a card or an IBAN is told from itself, not from what stands beside it: an IBAN has the length of its country; a number written
+with separators has the lengths of its issuer, by its first digits, and ends with one of its groups; digits without a separator are one
+number. So a card keeps its pseudonym beside a security code, an expiry date or a quantity.
+
+With the key it can be undone: pseudonymise() returns where the values stand in the new text, and that, not another search, is
+what it is undone by.
+
+Scale: one pass over Arrow batches, no shuffle, linear in the text. Texts without a digit, @ or AKIA hold no value and are passed through.
 
 Defined cases: null text stays null, empty text empty. Repeated rows give equal results. Values inside longer runs of
 digits or word characters are left alone, as are numbers that fail their check. Digits are 0 to 9; those of other scripts are
@@ -147,30 +152,22 @@ class Pseudonyms:
     def _run(self, x: int, n: int, name: str, valid: Callable[[int], bool] = lambda _: True) -> int:
         return self.feistel.permute(x, n, name, valid, self.back)
 
-    def card(self, text: str, fits: Callable[[str], bool] = lambda _: True) -> str | None:
+    def card(self, text: str) -> str | None:
         if not card_ok(text):
             return None
         digits = re.sub("[^0-9]", "", text)
+        body = f"{self._run(int(digits[:-1]), 10 ** (len(digits) - 1), 'card'):0{len(digits) - 1}d}"
+        return _written(int(body + str(luhn(body))), text)
 
-        def written(x: int) -> str:
-            body = f"{x:0{len(digits) - 1}d}"
-            return _written(int(body + str(luhn(body))), text)
-
-        return written(self._run(int(digits[:-1]), 10 ** (len(digits) - 1), "card", lambda x: fits(written(x))))
-
-    def iban(self, text: str, fits: Callable[[str], bool] = lambda _: True) -> str | None:
+    def iban(self, text: str) -> str | None:
         if not iban_ok(text):
             return None
         plain = text.replace(" ", "")
         country, rest = plain[:2], plain[4:]
-
-        def written(x: int) -> str:
-            new = _written(x, rest)
-            letters = iter(country + iban_check(country, new) + new)
-            return "".join(c if c == " " else next(letters) for c in text)
-
         x, n = _number(rest)
-        return written(self._run(x, n, "iban" + country, lambda x: fits(written(x))))
+        new = _written(self._run(x, n, "iban" + country), rest)
+        letters = iter(country + iban_check(country, new) + new)
+        return "".join(c if c == " " else next(letters) for c in text)
 
     def ssn(self, text: str) -> str | None:
         n = int(text.replace("-", ""))
@@ -225,13 +222,13 @@ class Pseudonyms:
 
 #: What a value of each kind looks like, before it is validated; tried in this order at each place.
 _LOOKS = {
-    "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])",
+    "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+(?:[Xx][Nn]--[A-Za-z0-9-]{0,58}[A-Za-z0-9]|[A-Za-z]{2,63})(?!\w)",
     "key": r"(?<!\w)AKIA[0-9A-Z]{16}(?!\w)",
-    "iban": r"(?<!\w)[A-Z]{2}[0-9][0-9](?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?!\w)",
+    "iban": r"(?<!\w)[A-Z]{2}[0-9][0-9](?: ?[0-9A-Z]+){1,32}",
     "ip": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])",
     "date": r"(?<![\w./-])(?:[0-9]{4}([-/.])[0-9][0-9]\1[0-9][0-9]|[0-9][0-9]([-/.])[0-9][0-9]\2[0-9]{4})(?!\w|[./-][0-9])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9][0-9]-[0-9]{4}(?!\w|-[0-9])",
-    "card": r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?!\w|-[0-9])",
+    "card": r"(?<![\w-])(?<![0-9]\.)[0-9]+(?:[ -][0-9]+)*(?!\w)",
     "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9](?:[ .-]?[0-9]){5,12}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?!\w|-[0-9])",
 }
 _FIND = {kind: re.compile(p) for kind, p in _LOOKS.items()}
@@ -239,74 +236,148 @@ _FIND = {kind: re.compile(p) for kind, p in _LOOKS.items()}
 _SOME = re.compile("[0-9@]|AKIA")
 
 
-#: Kinds whose looks may take in what stands beside a value: the check, where a shorter value may end, where another may begin.
-_CUT = {
-    "card": (card_ok, re.compile(r" |-(?![0-9]{4})"), re.compile(r"[0-9]{4}")),
-    "iban": (iban_ok, re.compile(" "), re.compile("[A-Z]{2}")),
-}
-
-
-def _cut_values(text: str, kind: str, taken: bytearray, made: Pseudonyms) -> Iterator[tuple[int, int, str]]:
-    """(start, end, pseudonym) of the values of a kind of _CUT. Of a candidate the longest part that is valid is taken, from its
-    start or else from one of its later words. What was refused on the way is refused in the new text too, so that the same
-    values are found there."""
-    (check, cut, begin), pattern, make = _CUT[kind], _FIND[kind], getattr(made, kind)
-    refused: list[tuple[int, int]] = []
-    now, at = text, 0
-    while m := pattern.search(text, at):
-        start, at = m.start(), m.start() + 1
-        ends = [m.end(), *(c.start() for c in reversed([*cut.finditer(text, start, m.end())]))]
-        for end in ends if not refused or start >= refused[-1][1] or begin.match(text, start) else []:
-            if any(taken[start:end]):
+#: Lengths of IBANs. Fixed values.
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+#: First digits of card issuers, longest first, with the lengths of their numbers in the order in which they are tried. Fixed values.
+ISSUERS = (
+    ("34", (15,)), ("37", (15,)), ("30", (14, 16)), ("36", (14, 16)), ("38", (14, 16)), ("39", (14, 16)), ("35", (16, 19)),
+    ("22", (16,)), ("23", (16,)), ("24", (16,)), ("25", (16,)), ("26", (16,)), ("27", (16,)),
+    ("51", (16,)), ("52", (16,)), ("53", (16,)), ("54", (16,)), ("55", (16,)),
+    ("50", (16, 19, 18, 17, 15, 14, 13)), ("56", (16, 19, 18, 17, 15, 14, 13)), ("57", (16, 19, 18, 17, 15, 14, 13)), ("58", (16, 19, 18, 17, 15, 14, 13)),
+    ("4", (16, 13, 19)), ("6", (16, 19, 18, 17, 15, 14, 13)),
+)
+#: Of other numbers.
+ANY_LENGTH = (16, 15, 14, 19, 13, 18, 17)
+_GROUP = re.compile("[0-9]+")
+
+
+def _lengths(digits: str, sizes: list[int]) -> tuple[int, ...]:
+    """The lengths that a number of these first digits, written in groups of these sizes, may have."""
+    known = next((lengths for first, lengths in ISSUERS if digits.startswith(first)), ())
+    return (13, *(n for n in known if n != 13)) if sizes == [4, 4, 4, 1] and 13 in known else known
+
+
+def _card_spans(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Cards in a run of groups of digits. First numbers of known issuers that begin with a group of four digits or more, then any others
+    with one kind of separator."""
+    groups = [m.span() for m in _GROUP.finditer(text, start, end)]
+    used = [False] * len(groups)
+    for known in (True, False):
+        i = 0
+        while i < len(groups):
+            a, b = groups[i]
+            if used[i]:
+                i += 1
                 continue
-            if not check(text[start:end]):
-                refused.append((start, end))
+            if b - a >= 13:
+                if known and b - a <= 19 and card_ok(text[a:b]):
+                    used[i] = True
+                    yield a, b
+                i += 1
                 continue
-            near = [(s, e) for s, e in refused if e > start]
-            new = make(text[start:end], lambda new: not any(check((now[s:start] + new + now[end:e])[: e - s]) for s, e in near))
-            now, at = now[:start] + new + now[end:], end
-            yield start, end, new
+            ends, n, j = {}, 0, i  # by digits: the group that a number of so many ends with
+            while j < len(groups) and not used[j] and n < 19 and (known or j < i + 2 or text[groups[j][0] - 1] == text[groups[i + 1][0] - 1]):
+                n += groups[j][1] - groups[j][0]
+                ends[n] = j
+                j += 1
+            lengths = (_lengths(text[a:b], [q - p for p, q in groups[i : i + 4]]) if b - a >= 4 else ()) if known else ANY_LENGTH
+            last = next((ends[n] for n in lengths if n in ends and card_ok(text[a : groups[ends[n]][1]])), None)
+            if last is None:
+                i += 1
+                continue
+            used[i : last + 1] = [True] * (last + 1 - i)
+            yield a, groups[last][1]
+            i = last + 1
+
+
+def _iban_spans(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The IBAN that begins at start: as long as its country has it, else the longest that is valid and ends with a word."""
+    length, n, found = IBAN_LENGTHS.get(text[start : start + 2]), 0, None
+    for m in re.finditer("[0-9A-Z]+", text[start:end]):
+        n += len(m[0])
+        if n > 34:
             break
+        stop = start + m.end()
+        if (n == length or length is None) and not (stop < len(text) and (text[stop].isalnum() or text[stop] == "_")) and iban_ok(text[start:stop]):
+            found = stop
+    if found:
+        yield start, found
+
+
+_SPANS = {"card": _card_spans, "iban": _iban_spans}
 
 
 def find(text: str, made: Pseudonyms) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of the valid values, none overlapping, earlier kinds of _LOOKS first."""
     spans: list[tuple[int, int, str, str]] = []
     taken = bytearray(len(text))
+
+    def take(start: int, end: int, kind: str) -> bool:
+        if taken.find(1, start, end) >= 0 or (new := getattr(made, kind)(text[start:end])) is None:
+            return False
+        spans.append((start, end, kind, new))
+        taken[start:end] = b"\1" * (end - start)
+        return True
+
     for kind, pattern in _FIND.items():
         if kind == "email" and "@" not in text:
             continue
-        if kind in _CUT:
-            for start, end, new in _cut_values(text, kind, taken, made):
-                spans.append((start, end, kind, new))
-                taken[start:end] = b"\1" * (end - start)
+        if kind not in _SPANS:
+            for m in pattern.finditer(text):
+                take(m.start(), m.end(), kind)
             continue
-        for m in pattern.finditer(text):
-            if not any(taken[m.start() : m.end()]) and (new := getattr(made, kind)(m[0])) is not None:
-                spans.append((m.start(), m.end(), kind, new))
-                taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
+        at = 0
+        while m := pattern.search(text, at):
+            own = [end for start, end in _SPANS[kind](text, m.start(), m.end()) if take(start, end, kind)]
+            at = m.end() if kind == "card" else max([m.start() + 1, *own])
     return sorted(spans)
 
 
-def replace(text: str, made: Pseudonyms) -> tuple[str, dict[str, int]]:
+def replaced(text: str, made: Pseudonyms, spans: list[tuple[int, int, str]] | None = None) -> tuple[str, dict[str, int], list[tuple[int, int, str]]]:
+    """(new text, number of values of each kind, where they stand in it). spans: where the values stand, else they are searched for."""
     counts = dict.fromkeys(KINDS, 0)
-    if not _SOME.search(text):
-        return text, counts
-    out, at = [], 0
-    for start, end, kind, new in find(text, made):
+    if spans is None:
+        values = find(text, made) if _SOME.search(text) else []
+    else:
+        values = [(start, end, kind, getattr(made, kind)(text[start:end])) for start, end, kind in spans]
+    out, at, length, places = [], 0, 0, []
+    for start, end, kind, new in values:
         out += [text[at:start], new]
+        length += start - at
+        places.append((length, length + len(new), kind))
+        length += len(new)
         at = end
         counts[kind] += 1
-    return "".join([*out, text[at:]]), counts
+    return "".join([*out, text[at:]]), counts, places
 
 
-def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, id_col: str = "doc_id", text_col: str = "text", back: bool = False) -> DataFrame:
-    """Per row: doc_id, text (with pseudonyms), n_<kind> for each of KINDS. back: undo it, given the same key."""
+def replace(text: str, made: Pseudonyms) -> tuple[str, dict[str, int]]:
+    return replaced(text, made)[:2]
+
+
+_PLACES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
+
+
+def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, id_col: str = "doc_id", text_col: str = "text", spans_col: str | None = None) -> DataFrame:
+    """Per row: doc_id, text (with pseudonyms), n_<kind> for each of KINDS, and spans: start, end and kind of the values in it. With spans_col, such a
+    column of docs, and the same key, the values at these places are turned back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Pseudonyms(key, back)
+        made = Pseudonyms(key, spans_col is not None)
         for batch in batches:
-            done = [(None, dict.fromkeys(KINDS, 0)) if t is None else replace(t, made) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in done], pa.string()), *(pa.array([c[k] for _, c in done], pa.int64()) for k in KINDS)], names=["doc_id", "text", *(f"n_{k}" for k in KINDS)])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, text string, " + ", ".join(f"n_{k} long" for k in KINDS))
+            texts = batch.column(1).to_pylist()
+            known = [None if spans is None else [(s["start"], s["end"], s["kind"]) for s in spans] for spans in batch.column(2).to_pylist()] if spans_col else [None] * len(texts)
+            done = [(None, dict.fromkeys(KINDS, 0), []) if t is None else replaced(t, made, (s or []) if spans_col else None) for t, s in zip(texts, known)]
+            places = pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in x] for _, _, x in done], _PLACES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _, _ in done], pa.string()), *(pa.array([c[k] for _, c, _ in done], pa.int64()) for k in KINDS), places], names=["doc_id", "text", *(f"n_{k}" for k in KINDS), "spans"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.col(spans_col).alias("spans")] if spans_col else []))
+    return rows.mapInArrow(run, "doc_id long, text string, " + ", ".join(f"n_{k} long" for k in KINDS) + ", spans array<struct<start:int,end:int,kind:string>>")

@@ -20,7 +20,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(_read(spark, sf_dir, "documents"))
+    return pii.pseudonymise(_read(spark, sf_dir, "documents")).drop("spans")
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
