@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BROADCAST_KEYS = 400_000
 #: A key is heavy if more than one in HEAVY of the rows have it, and more than LIGHT rows. So fewer than HEAVY keys are.
 HEAVY, LIGHT = 16384, 500
+#: Bitmaps of 4 KiB that may be broadcast at once: 64 MiB.
+BITMAPS = 16384
 
 #: The six white-space characters of the word rule [^\x20\x09-\x0D]+.
 SPACES = " \t\n\x0b\x0c\r"
@@ -141,9 +143,21 @@ def free_name(df: DataFrame, base: str = "_rid") -> str:
 
 
 def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """stored() docs, all columns, less the rows whose number (with_row_id of the same docs) is in gone (_rid)."""
+    """stored() docs, all columns, less the rows whose number (with_row_id of the same docs) is in gone (_rid). Up to BROADCAST_KEYS numbers are
+    broadcast; more, as bitmaps of 32768 rows, up to BITMAPS of these; beyond that docs are shuffled."""
     name = free_name(docs)
-    return match(with_row_id(docs, name), table(gone.select(F.col("_rid").alias(name)), "gone"), name, "left_anti").drop(name)
+    rows, gone = with_row_id(docs, name), table(gone.select(F.col("_rid").alias(name)), "gone")
+    if gone.count() <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(gone), name, "left_anti").drop(name)
+    bucket, bits = free_name(docs, "_bucket"), free_name(docs, "_bits")
+    low = lambda c: F.bitwise_not(F.lit(-32768).cast("long")).bitwiseAND(F.col(c))
+    maps = table(gone.groupBy(F.shiftright(name, 15).alias(bucket)).agg(F.bitmap_construct_agg(low(name)).alias(bits)), "gonebits")
+    if maps.count() > BITMAPS:
+        return rows.join(gone, name, "left_anti").drop(name)
+    byte = F.conv(F.hex(F.substring(F.col(bits), (low(name) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_gone = F.call_function("shiftright", byte, (low(name) % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    found = rows.withColumn(bucket, F.shiftright(name, 15)).join(F.broadcast(maps), bucket, "left")
+    return found.where(F.col(bits).isNull() | ~is_gone).drop(name, bucket, bits)
 
 
 def ascii_lower(text: Column) -> Column:

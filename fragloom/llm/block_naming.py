@@ -6,8 +6,8 @@ compare whole blocks and two different blocks never share one. Adjacent names ar
 same way, level by level, until each document has one name; (levels, name) is its identity, without collisions.
 
 Scale: the text moves once, as blocks. Before that a task collapses equal blocks of an Arrow batch to one row; its occurrences
-find the name through a key of their own (``lid``), which never repeats. Heavy blocks (see _shared) move in SALTS groups
-first, and one row of each group goes on to the naming. Pairs are made distinct with map-side aggregation before
+find the name through a key of their own (``lid``), which never repeats. Of a heavy block (see _shared) each task gives one row, and one of
+all goes on to the naming; its name comes back by a broadcast of the heavy blocks, fewer than HEAVY of BLOCK bytes. Pairs are made distinct with map-side aggregation before
 they are named; the names of heavy pairs, and what is known of heavy groups of copies, are broadcast, fewer than HEAVY rows,
 the others are joined back. Levels: log2 of the blocks of the longest text. Each level is a written table, deleted when it
 has been used.
@@ -31,8 +31,6 @@ from fragloom.llm._shared import drop_tables, heavy_keys, heavy_limit, join_heav
 BLOCK = 4096
 #: Rows of a naming bucket, about.
 BUCKET_ROWS = 2000
-#: Groups that the rows of a heavy block are dealt to.
-SALTS = 16
 
 _SPLIT = "_rid long, doc_id long, sha binary, n int, pos int, lid long, block binary"
 
@@ -86,16 +84,15 @@ def block_names(parts: DataFrame) -> DataFrame:
     heavy = heavy_keys(blocks, ["bh"])
     if heavy is None:
         return table(sorted_names(blocks, ["block"], blocks.count()).select("lid", "name"), "names")
-    # Of a heavy block, SALTS groups each send one row, rep, to the naming.
-    salt = F.pmod(F.xxhash64("lid"), F.lit(SALTS))
-    many = blocks.join(F.broadcast(heavy), "bh", "left_semi").withColumn("salt", salt)
-    many = many.withColumn("rep", F.min("lid").over(Window.partitionBy("bh", "salt", "block")))
-    many = table(many.select("lid", "rep", F.when(F.col("lid") == F.col("rep"), F.col("block")).alias("block")), "heavyblocks")
-    few = blocks.join(F.broadcast(heavy), "bh", "left_anti").select("lid", "block").unionByName(many.where("block is not null").select("lid", "block"))
+    # Of a heavy block, one row, rep, goes on to the naming: the least of each task, then of all. Whole blocks are compared.
+    many = blocks.join(F.broadcast(heavy), "bh", "left_semi")
+    reps = table(many.groupBy("bh", "block").agg(F.min("lid").alias("rep")), "reps")
+    few = blocks.join(F.broadcast(heavy), "bh", "left_anti").select("lid", "block").unionByName(reps.select(F.col("rep").alias("lid"), "block"))
     few = table(sorted_names(few, ["block"], blocks.count()).select("lid", "name"), "names")
-    reps = few.join(F.broadcast(many.where("block is not null").select("lid")), "lid", "left_semi").withColumnRenamed("lid", "rep")  # fewer than HEAVY * SALTS
-    names = table(few.unionByName(many.where("block is null").join(F.broadcast(reps), "rep").select("lid", "name")), "allnames")
-    drop_tables(heavy, many, few)
+    named = table(reps.join(few.join(F.broadcast(reps.select(F.col("rep").alias("lid"))), "lid").withColumnRenamed("lid", "rep"), "rep").select("bh", "block", "name"), "repnames")
+    light = few.join(F.broadcast(reps.select(F.col("rep").alias("lid"))), "lid", "left_anti")
+    names = table(light.unionByName(many.join(F.broadcast(named), ["bh", "block"]).select("lid", "name")), "allnames")
+    drop_tables(heavy, reps, few, named)
     return names
 
 

@@ -23,7 +23,8 @@ at every size; facts about heavy classes and components (see _shared) are broadc
 when it has been used.
 
 Defined cases: null or empty text, or white space alone: no shingles, linked with nothing. Fewer than five words: one
-shingle. Repeated rows are equal sets; a component's id is its least doc_id, nulls aside, and kept compares null-safely.
+shingle. Repeated rows are equal sets; a component's id is its least doc_id, nulls aside, and kept compares null-safely, so
+rows that share this id are kept alike; drop_near_duplicates() leaves one row.
 Other columns of the input, whatever their names, are ignored. An empty table gives no rows.
 """
 
@@ -196,7 +197,8 @@ def _places(headed: DataFrame, meets: DataFrame, root: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """Per row of docs: _rid, doc_id, n_shingles, component_id, kept."""
+    """Per row of docs: _rid, doc_id, n_shingles, component_id, kept, and stays: exactly one row of a component does, of those with the least doc_id
+    (null above all) the first."""
     numbered = with_row_id(stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))))
     sketch = table(numbered.select("_rid", "doc_id", "text").mapInArrow(_sketch, _SKETCH), "sketch")
     first = table(sketch.where("n > 0").groupBy("cls").agg(F.min("_rid").alias("head"), F.count(F.lit(1)).alias("size")), "first")
@@ -214,15 +216,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = join_heavy(rows.where("n > 0"), roots.drop("size"), ["cls"], grouped(roots, "cls")).select("_rid", "doc_id", "n", "root")
     members = table(members.unionByName(rows.where("n = 0").select("_rid", "doc_id", "n", F.col("_rid").alias("root"))), "members")
     drop_tables(rows, first, root, roots)
-    ids = table(members.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size")), "ids")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_rid")).alias("first")
+    ids = members.groupBy("root").agg(first, F.count(F.lit(1)).alias("size")).select("root", F.col("first.doc_id").alias("component_id"), F.col("first._rid").alias("stays"), "size")
+    ids = table(ids, "ids")
     named = join_heavy(members, ids.drop("size"), ["root"], grouped(ids, "root"))
-    return named.select("_rid", "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return named.select("_rid", "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), (F.col("_rid") == F.col("stays")).alias("stays"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """docs, all columns, with one document of each component."""
+    """docs, all columns, with one row of each component, whatever the ids of its rows are."""
     docs = stored(docs)
-    return without_rows(docs, near_duplicates(docs, id_col, text_col, percent).where(~F.col("kept")))
+    return without_rows(docs, near_duplicates(docs, id_col, text_col, percent).where(~F.col("stays")))
 
 
 __all__ = ["SIZE", "drop_near_duplicates", "links", "near_duplicates"]

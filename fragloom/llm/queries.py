@@ -40,7 +40,7 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_read(spark, sf_dir, "documents")).drop("_rid")
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents")).drop("_rid", "stays")
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

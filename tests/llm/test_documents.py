@@ -505,3 +505,27 @@ def test_classifier_on_held_out_rows(spark):
     scored = fm_classifier.classify(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
     rows = scored.where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").collect()
     assert len(rows) > 50 and sum(r["predicted"] == r["quality"] for r in rows) / len(rows) > 0.9
+
+
+def test_one_row_of_a_component_stays(spark):
+    """Whatever the ids are: null, equal or different."""
+    base = [f"word{i}" for i in range(200)]
+    near = lambda k: " ".join(base[:k] + ["changed"] + base[k + 1 :])
+    rows = [(None, near(3)), (None, near(50)), (None, near(150)), (5, near(90)), (5, near(120)), (6, "other text of its own"), (6, "other text of its own"), (7, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [tuple(r) for r in minhash.drop_near_duplicates(docs).collect()]
+    assert sorted(i for i, t in left if t and "word1" in t) == [5] and sum(t == rows[5][1] for _, t in left) == 1 and len(left) == 4
+    assert minhash.drop_near_duplicates(spark.createDataFrame(rows[:3], "doc_id long, text string")).count() == 1
+
+
+def test_heavy_blocks_spread_over_tasks(spark, monkeypatch):
+    """A block that most rows have: names are right and no task of the naming gets its rows."""
+    monkeypatch.setattr(_shared, "LIGHT", 10)
+    monkeypatch.setattr(_shared, "HEAVY", 50)
+    monkeypatch.setattr(block_naming, "heavy_limit", _shared.heavy_limit)
+    texts = ["hot block"] * 3000 + [f"text {i % 40}" for i in range(400)] + ["hot block and more"] * 700
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    sizes = Counter(texts)
+    for r in block_naming.exact_duplicates(docs, block=4).collect():
+        text = texts[r["doc_id"]]
+        assert r["group_size"] == sizes[text] and r["keep_id"] == max(i for i, t in enumerate(texts) if t == text) if r["doc_id"] % 50 == 0 else r["group_size"] == sizes[text]

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fragloom.llm import block_naming
+from fragloom.llm import _shared, block_naming
 from fragloom.llm._shared import stored, table, with_row_id, without_rows
 
 
@@ -58,3 +58,17 @@ def test_what_is_no_scan_is_written_first(spark, docs):
         rows = with_row_id(stored(odd), "n")
         assert rows.select("n").distinct().count() == rows.count() > 0
     assert stored(docs) is docs
+
+
+@pytest.mark.parametrize("limits", [(400_000, 16384), (10, 16384), (10, 0)])
+def test_rows_go_whatever_their_number(spark, tmp_path, monkeypatch, limits):
+    """By numbers, by bitmaps and by a join that shuffles."""
+    monkeypatch.setattr(_shared, "BROADCAST_KEYS", limits[0])
+    monkeypatch.setattr(_shared, "BITMAPS", limits[1])
+    path = str(tmp_path / "rows")
+    spark.range(120_000).selectExpr("id", "id % 7 AS _rid", "'x' AS _bits").repartition(2).write.parquet(path)
+    docs = spark.read.parquet(path)
+    gone = _shared.with_row_id(docs, "n").where("id % 3 = 0 or id between 40000 and 90000").select(F.col("n").alias("_rid"))
+    left = _shared.without_rows(docs, gone)
+    assert left.columns == docs.columns
+    assert sorted(r["id"] for r in left.select("id").collect()) == [i for i in range(120_000) if not (i % 3 == 0 or 40_000 <= i <= 90_000)]
