@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fragloom import schema
+from fragloom.operators import edit_log
 from fragloom.plans import queries as q
 from fragloom.plans import runs
 from fragloom.plans.queries import query
@@ -109,3 +110,25 @@ def inbox_batches(spark: SparkSession, sf: str) -> DataFrame:
 def store_subset_counts(spark: SparkSession, sf: str) -> DataFrame:
     """[E13]"""
     return subset_counts(q.turn_fragments(spark, sf), ["5.xml"])
+
+
+#: Edits of every file, in this order; the last is of a fragment that no file has.
+_EDITS = (("nudge", "1.0", "prev", "char_right"), ("move", "2.0", "prev", None), ("insert", "0.0", "next", None), ("delete", "3.0", None, None), ("move", "99.0", "next", None))
+
+
+@query(
+    f"WITH {q._F}, c AS (SELECT cst_file, max(turn) AS last, {', '.join(f'max(CASE WHEN turn = {k} THEN content_xml END) AS c{k}' for k in range(4))} FROM f GROUP BY 1), "
+    "e AS (SELECT f.*, c.* EXCLUDE (cst_file) FROM f JOIN c ON c.cst_file = f.cst_file) "
+    "SELECT cst_file, frag_idx_code, CASE WHEN turn = 0 AND last > 0 THEN c0 || left(c1, 1) WHEN turn = 1 THEN substr(c1, 2) || coalesce(c2, '') || coalesce(c3, '') WHEN turn = 2 THEN '' ELSE content_xml END AS content_xml, "
+    "CASE WHEN turn = 2 THEN 'moved' WHEN turn = 1 OR (turn = 0 AND last > 0) THEN 'checked' END AS frag_review, NULL AS reason FROM e WHERE turn <> 3 "
+    "UNION ALL SELECT cst_file, '0.1', '', 'checked', NULL FROM c UNION ALL SELECT cst_file, '4', NULL, NULL, 'no fragment 99.0' FROM c "
+    "UNION ALL SELECT cst_file, '0', NULL, NULL, 'no fragment 1.0' FROM c WHERE last < 1 UNION ALL SELECT cst_file, '1', NULL, NULL, 'no fragment 2.0' FROM c WHERE last < 2 UNION ALL SELECT cst_file, '3', NULL, NULL, 'no fragment 3.0' FROM c WHERE last < 3"
+)
+def edited_files(spark: SparkSession, sf: str) -> DataFrame:
+    """[H6, H8, H9, H10, C4, F1] a log of edits of all files, folded per file; rejected edits by their number"""
+    rows = q.turn_fragments(spark, sf).withColumn("frag_review", F.lit(None).cast("string"))
+    edits = F.array(*(F.struct(F.lit(k).cast("long").alias("seq"), *(F.lit(v).cast("string").alias(c) for v, c in zip(e, ("action", "frag_idx_code", "direction", "nudge")))) for k, e in enumerate(_EDITS)))
+    log = rows.select("cst_file").distinct().select("cst_file", F.inline(edits))
+    done = written(edit_log.folded(rows, log), "edited")
+    refused = edit_log.rejected(done).select("cst_file", F.col("seq").cast("string").alias("frag_idx_code"), "reason")
+    return edit_log.fragments_of(rows, done).select("cst_file", "frag_idx_code", "content_xml", "frag_review").unionByName(refused, allowMissingColumns=True)
