@@ -26,23 +26,28 @@ def has_mark(raw: Column) -> Column:
     return (encoding(raw) != "UTF-8") | (F.substring(raw, 1, 3) == F.unhex(F.lit("EFBBBF")))
 
 
-@F.pandas_udf(T.StringType())
-def _decoded(raws: pd.Series) -> pd.Series:
-    def one(raw: bytes | None) -> str | None:
-        if raw is None:
-            return None
-        for mark, name in ((b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"), (b"\xef\xbb\xbf", "utf-8")):
-            if raw.startswith(mark):
-                return raw[len(mark) :].decode(name, errors="replace")
-        return raw.decode("utf-8", errors="replace")
+#: Bytes of UTF-16, read one a character, from where the last match ended: whole characters, and what is none.
+_PAIRS = {"UTF-16LE": (r"(?s).[^Ø-ß]", r"(?s).[Ø-Û].[Ü-ß]", "ýÿ"), "UTF-16BE": (r"(?s)[^Ø-ß].", r"(?s)[Ø-Û].[Ü-ß].", "ÿý")}
+
 
-    return raws.map(one)
+def _utf16(body: Column, name: str) -> Column:
+    """Text of UTF-16 bytes; halves of characters, and an odd last byte, become U+FFFD. The built-in decode() fails on these, so bytes are checked
+    first: whole characters are taken off from the front, and something is left only if one is not whole."""
+    one, two, bad = _PAIRS[name]
+    plain = F.decode(body, "ISO-8859-1")
+    left = F.regexp_replace(plain, rf"\G(?:(?:{one}){{1,500}}|{two})", "")
+    units = F.regexp_extract_all(plain, F.lit(rf"(?s)\G(?:{one}|{two}|..|.)"), F.lit(0))
+    mended = F.array_join(F.transform(units, lambda u: F.when(u.rlike(rf"^(?:{one}|{two})$"), u).otherwise(F.lit(bad))), "")
+    return F.decode(F.when(left == "", body).otherwise(F.encode(mended, "ISO-8859-1")), name)
 
 
 def decoded(raw: Column) -> Column:
-    """[A1] Text of a file: by its mark, bad bytes replaced, line ends as LF, UTF-8 in its declaration. Arrow batches: the
-    built-in decode() fails on malformed UTF-16."""
-    text = F.replace(_decoded(raw), F.lit("\r\n"), F.lit("\n"))
+    """[A1, A2] Text of a file: by its mark, bad bytes replaced, line ends as LF, UTF-8 in its declaration. Built-in functions only."""
+    marked = lambda mark, n: F.substring(raw, 1, n) == F.lit(mark)
+    body = lambda n: F.substring(raw, F.lit(n), F.octet_length(raw))
+    text = F.when(marked(b"\xff\xfe", 2), _utf16(body(3), "UTF-16LE")).when(marked(b"\xfe\xff", 2), _utf16(body(3), "UTF-16BE"))
+    text = text.otherwise(F.make_valid_utf8(F.when(marked(b"\xef\xbb\xbf", 3), body(4)).otherwise(raw).cast("string")))
+    text = F.replace(text, F.lit("\r\n"), F.lit("\n"))
     for quote in "\"'":
         text = F.replace(text, F.lit(f"encoding={quote}UTF-16{quote}"), F.lit(f"encoding={quote}UTF-8{quote}"))
     return text

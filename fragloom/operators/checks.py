@@ -216,12 +216,39 @@ def reconstruct(fragments: DataFrame) -> DataFrame:
     return ordered.joined_text(rows, ["cst_file"], ["start_line", "start_char", "p"], "content_xml")
 
 
+#: Bytes that are compared at once.
+CHUNK = 4096
+
+
 def differences(fragments: DataFrame, files: DataFrame) -> DataFrame:
-    """[J11] Files that their fragments do not give back: cst_file, lengths and the first character that differs."""
+    """[J11] Files that their fragments do not give back: cst_file, lengths and the first character that differs. Chunks of bytes are compared, then the
+    bytes of the first unlike one."""
     both = files.select("cst_file", "content").join(reconstruct(fragments), "cst_file", "left").withColumn("text", F.coalesce("text", F.lit(""))).where("content <> text")
-    a, b = F.split("content", ""), F.split("text", "")
-    at = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
-    return both.select("cst_file", F.char_length("content").alias("expected_chars"), F.char_length("text").alias("found_chars"), at.alias("first_difference"))
+    return both.select("cst_file", F.char_length("content").alias("expected_chars"), F.char_length("text").alias("found_chars"), first_difference(F.col("content"), F.col("text")).alias("first_difference"))
+
+
+def first_difference(content: Column, text: Column) -> Column:
+    """Place from 1 of the first character in which two unlike texts differ. Each step is bound once, so that no bytes are copied again."""
+    let = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    part = lambda raw, start, n: F.substring(raw, start + 1, n)
+    first = lambda n, like: F.array_position(F.transform(F.sequence(F.lit(0), n), like), False).cast("int") - 1
+    size, one = F.lit(CHUNK), F.lit(1)
+
+    def chunk(p: Column) -> Column:
+        last = (F.greatest(F.octet_length(p["a"]), F.octet_length(p["b"])) / CHUNK).cast("int")
+        return let(F.struct(p["a"].alias("a"), p["b"].alias("b"), (first(last, lambda k: part(p["a"], k * size, size) == part(p["b"], k * size, size)) * CHUNK).alias("c")), byte)
+
+    def byte(p: Column) -> Column:
+        x, y = part(p["a"], p["c"], size), part(p["b"], p["c"], size)
+        return let(F.struct(p["a"].alias("a"), p["c"].alias("c"), x.alias("x"), y.alias("y")), lambda q: let(F.struct(*(q[n].alias(n) for n in "acxy"), first(size - 1, lambda k: part(q["x"], k, one) == part(q["y"], k, one)).alias("at")), character))
+
+    def character(p: Column) -> Column:
+        # A byte that goes on a character belongs to the one that began before it.
+        own = F.hex(F.when(p["at"] < F.octet_length(p["x"]), part(p["x"], p["at"], one)).otherwise(part(p["y"], p["at"], one)))
+        before = F.char_length(F.substring(p["a"], one, p["c"] + p["at"]).cast("string"))
+        return (before + F.when(own.between("80", "BF"), 0).otherwise(1)).cast("long")
+
+    return let(F.struct(content.cast("binary").alias("a"), text.cast("binary").alias("b")), chunk)
 
 
 def content_integrity(fragments: DataFrame, files: DataFrame) -> DataFrame:

@@ -29,8 +29,14 @@ def version_rank(df: DataFrame, keys: Keys, code: str, out: str = "rank") -> Dat
 
 
 def free_minors(df: DataFrame, keys: Keys, minor: str, out: str = "free_minor") -> DataFrame:
-    """[C4] Per group, the smallest minor from 1 that is not taken."""
-    return df.groupBy(*keys).agg(cd.next_minor(F.collect_set(minor)).alias(out))
+    """[C4] Per group, the smallest minor from 1 that is not taken: of 1 and of those that follow a taken one, the least that is not taken itself. A join on
+    keys and minor, so a group with most of the rows is spread over its minors."""
+    taken = df.select(*keys, F.col(minor).cast("int").alias(out)).distinct()
+    maybe = taken.select(*keys, F.explode(F.array(F.lit(1), F.greatest(F.col(out) + 1, F.lit(1)))).alias(out)).distinct()
+    same = F.lit(True)
+    for c in (*keys, out):
+        same = same & F.col(f"m.{c}").eqNullSafe(F.col(f"t.{c}"))
+    return maybe.alias("m").join(taken.alias("t"), same, "left_anti").groupBy(*keys).agg(F.min(out).alias(out))
 
 
 def neighbours(df: DataFrame, keys: Keys, order: Sequence[Column | str], skipped: Column, values: Sequence[str]) -> DataFrame:

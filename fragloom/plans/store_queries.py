@@ -1,4 +1,4 @@
-"""Queries of whole runs on a store: import, edits, reparse, reset, regeneration, migration and the inbox."""
+"""Queries of whole runs on a store (import, edits, reparse, reset, regeneration, migration, the inbox), of decoding and of guards."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fragloom import schema
-from fragloom.operators import edit_log
+from fragloom.functions import codes as cd
+from fragloom.functions import text as tx
+from fragloom.operators import checks, diff, edit_log, ordered
 from fragloom.plans import queries as q
 from fragloom.plans import runs
 from fragloom.plans.queries import query
@@ -132,3 +134,88 @@ def edited_files(spark: SparkSession, sf: str) -> DataFrame:
     done = written(edit_log.folded(rows, log), "edited")
     refused = edit_log.rejected(done).select("cst_file", F.col("seq").cast("string").alias("frag_idx_code"), "reason")
     return edit_log.fragments_of(rows, done).select("cst_file", "frag_idx_code", "content_xml", "frag_review").unionByName(refused, allowMissingColumns=True)
+
+
+# -- decoding
+
+_MARKED = "CASE doc_id % 6 WHEN 0 THEN 'UTF-16LE' WHEN 1 THEN 'UTF-16BE' WHEN 4 THEN 'UTF-16LE' ELSE 'UTF-8' END"
+
+
+@query(
+    f"SELECT doc_id, sha256(CASE WHEN doc_id % 6 >= 4 THEN chr(65533) ELSE '' END || '<?xml version=\"1.0\" encoding=\"UTF-8\"?>' || chr(10) || replace(coalesce(text, ''), chr(13) || chr(10), chr(10))) AS sha, {_MARKED} AS encoding, doc_id % 6 IN (0, 1, 2, 4) AS marked FROM documents"
+)
+def decoded_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """[A1, A2] all documents as files in three encodings, with and without marks, a third of them malformed, decoded"""
+    text = F.concat(F.lit('<?xml version="1.0" encoding="UTF-16"?>\r\n'), F.coalesce("text", F.lit("")))
+    k, mark = F.col("doc_id") % 6, lambda h: F.unhex(F.lit(h))
+    raw = (
+        F.when(k == 0, F.concat(mark("FFFE"), F.encode(text, "UTF-16LE"))).when(k == 1, F.concat(mark("FEFF"), F.encode(text, "UTF-16BE"))).when(k == 2, F.concat(mark("EFBBBF"), F.encode(text, "UTF-8")))
+        .when(k == 3, F.encode(text, "UTF-8")).when(k == 4, F.concat(mark("FFFE00D8"), F.encode(text, "UTF-16LE"))).otherwise(F.concat(mark("FF"), F.encode(text, "UTF-8")))
+    )
+    rows = q.read(spark, sf, "documents").select("doc_id", raw.alias("raw"))
+    return rows.select("doc_id", F.sha2(tx.decoded(F.col("raw")), 256).alias("sha"), tx.encoding(F.col("raw")).alias("encoding"), tx.has_mark(F.col("raw")).alias("marked"))
+
+
+# -- guards of runs and small operators, each called as it is
+
+
+@query(f"WITH {q._F} SELECT cst_file, arg_min(frag_type, turn) AS first, arg_max(frag_type, turn) AS last FROM f GROUP BY 1 HAVING arg_min(frag_type, turn) <> 'Header' OR arg_max(frag_type, turn) <> 'Header'")
+def check_header_ends(spark: SparkSession, sf: str) -> DataFrame:
+    """[J9, F6]"""
+    return checks.header_ends(q.turn_fragments(spark, sf))
+
+
+@query(
+    f"WITH {q._F}, w AS (SELECT cst_file, sum(strlen(content_xml)) + CASE WHEN min(conv_id) % 4 = 0 THEN 3 ELSE 0 END AS whole_bytes, coalesce(sum(strlen(content_xml)) FILTER (WHERE {q._OK}), 0) AS part_bytes FROM f GROUP BY 1) "
+    "SELECT cst_file, whole_bytes::BIGINT AS whole_bytes, part_bytes::BIGINT AS part_bytes, (part_bytes - whole_bytes)::BIGINT AS difference FROM w WHERE part_bytes <> whole_bytes"
+)
+def check_content_integrity(spark: SparkSession, sf: str) -> DataFrame:
+    """[J12, E5] moved rows are lost, and every fourth file ends with three bytes more"""
+    rows = q.turn_fragments(spark, sf)
+    number = F.substring_index("cst_file", ".", 1).cast("long")
+    files = ordered.joined_text(rows.withColumn("turn", F.substring_index("frag_idx_code", ".", 1).cast("int")), ["cst_file"], ["turn"], "content_xml", out="content")
+    files = files.withColumn("content", F.concat("content", F.when(number % 4 == 0, "ā.").otherwise(F.lit(""))))
+    return checks.content_integrity(rows, files).select("cst_file", "whole_bytes", F.coalesce("part_bytes", F.lit(0).cast("long")).alias("part_bytes"), "difference")
+
+
+@query(
+    f"WITH {q._F}, w AS (SELECT *, lag(end_line) OVER x AS expected_start_line, lag(end_char) OVER x AS expected_start_char FROM f WHERE {q._OK} WINDOW x AS (PARTITION BY cst_file ORDER BY turn)) "
+    "SELECT cst_file, frag_idx_code, start_line, expected_start_line, expected_start_char FROM w WHERE start_line <> expected_start_line OR start_char <> expected_start_char"
+)
+def check_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """[J13, F2]"""
+    return checks.chain(q.turn_fragments(spark, sf)).select("cst_file", "frag_idx_code", "start_line", "expected_start_line", "expected_start_char")
+
+
+@query(f"SELECT (SELECT count(*) FROM ({q._NEW})) AS total_rows, count(*) FILTER (WHERE differs) AS differing_rows, count(*) FILTER (WHERE regressed) AS errors FROM ({q._sql['diff_versions']})")
+def diff_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """[E12, K1]"""
+    old, new, ref = (spark.sql(x.replace("FROM customer", "FROM {customer}"), customer=q.read(spark, sf, "customer")) for x in (q._OLD, q._NEW, q._REF))
+    return diff.summary(new, diff.compare(old, new, ref))
+
+
+@query(
+    "SELECT p_partkey, regexp_extract(code, '^([a-z]{2})(\\d+)', 1) AS prefix, CASE WHEN code LIKE 'sn%' THEN p_size END AS samyutta, CASE WHEN code LIKE 'an%' THEN p_size END AS nipata, (p_partkey % 40 + 3)::INT AS sutta FROM "
+    "(SELECT *, CASE p_partkey % 3 WHEN 0 THEN 'sn' WHEN 1 THEN 'an' ELSE 'x' END || p_size || '.' || (p_partkey % 40) || '-' || (p_partkey % 40 + 3) AS code FROM part) WHERE p_partkey % 3 < 2"
+)
+def sc_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """[C14] ranges; every third code is none"""
+    sql = "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'sn' WHEN 1 THEN 'an' ELSE 'x' END || CAST(p_size AS STRING) || '.' || CAST(p_partkey % 40 AS STRING) || '-' || CAST(p_partkey % 40 + 3 AS STRING) AS code FROM part"
+    p = cd.sc_range_parts(F.col("code"))
+    return q.part_view(spark, sf, sql).where(p.isNotNull()).select("p_partkey", *(p[c].alias(c) for c in ("prefix", "samyutta", "nipata", "sutta")))
+
+
+@query(
+    f"WITH {q._F}, e AS (SELECT nikaya, cst_file, count(*) AS n FROM f GROUP BY ALL) SELECT nikaya, CASE nikaya WHEN 'digha' THEN 'Dīgha Nikāya' WHEN 'samyutta' THEN 'Saṃyutta Nikāya' ELSE 'Majjhima Nikāya' END AS display, "
+    "string_agg(cst_file || ':' || n, ',' ORDER BY cst_file) AS items, sum(n)::BIGINT AS total FROM e GROUP BY nikaya"
+)
+def collections_shown(spark: SparkSession, sf: str) -> DataFrame:
+    """[C31, E3, E6]"""
+    rows = checks.files_by_collection(q.turn_fragments(spark, sf))
+    return rows.select("nikaya", "display", F.array_join(F.transform("items", lambda x: F.concat(x["cst_file"], F.lit(":"), x["n"].cast("string"))), ",").alias("items"), "total")
+
+
+@query(f"WITH {q._F} SELECT cst_file, frag_idx_code FROM f WHERE turn >= 2")
+def later_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """[P9, C1] at or after an index"""
+    return q.turn_fragments(spark, sf).where(checks.from_index(F.col("frag_idx_code"), "2.0")).select("cst_file", "frag_idx_code")
