@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from pathlib import Path
+
+import pandas as pd
+from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,29 +80,47 @@ def write_tsv(fragments: DataFrame, folder: str) -> None:
     head.unionByName(lines).orderBy("o", "cst_file", "p0", "p1").coalesce(1).select("value").write.mode("overwrite").text(folder)
 
 
+def _write_batches(folder: str):
+    """A task's part of write_texts: each text goes to a name of its own, then takes its place, so a task that runs again or
+    twice leaves whole files."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, at = pa_fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, text in zip(batch["cst_file"], batch["text"]):
+                path = f"{at.rstrip('/')}/{name}"
+                part = f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}.part"
+                with system.open_output_stream(part) as out:
+                    out.write((text or "").encode())
+                system.move(part, path)
+            yield batch[["cst_file"]]
+
+    return run
+
+
 def write_texts(texts: DataFrame, folder: str) -> int:
     """[A12-A14] Each (cst_file, text) as a file of that name, byte for byte; returns their number. Spark's text sink ends
-    every file with a line break, so rows pass through the driver, one at a time, to any file system that Spark knows."""
-    spark, n = texts.sparkSession, 0
-    at = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
-    for row in texts.select("cst_file", "text").toLocalIterator():
-        path = at(row["cst_file"])
-        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
-        out.write(bytearray((row["text"] or "").encode()))
-        out.close()
-        n += 1
-    return n
+    every file with a line break, so the tasks write, to a path or the URI of a file system that pyarrow knows. A row without
+    a name is left out, a null text gives an empty file; of rows with one name, one is kept."""
+    uri = folder if "://" in folder else Path(folder).absolute().as_uri()
+    system, at = pa_fs.FileSystem.from_uri(uri)
+    system.create_dir(at, recursive=True)
+    rows = texts.where("cst_file is not null").select("cst_file", "text")
+    return rows.mapInPandas(_write_batches(uri), "cst_file string").distinct().count()
 
 
 def convert_to_utf8(spark: SparkSession, paths: str | list[str], folder: str) -> int:
-    """[A13, A14] Returns the number of files written; one that cannot be read is logged and the others go on."""
-    done = 0
+    """[A13, A14] Returns the number of files written, in one job; a path that is not there is logged and the others go on."""
+    hadoop, found = spark._jsc.hadoopConfiguration(), []
     for path in [paths] if isinstance(paths, str) else paths:
-        try:
-            done += write_texts(read_xml(spark, path).select("cst_file", F.col("content").alias("text")), folder)
-        except Exception as e:  # noqa: BLE001
-            log.warn("%s: %s", path, e)
-    return done
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(hadoop).exists(at):
+            found.append(path)
+        else:
+            log.warn("%s: no such file", path)
+    if not found:
+        return 0
+    return write_texts(read_xml(spark, found).select("cst_file", F.col("content").alias("text")), folder)
 
 
 def root_titles(documents: DataFrame) -> DataFrame:

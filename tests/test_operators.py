@@ -302,6 +302,19 @@ def test_read_xml_in_any_encoding(spark, folder):
     with pytest.raises(ValueError):
         fs.select_inputs(spark, file="a", folder="b")
     assert fs.convert_to_utf8(spark, str(folder / "xml"), str(folder / "utf8")) == 4
+    assert {p.name: p.read_bytes().decode() for p in (folder / "utf8").iterdir()} == FILES
+    some = [str(folder / "xml" / "s0101m.mul.xml"), str(folder / "xml" / "none.xml"), str(folder / "xml" / "s0201m.mul.xml")]
+    assert fs.convert_to_utf8(spark, some, str(folder / "some")) == 2
+    assert fs.convert_to_utf8(spark, some[1], str(folder / "none")) == 0
+
+
+def test_write_texts_on_the_executors(spark, tmp_path):
+    texts = {f"{k}.xml": ("ṃ\r\n" * k + "end") if k % 3 else None for k in range(200)}
+    rows = spark.createDataFrame([*texts.items(), (None, "x")], "cst_file string, text string").repartition(7)
+    assert fs.write_texts(rows, str(tmp_path / "out")) == 200
+    assert fs.write_texts(rows, f"file://{tmp_path}/out") == 200  # again, over what is there
+    assert {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()} == {n: (t or "").encode() for n, t in texts.items()}
+    assert fs.write_texts(rows.limit(0), str(tmp_path / "empty")) == 0
 
 
 def test_store_runs_and_reparse(spark, folder):
