@@ -25,7 +25,7 @@ input, whatever their names, are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -45,8 +45,9 @@ _ROWS = "_rid long, doc_id long, twin long, src long, size long, grp long, whole
 
 
 def _draw(*what: object) -> float:
-    """A number in [0, 1) from what it is drawn for."""
-    return (zlib.crc32(repr(what).encode()) + 0.5) / 2**32
+    """A number in [0, 1) from what it is drawn for. The hash must not be linear, as a CRC is: then the draws of one run hang together,
+    and documents are taken more or less often than their part."""
+    return (int.from_bytes(hashlib.blake2b(repr(what).encode(), digest_size=6).digest()) + 0.5) / 2**48
 
 
 def pair(x: float, s: float, y: float, t: float, u: float) -> tuple[float, float]:

@@ -276,6 +276,63 @@ def test_mix(odd, odd_rows, empty):
     assert pivotal_mix.mix(empty).collect() == [] and pivotal_mix.repeat_rows(empty).collect() == []
 
 
+def plain_mix(rows):
+    """doc_id to words taken, of (doc_id, size, source): one group a source, the query's draws, step by step."""
+    draw = lambda *what: (int.from_bytes(hashlib.blake2b(repr(what).encode(), digest_size=6).digest()) + 0.5) / 2**48
+    snap = lambda p: min((q for q in (0.0, 1.0) if abs(p - q) < 1e-9), default=p)
+    names = sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
+    whole = [sum(r[1] for r in rows if r[2] == name) for name in names]
+    taken = {}
+    for src, (name, have, goal) in enumerate(zip(names, whole, targets(whole))):
+        docs = sorted((-r[1], r[0]) for r in rows if r[2] == name)
+        rate = goal / have if have else 0.0
+        sure = int(rate + 1e-9)
+        taken |= {d: -s * sure for s, d in docs}
+        left = [[-s, rate - sure, d, f"{d}/{-s}/1"] for s, d in docs] if rate - sure >= 1e-9 else []
+        left = [x for x in left if x[0]]
+        key, a = (0, src, 0), None
+        for b in left[: max(0, len(left) - pivotal_mix.RESERVE)]:
+            if a is not None:
+                up, down = min(a[0] * (1 - a[1]), b[0] * b[1]), min(a[0] * a[1], b[0] * (1 - b[1]))
+                move = up if draw(key, a[3], b[3]) * (up + down) < down else -down
+                a[1], b[1] = snap(a[1] + move / a[0]), snap(b[1] - move / b[0])
+            a = next((x for x in (b, a) if x and 0 < x[1] < 1), None)
+        for i, x in enumerate(left):
+            if not 0 < x[1] < 1:
+                continue
+            rest = [y for y in left[i + 1 :] if 0 < y[1] < 1]
+            room, stock = sum(y[0] * (1 - y[1]) for y in rest), sum(y[0] * y[1] for y in rest)
+            more, less = x[0] * (1 - x[1]), x[0] * x[1]
+            rise = draw(key, x[3], "last") < x[1] if (more <= stock) == (less <= room) else more <= stock
+            for y in rest:
+                y[1] = snap(y[1] * max(0.0, 1 - more / stock) if rise else y[1] + (1 - y[1]) * min(1.0, less / room))
+            x[1] = float(rise)
+        for size, part, d, _ in left:
+            taken[d] += size * int(part)
+    return taken
+
+
+def test_mix_against_a_plain_one(spark):
+    rng = random.Random(31)
+    for n, most in ((400, 60), (150, 3), (5, 900)):
+        rows = [(i, rng.randrange(most) if i % 9 else 0, rng.choice(["a", "b", "€", None])) for i in rng.sample(range(10_000), n)]
+        docs = spark.createDataFrame([(i, "w " * size, source) for i, size, source in rows], "doc_id long, text string, source string")
+        assert {r["doc_id"]: r["taken"] for r in pivotal_mix.mix(docs).collect()} == plain_mix(rows)
+
+
+def test_rounding_keeps_sums_and_expectations():
+    rng = random.Random(32)
+    sizes = sorted((rng.randrange(1, 200) for _ in range(80)), reverse=True)
+    parts, ids, runs, reserve = [rng.uniform(0.1, 0.9) for _ in sizes], list(range(80)), 1500, 12
+    want, mean = sum(s * p for s, p in zip(sizes, parts)), [0.0] * 80
+    for key in range(runs):
+        out = pivotal_mix.finish(sizes, pivotal_mix.settle(sizes, parts, ids, reserve, key), ids, key)
+        assert set(out) <= {0.0, 1.0} and abs(sum(s * p for s, p in zip(sizes, out)) - want) <= sizes[-reserve]
+        mean = [m + p / runs for m, p in zip(mean, out)]
+    # Five standard deviations; the last documents, which share what is left, are moved by less than a copy.
+    assert all(abs(m - p) < 0.065 for m, p in zip(mean[: -reserve - 1], parts))
+
+
 def test_mix_comes_near_in_many_groups(spark):
     rng = random.Random(8)
     rows = spark.createDataFrame([(i, "w " * rng.randrange(1, 40), f"s{min(i % 9, 5)}") for i in range(12_000)], "doc_id long, text string, source string")
