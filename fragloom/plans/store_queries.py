@@ -88,7 +88,7 @@ def store_refusal(spark: SparkSession, sf: str) -> DataFrame:
 def store_migration(spark: SparkSession, sf: str) -> DataFrame:
     """[A7, A17, A18] a store of the first form is opened, which brings it up to a new version, and taken down again"""
     path = work_folder(spark, "store")
-    downgraded(q.turn_fragments(spark, sf)).write.partitionBy("cst_file").parquet(f"{path}/v=1")
+    downgraded(q.turn_fragments(spark, sf)).write.parquet(f"{path}/v=1")
     FragmentStore(spark, path)._create("CURRENT-1.json", {"version": 1})
     store = FragmentStore.open(spark, path)
     up = store.read().select("cst_file", "frag_idx_code", "sc_code", F.lit(store.version()).alias("version"), F.lit(store.schema_number()).alias("form"))

@@ -1,7 +1,7 @@
 """The fragment store: immutable writes of Parquet, a record of each version, and a pointer to the version that counts.
 [A7-A10, A16-A19, E13]
 
-data/w=<write>/cst_file=<file>/   rows, written once and never changed
+data/w=<write>/                   rows, sorted by file, written once and never changed; writes of before have a folder cst_file=<file> for each file
 files/<write>/                    of a version: the files it has and the write that holds each
 v=<n>.json                        of a version: its schema, its files table, its writes, whether these hold nothing else, the last batch of each stream
 CURRENT-<n>.json                  the pointers; the largest counts
@@ -132,13 +132,24 @@ class FragmentStore:
         if not record["writes"]:
             return self.spark.createDataFrame([], schema.FRAGMENT)
         form = T.StructType([*(schema.FRAGMENT if record["schema"] == SCHEMA else self._first_schema(record)), T.StructField("w", T.StringType())])
-        rows = self.spark.read.schema(form).option("basePath", f"{self.path}/data").parquet(*(f"{self.path}/data/w={w}" for w in record["writes"]))
+        by_file = [w for w in record["writes"] if self._has_folders(w)]
+        read = lambda writes: self.spark.read.schema(form).option("basePath", f"{self.path}/data").parquet(*(f"{self.path}/data/w={w}" for w in writes)).select(*form.names)
+        parts = [read(writes) for writes in (by_file, [w for w in record["writes"] if w not in by_file]) if writes]
+        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         if record.get("whole"):
             return rows.drop("w")
         return rows.join(self._marked(record), ["cst_file", "w"], "left_semi").drop("w")
 
+    def _has_folders(self, write: str) -> bool:
+        """Whether a write has a folder for each file, as those of before have. Only the first names are listed."""
+        listed = self._fs.listStatusIterator(self._at(f"data/w={write}"))
+        while listed.hasNext():
+            if (name := listed.next().getPath().getName())[0] not in "._":
+                return name.startswith("cst_file=")
+        return False
+
     def _first_schema(self, record: dict) -> list:
-        return [f for f in self.spark.read.parquet(f"{self.path}/data/w={record['writes'][0]}").schema] + [T.StructField("cst_file", T.StringType())]
+        return [f for f in self.spark.read.parquet(f"{self.path}/data/w={record['writes'][0]}").schema if f.name != "cst_file"] + [T.StructField("cst_file", T.StringType())]
 
     def _files(self, record: dict | None) -> DataFrame:
         if record is None or record["files"] is None:
@@ -170,15 +181,15 @@ class FragmentStore:
     # -- writes
 
     def prepare(self, rows: DataFrame, form: int = SCHEMA, base: dict | None = None) -> Pending:
-        """Writes rows beside the version that counts, which is the one to be replaced unless base is given."""
+        """Writes rows beside the version that counts, which is the one to be replaced unless base is given. The number of Parquet files is that of
+        the tasks, not of the files in rows; rows are sorted, so that a reader of one file skips the row groups of others."""
         base = base or self.pointer()
         write = f"{(base or {'version': 0})['version'] + 1}-{uuid.uuid4().hex}"
         index = "frag_idx_code" if form == SCHEMA else "frag_idx"
         order = cd.version_order(F.col(index)) if form == SCHEMA else [F.col(index)]
         rows = rows.select(*(index if c == "frag_idx_code" else c for c in schema.COLUMNS))
-        rows.repartition("cst_file").sortWithinPartitions("cst_file", *order).write.partitionBy("cst_file").parquet(f"{self.path}/data/w={write}")
-        written = self.spark.read.schema(rows.schema).parquet(f"{self.path}/data/w={write}") if form == SCHEMA else rows
-        return Pending(write, written, base)
+        rows.repartition("cst_file").sortWithinPartitions("cst_file", *order).write.parquet(f"{self.path}/data/w={write}")
+        return Pending(write, self.spark.read.schema(rows.schema).parquet(f"{self.path}/data/w={write}"), base)
 
     def discard(self, pending: Pending) -> None:
         for name in (f"data/w={pending.write}", f"files/{pending.write}"):

@@ -541,3 +541,22 @@ def test_dimensions_are_broadcast_by_rows_and_bytes(spark, monkeypatch):
     assert "broadcast" in plan(lookups.small(rows)).lower()
     monkeypatch.setattr(lookups, "BROADCAST_BYTES", 5000)
     assert "broadcast" not in plan(lookups.small(rows)).lower()
+
+
+def test_a_write_has_as_many_parquet_files_as_tasks(spark, tmp_path):
+    """Not one for each file of the store; writes of before, with a folder for each file, are read beside those of now."""
+    rows = spark.range(300).select(F.concat(F.lit("a b="), "id", F.lit(".xml")).alias("cst_file"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in schema.FRAGMENT if f.nullable), F.lit("0.0").alias("frag_idx_code"), F.lit("Header").alias("frag_type"), F.lit("digha").alias("nikaya"), F.lit("x").alias("content_xml"), *(F.lit(1).alias(c) for c in ("start_line", "start_char", "end_line", "end_char")))
+    rows = rows.select(*schema.COLUMNS)
+    kept = FragmentStore(spark, str(tmp_path / "store"))
+    kept.publish(rows)
+    (write,) = kept.pointer()["writes"]
+    assert len(list((tmp_path / "store" / "data").rglob("*.parquet"))) <= 4 and kept.read().count() == 300
+    rows.write.partitionBy("cst_file").parquet(str(tmp_path / "before"))
+    (tmp_path / "store" / "data" / f"w={write}").rename(tmp_path / "aside")
+    (tmp_path / "before").rename(tmp_path / "store" / "data" / f"w={write}")
+    want = sorted(map(str, rows.collect()))
+    assert sorted(map(str, kept.read().collect())) == want
+    kept.edit("a b=7.xml", lambda r: r.withColumn("sc_code", F.lit("new")))
+    assert len(kept.pointer()["writes"]) == 2 and kept.read().count() == 300
+    assert [r["cst_file"] for r in kept.read().where("sc_code = 'new'").collect()] == ["a b=7.xml"] and sorted(map(str, kept.read(1).collect())) == want
+    assert kept.migrate(1) == 3 and kept.schema_number() == 1 and kept.read().count() == 300
