@@ -81,8 +81,9 @@ def delete(rows: DataFrame, code: str, compat: bool = False) -> DataFrame:
     return _changed(rows, [_merged(row, other, direction, compat)] if other else [], [code])
 
 
-def insert(rows: DataFrame, code: str, direction: str) -> DataFrame:
-    """[H9, C4] A new empty, checked row beside a row, with its free index; a following row then starts there."""
+def insert(rows: DataFrame, code: str, direction: str, past_moved: bool = True) -> DataFrame:
+    """[H9, C4] A new empty, checked row beside a row, with its free index; a following row then starts there. past_moved: also one behind moved rows, which
+    have given their places up; in a store whose moved rows keep theirs (False), it starts behind them and stays as it is."""
     row, other = _around(rows, code, direction)
     if row["frag_review"] == "moved":
         raise EditError("nothing can be inserted next to a moved fragment")
@@ -98,6 +99,10 @@ def insert(rows: DataFrame, code: str, direction: str) -> DataFrame:
     source = (other or row) if direction == "prev" else row
     new = source | {"frag_idx_code": f"{major}.{free}", "frag_review": "checked", "content_xml": "", "start_line": line, "start_char": column, "end_line": line, "end_char": column}
     changed = [new]
+    if direction == "next" and other and not past_moved:
+        p, place = cd.index_parts(F.col("frag_idx_code")), lambda c: F.struct(*(F.lit(k).alias(n) for n, k in zip(("major", "minor"), parse_index(c))))
+        if not rows.where((p > place(code)) & (p < place(other["frag_idx_code"]))).isEmpty():
+            other = None
     if direction == "next" and other:
         changed.append(other | {"start_line": line, "start_char": column, "frag_review": other["frag_review"] or "checked"})
     return _changed(rows, changed)

@@ -560,3 +560,13 @@ def test_a_write_has_as_many_parquet_files_as_tasks(spark, tmp_path):
     assert len(kept.pointer()["writes"]) == 2 and kept.read().count() == 300
     assert [r["cst_file"] for r in kept.read().where("sc_code = 'new'").collect()] == ["a b=7.xml"] and sorted(map(str, kept.read(1).collect())) == want
     assert kept.migrate(1) == 3 and kept.schema_number() == 1 and kept.read().count() == 300
+
+
+def test_insert_before_a_moved_row(spark):
+    """A moved row that keeps its place: the row behind it starts where it did. One that has given it up is passed over."""
+    rows = frame(spark, *(fragment(f"{k}.0", frag_review="moved" if k == 2 else None, start_line=k + 1, end_line=k + 2) for k in range(4)))
+    kept, passed = ({r["frag_idx_code"]: (r["start_line"], r["frag_review"]) for r in edits.insert(rows, "1.0", "next", past_moved=p).collect()} for p in (False, True))
+    assert kept == {"0.0": (1, None), "1.0": (2, None), "1.1": (3, "checked"), "2.0": (3, "moved"), "3.0": (4, None)}
+    assert passed == kept | {"3.0": (3, "checked")}
+    near = {r["frag_idx_code"]: (r["start_line"], r["frag_review"]) for r in edits.insert(rows, "0.0", "next", past_moved=False).collect()}
+    assert near["1.0"] == (2, "checked") and near["0.1"] == (2, "checked")
