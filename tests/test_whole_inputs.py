@@ -114,3 +114,22 @@ def test_one_prefix_is_spread_over_cells(spark):
     assert cells.groupBy("width", "cell").count().agg(F.max("count")).first()[0] <= 42 and cells.count() < 40_000
     numbers = intervals.looking(spark.range(1_000_000).select(F.lit("sn1.").alias("prefix"), F.col("id").alias("n")), "n", intervals.widths(cells))
     assert numbers.groupBy("width", "cell").count().agg(F.max("count")).first()[0] <= 1024
+
+
+def test_the_scan_holds_one_file_and_what_it_hands_on(monkeypatch):
+    """Files are taken out of their batch one by one; rows of several are handed on together, up to a bound."""
+    import pyarrow as pa
+
+    seen, made = [], []
+    monkeypatch.setattr(segment, "HELD", 100)
+    monkeypatch.setattr(segment, "HELD_ROWS", 7)
+
+    def rows(file, content):
+        seen.append(file)
+        return ({"cst_file": file, "seq": k} for k in range(int(file)))
+
+    batch = pa.RecordBatch.from_pydict({"cst_file": ["1", "2", "3", "20", "0", "1"], "content": ["x" * 60, "x" * 60, "x", None, "x", ""]})
+    for out in segment._handed(iter([batch]), rows, segment._ARROW_TOKENS):
+        made.append((len(seen), out.num_rows))
+        assert out.schema == segment._ARROW_TOKENS
+    assert made == [(2, 3), (4, 7), (4, 7), (4, 7), (6, 3)]
