@@ -215,6 +215,22 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
+def test_components_of_stars_need_no_rounds(spark, monkeypatch):
+    """Nothing is joined where each node is linked with one node that is the least of all it reaches; a chain still is."""
+    from fragloom.llm import components as module
+
+    def refused(_):
+        raise AssertionError("a round")
+
+    monkeypatch.setattr(module, "_least", refused)
+    stars = [(v, 0) for v in range(1, 50)] + [(60, v) for v in range(61, 70)][:1] + [(0, 3), (100, 100)]
+    found = {r["node"]: r["root"] for r in components(spark.createDataFrame(stars, "u long, v long")).collect()}
+    assert found == {v: 0 for v in range(1, 50)} | {61: 60}
+    for open_links in ([(1, 2), (2, 3)], [(5, 1), (5, 2)], [(3, 2), (3, 1), (2, 1)]):
+        with pytest.raises(AssertionError, match="a round"):
+            components(spark.createDataFrame(open_links, "u long, v long"))
+
+
 def targets(sizes, weights=(3, 1, 2)):
     """By lowering the level of those that are full, one round after the other."""
     left, out = 1.5 * sum(sizes), [0.0] * len(sizes)
