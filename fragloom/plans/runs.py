@@ -89,21 +89,21 @@ def verify(fragments: DataFrame, files: DataFrame, reference: DataFrame | None =
 
 def _stored(store: FragmentStore, files: DataFrame, mapping: DataFrame | None, titles: DataFrame | None, corrected, whole: bool, reference=None, batch: tuple[str, int] | None = None) -> tuple[int, list[tuple[str, str]]]:
     """(version, failures). Scans once, writes beside the version that counts, verifies that, and only then commits: what verify() raises is
-    never seen by a reader. corrected and reference are made from the rows of the version that the run began with; where another writer
-    committed meanwhile, the run is done again from the new one."""
+    never seen by a reader. corrected and reference are made from the version that the run began with, by its number, 0 for none; where
+    another writer committed meanwhile, the run is done again from the new one."""
     for attempt in range(ATTEMPTS):
         base = store.pointer()
-        before = store.read(base["version"]) if base else None
+        began = base["version"] if base else 0
         work = []
         try:
-            corrections = corrected(before, work)
+            corrections = corrected(began, work)
             scanned = store.staged(_scanned(files, corrections))
             work.append(scanned)
             failed = guard(segment.failures(scanned))
             with log.timed("write"):
                 pending = store.prepare(enrich(segment.fragments(scanned), mapping, titles, corrections), base=base)
             try:
-                counted = reference(before, pending.rows) if reference is not None else None
+                counted = reference(began, pending.rows) if reference is not None else None
                 verify(pending.rows, files.join(pending.rows.select("cst_file").distinct(), "cst_file", "left_semi"), counted)
                 return store.commit(pending, whole or base is None, batch=batch), failed
             except BaseException:
@@ -129,10 +129,11 @@ def import_files(store: FragmentStore, files: DataFrame, mapping: DataFrame | No
 def reparse(store: FragmentStore, files: DataFrame, mapping: DataFrame | None = None, titles: DataFrame | None = None, batch: tuple[str, int] | None = None) -> list[tuple[str, str]]:
     """[H14] A new version with files parsed again, their own corrections kept; without edits nothing changes."""
 
-    def own(before: DataFrame | None, work: list) -> Corrections | None:
-        if before is None:
+    def own(version: int, work: list) -> Corrections | None:
+        known = store.read_files(files, version) if version else None
+        if known is None:  # new files have no corrections
             return None
-        work.append(store.staged(before.join(files.select("cst_file").distinct(), "cst_file", "left_semi")))
+        work.append(store.staged(known))
         return Corrections.of(work[-1])
 
     return _stored(store, files, mapping, titles, own, False, batch=batch)[1]
@@ -149,14 +150,15 @@ def regenerate(store: FragmentStore, files: DataFrame, mapping: DataFrame | None
     undo the run."""
     old = store.read() if store.exists() and not fresh else None
 
-    def counted(before: DataFrame | None, rows: DataFrame) -> DataFrame | None:
+    def counted(began: int, rows: DataFrame) -> DataFrame | None:
         """The version before, and of files that it does not have the rows as they are."""
-        if fresh or before is None:
+        if fresh or not began:
             return None
+        before = store.read(began)
         return before.select("cst_file").unionByName(rows.join(before.select("cst_file").distinct(), "cst_file", "left_anti").select("cst_file"))
 
     with log.timed("regenerate"):
-        version, failed = _stored(store, files, mapping, titles, lambda before, _: Corrections.of(before) if before is not None and not fresh else None, True, counted)
+        version, failed = _stored(store, files, mapping, titles, lambda version, _: Corrections.of(store.read(version)) if version and not fresh else None, True, counted)
     new = store.read(version)
     counts = new.agg(F.count_distinct("cst_file").alias("files"), F.count(F.lit(1)).alias("rows")).first()
     report = Report(version, counts["files"], counts["rows"], failed)

@@ -100,8 +100,9 @@ def store_migration(spark: SparkSession, sf: str) -> DataFrame:
 def inbox_batches(spark: SparkSession, sf: str) -> DataFrame:
     """[2.13] files that arrive as a stream, in batches committed with their numbers; the last batch, replayed, is not taken again"""
     folder, store = work_folder(spark, "inbox"), FragmentStore(spark, work_folder(spark, "store"))
-    q.collection_files(spark, sf).repartition(3, "cst_file").write.parquet(folder)
-    arrivals = spark.readStream.schema(schema.SOURCE).option("maxFilesPerTrigger", 2).parquet(folder)
+    q.collection_files(spark, sf).repartition(max(3, spark.sparkContext.defaultParallelism), "cst_file").write.parquet(folder)
+    parts = len(spark.read.schema(schema.SOURCE).parquet(folder).inputFiles())
+    arrivals = spark.readStream.schema(schema.SOURCE).option("maxFilesPerTrigger", max(1, 2 * parts // 3)).parquet(folder)  # two batches, however many parts
     inbox.watch(arrivals, store, work_folder(spark, "checkpoint")).awaitTermination()
     (stream, last), = store.pointer()["applied"].items()
     again = inbox.absorb(store, spark.read.schema(schema.SOURCE).parquet(folder), stream, last)

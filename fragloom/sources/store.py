@@ -169,7 +169,20 @@ class FragmentStore:
 
     def read(self, version: int | None = None) -> DataFrame:
         """[A7] Rows of a version, an older form brought up to SCHEMA; a store of other columns is refused."""
-        record = self._record(version)
+        return self._brought_up(self._record(version))
+
+    def read_files(self, files: DataFrame, version: int | None = None) -> DataFrame | None:
+        """The rows of files (cst_file) in a version, None if it has none of them. Only the writes that hold one of them are read, so
+        what new files cost does not grow with the store."""
+        record, names = self._record(version), files.select("cst_file").distinct()
+        if record is not None and record["files"] is not None:
+            held = self._files(record).join(names, "cst_file", "left_semi").select("w").distinct()
+            record = record | {"writes": sorted(r["w"] for r in held.collect())}  # of each write its name
+        if record is None or record["files"] is not None and not record["writes"]:
+            return None
+        return self._brought_up(record).join(names, "cst_file", "left_semi")
+
+    def _brought_up(self, record: dict | None) -> DataFrame:
         if record is None:
             return self.spark.createDataFrame([], schema.FRAGMENT)
         rows = self._rows(record)

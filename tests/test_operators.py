@@ -385,6 +385,36 @@ def test_inbox(spark, folder):
     assert absorb(store, files, stream, 2) and store.version() == version + 1 and store.read().count() == 14
 
 
+def test_a_batch_reads_only_the_writes_that_hold_its_files(spark, folder):
+    """What a batch of new files costs does not grow with the store; of known files the own corrections are kept."""
+    kept, files = FragmentStore(spark, str(folder / "grown")), fs.read_xml(spark, str(folder / "xml"))
+    old, new, known = "s0101m.mul.xml", "s0201m.mul.xml", "s0301m.mul.xml"
+    only = lambda *names: files.where(F.col("cst_file").isin(*names))
+    assert absorb(kept, only(old), "x", 0) and absorb(kept, only(known), "x", 1)
+    kept.edit(known, lambda rows: edits.insert(rows, "2.0", "next"))
+    (write,) = (r["w"] for r in kept._files(kept.pointer()).where(F.col("cst_file") == old).collect())
+    data, aside = folder / "grown" / "data" / f"w={write}", folder / "aside"
+    data.rename(aside)  # whoever reads it fails
+    assert absorb(kept, only(new, known), "x", 2)
+    aside.rename(data)
+    rows = kept.read()
+    assert checks.differences(rows, only(old, new, known)).count() == 0 and rows.select("cst_file").distinct().count() == 3
+    assert rows.where("frag_idx_code = '2.1'").select("cst_file").collect() == [(known,)] and kept.applied("x") == 2
+    assert kept.read_files(only(new), 1) is None and kept.read_files(only(old)).count() == rows.where(F.col("cst_file") == old).count() > 0
+
+
+def test_the_inbox_is_delivered_by_all_tasks_in_two_batches(spark, tmp_path, monkeypatch):
+    from fragloom.plans import store_queries
+
+    monkeypatch.setattr(store_queries, "work_folder", lambda _, tag: str(tmp_path / tag))
+    texts = spark.range(40).select(F.col("id").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), F.lit("some text").alias("text"))
+    texts.write.parquet(str(tmp_path / "conversations.parquet"))
+    rows = store_queries.inbox_batches(spark, str(tmp_path))
+    assert rows.select("cst_file").distinct().count() == 40 and rows.count() == 120 and rows.where("again").count() == 0
+    assert len(list((tmp_path / "inbox").glob("part-*.parquet"))) == 4  # local[4]: not three, however large the input
+    assert list(FragmentStore(spark, str(tmp_path / "store")).pointer()["applied"].values()) == [1]
+
+
 def test_command_line(spark, folder, capsys):
     from fragloom.cli import main
 
